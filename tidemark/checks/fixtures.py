@@ -108,7 +108,7 @@ SELECT CASE l_linenumber % 3 WHEN 0 THEN 'StatementsOfIncome' WHEN 1 THEN 'Balan
        CASE WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'seg' END AS segment,
        CASE WHEN l_linenumber <> 1 THEN CAST(CAST(l_quantity AS BIGINT) AS {string}) END AS value,
        CAST(l_orderkey * 1000000 + l_partkey * 7 + l_linenumber AS BIGINT) AS rank_key,
-       CAST(l_extendedprice * 100 AS BIGINT) AS price_key, l_suppkey
+       CAST(round(l_extendedprice * 100) AS BIGINT) AS price_key, l_suppkey
 FROM lineitem JOIN part ON p_partkey = l_partkey
 """
 
@@ -122,7 +122,7 @@ FROM documents
 POSITIONS = """
 SELECT o_custkey AS portfolio_id, o_custkey AS user_id, l_partkey AS stock_id,
        CAST(sum(l_quantity) AS BIGINT) AS shares,
-       CAST(min(l_extendedprice / l_quantity) AS DECIMAL(10,2)) AS purchase_price
+       CAST(min(l_extendedprice) AS DECIMAL(10,2)) AS purchase_price
 FROM orders JOIN lineitem ON l_orderkey = o_orderkey
 GROUP BY o_custkey, l_partkey
 """

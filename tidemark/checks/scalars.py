@@ -15,9 +15,8 @@ from tidemark.operators import filters
 from tidemark.operators.chunking import html_to_text
 from tidemark.operators.joins import question_pairs
 from tidemark.operators.prompts import COMPANY_QUESTIONS
-from tidemark.operators.retrieval import chunk_id
 from tidemark.sources import articles as article_source
-from tidemark.sources.filings import parse_filings, parse_xbrl, read_pages
+from tidemark.sources.filings import parse_filings, parse_xbrl, read_pages, section_rows
 
 AS_OF = dt.datetime(2001, 8, 1)
 CALL_TIMES = "SELECT event_id AS call_id, user_id AS stock_id, ts AS call_time, 7 AS n FROM events"
@@ -406,7 +405,11 @@ def f11(t: Tables) -> DataFrame:
     return filters.active_alerts(alerts, profiles)
 
 
-@query("s7_read_sections")
+@query(
+    "s7_read_sections",
+    """SELECT concat('file:/filings/', source, '/section', CAST(doc_id AS VARCHAR), '.txt') AS source,
+              concat('section', CAST(doc_id AS VARCHAR)) AS filing_section, text FROM documents""",
+)
 def s7(t: Tables) -> DataFrame:
-    # The folder of text files is replaced by the documents table; ids as in the index.
-    return t.sections.select(chunk_id(["ticker", "filing_type", "filing_section"]).alias("doc_id"), F.length("text").alias("n_chars"))
+    path = F.concat(F.lit("file:/filings/"), "source", F.lit("/section"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return section_rows(t.documents.select(path.alias("path"), F.col("text").alias("value")))

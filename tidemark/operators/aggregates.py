@@ -18,6 +18,7 @@ from tidemark.functions.mentions import MENTION_COLUMNS, countable_names
 from tidemark.functions.vectors import dot, norm, unit
 from tidemark.operators.filters import drop_noise
 from tidemark.operators.ordering import top_per_key
+from tidemark.session import cut_lineage
 
 CLUSTER = ("cluster",)
 
@@ -41,19 +42,16 @@ def attach_run_maxima(clusters: DataFrame, maxima: DataFrame, run: Sequence[str]
 # -- entity counts ---------------------------------------------------------------------------
 
 
+def _tagged_names(kind: str, column: str) -> Column:
+    """Names of one column as (kind, name) entries."""
+    return F.transform(
+        countable_names(column, kind), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
+    )
+
+
 def entity_counts(df: DataFrame, keys: Sequence[str] = CLUSTER, columns: Mapping[str, str] = MENTION_COLUMNS) -> DataFrame:
     """Mentions per (cluster, kind, name), all entity columns in one pass."""
-    mentions = F.flatten(
-        F.array(
-            *[
-                F.transform(
-                    countable_names(column, kind),
-                    lambda n, kind=kind: F.struct(F.lit(kind).alias("kind"), n.alias("name")),
-                )
-                for kind, column in columns.items()
-            ]
-        )
-    )
+    mentions = F.flatten(F.array(*[_tagged_names(kind, column) for kind, column in columns.items()]))
     exploded = df.select(*keys, F.explode(mentions).alias("_m"))
     return exploded.groupBy(*keys, "_m.kind", "_m.name").agg(F.count("*").alias("mentions"))
 
@@ -166,42 +164,60 @@ def median_date(df: DataFrame, ts: str = "ts", keys: Sequence[str] = CLUSTER) ->
 # -- ranking ---------------------------------------------------------------------------------
 
 
-def rank_clusters(
-    df: DataFrame,
-    vec: str = "embedding",
-    ts: str = "ts",
-    keys: Sequence[str] = CLUSTER,
-    weights: Mapping[str, float] | None = None,
-) -> DataFrame:
-    """Health vector of each cluster: size, cohesiveness and date variance, each
-    divided by its maximum in the run.
+def cluster_stats(df: DataFrame, vec: str = "embedding", ts: str = "ts", keys: Sequence[str] = CLUSTER) -> DataFrame:
+    """Size, cohesiveness, date variance and mean vector per cluster in one pass.
 
-    The size maximum includes noise, the other two leave it out. ``weights`` is
-    accepted for compatibility and does not change the result. A zero maximum
-    (all dates equal) gives NULL.
+    Rows without a vector are left out: they cannot belong to a cluster.
     """
-    del weights
-    run, cluster = _cluster_of(keys)
-    spread = df.groupBy(*keys).agg(
-        F.count("*").alias("size"), F.var_pop(_micros(ts) / F.lit(1e6)).alias("date_variance")
+    v = F.col(vec).cast("array<double>")
+    summed = _usable(df, vec).groupBy(*keys).agg(
+        F.count("*").alias("size"),
+        F.var_pop(_micros(ts) / F.lit(1e6)).alias("date_variance"),
+        F.sum(F.when(norm(v) > 0, 1.0).otherwise(0.0)).alias("_m"),
+        summed_vector("sum", unit(v), F.lit(1.0)).alias("_u"),
+        summed_vector("mean", v, F.lit(1.0)).alias("mean_embedding"),
     )
-    clusters = spread.join(cohesiveness(drop_noise(df, cluster), vec, keys), list(keys), "left")
+    cohesion = _cohesion(F.col("size").cast("double"), F.col("_u"), F.col("_m"))
+    return summed.select(*keys, "size", cohesion.alias("cohesion"), "date_variance", "mean_embedding")
+
+
+def rank_stats(stats: DataFrame, keys: Sequence[str] = CLUSTER) -> DataFrame:
+    """Health vector from the cluster statistics: each component over its maximum
+    in the run. The size maximum includes noise, the other two leave it out; a
+    zero maximum (all dates equal) gives NULL."""
+    run, cluster = _cluster_of(keys)
     quiet = F.col(cluster) != F.lit(-1)
-    maxima = clusters.groupBy(*run).agg(
+    maxima = stats.groupBy(*run).agg(
         F.max("size").alias("_max_size"),
-        F.max(F.when(quiet, F.col("cohesiveness"))).alias("_max_coh"),
+        F.max(F.when(quiet, F.col("cohesion"))).alias("_max_coh"),
         F.max(F.when(quiet, F.col("date_variance"))).alias("_max_var"),
     )
-    ranked = attach_run_maxima(drop_noise(clusters, cluster), maxima, run)
-    return ranked.select(
+    rest = [c for c in stats.columns if c not in (*keys, "size", "cohesion", "date_variance")]
+    return attach_run_maxima(drop_noise(stats, cluster), maxima, run).select(
         *keys,
         "size",
         F.try_divide(F.col("size").cast("double"), F.col("_max_size")).alias("size_importance"),
-        F.try_divide("cohesiveness", "_max_coh").alias("cohesiveness"),
+        F.try_divide("cohesion", "_max_coh").alias("cohesiveness"),
         F.try_divide("date_variance", "_max_var").alias("time_variance"),
+        *rest,
     )
 
 
+def rank_clusters(
+    df: DataFrame,
+    vec: str = "embedding",
+    ts: str = "ts",
+    keys: Sequence[str] = CLUSTER,
+    weights: Mapping[str, float] | None = None,
+) -> DataFrame:
+    """Health vector of each non-noise cluster: size, cohesiveness, date variance.
+
+    ``weights`` is accepted for compatibility and does not change the result.
+    """
+    del weights
+    return rank_stats(cluster_stats(df, vec, ts, keys).drop("mean_embedding"), keys)
+
+
 def rank_clusters_by_silhouette(df: DataFrame, silhouette: str = "silhouette", n: int = 5, keys: Sequence[str] = CLUSTER) -> DataFrame:
     """Mean silhouette over its maximum as ``rank``, with the normalised size and
     entity factors beside it (they do not enter the score)."""
@@ -242,12 +258,21 @@ def cluster_info(
     chosen: DataFrame | None = None,
 ) -> DataFrame:
     """One row per non-noise cluster: top articles, top entities, health, mean
-    embedding and median date. ``chosen`` (keys, rank, DocumentIdentifier)
-    replaces the first-n articles by another selection of at most n each."""
-    df = drop_noise(df, keys[-1])
-    ranked = rank_clusters(df, vec, ts, keys) if ranked is None else ranked
+    embedding and median date.
+
+    ``ranked`` (keys and any rank columns) restricts and replaces the health
+    vector; ``chosen`` (keys, rank, DocumentIdentifier) replaces the first-n
+    articles by another selection of at most n each. The statistics of all
+    clusters are written once, so the vectors are read a single time.
+    """
+    stats = cut_lineage(cluster_stats(df, vec, ts, keys))
+    quiet = drop_noise(df, keys[-1])
+    if ranked is None:
+        ranked = rank_stats(stats, keys)
+    else:
+        ranked = ranked.join(stats.select(*keys, "mean_embedding"), list(keys))
     if chosen is None:
-        chosen = first_articles(df, number_of_top_articles, (ts, "article_id"), keys)
+        chosen = first_articles(quiet, number_of_top_articles, (ts, "article_id"), keys)
     articles = chosen.groupBy(*keys).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("rank", "DocumentIdentifier"))),
@@ -256,9 +281,8 @@ def cluster_info(
     )
     return (
         ranked.join(articles, list(keys))
-        .join(top_entity_lists(df, number_of_top_entities, keys), list(keys), "left")
-        .join(centroid(df, vec, keys).withColumnRenamed("centroid", "mean_embedding"), list(keys), "left")
-        .join(median_date(df, ts, keys), list(keys), "left")
+        .join(top_entity_lists(quiet, number_of_top_entities, keys), list(keys), "left")
+        .join(median_date(quiet, ts, keys), list(keys), "left")
     )
 
 

@@ -68,7 +68,13 @@ def read_pages(pages: DataFrame) -> DataFrame:
     return pages.withColumn("page_text", html_to_text("html")).drop("html")
 
 
+def section_rows(files: DataFrame) -> DataFrame:
+    """Sections of text files (path, value): the file name names the section."""
+    name = F.regexp_extract("path", r"([^/]+)\.[^./]*$", 1)
+    return files.select(F.col("path").alias("source"), name.alias("filing_section"), F.col("value").alias("text"))
+
+
 def read_sections(spark: SparkSession, path: str) -> DataFrame:
     """Section text files, one row per file."""
     files = spark.read.text(path, wholetext=True)
-    return files.select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    return section_rows(files.select(F.input_file_name().alias("path"), "value"))

@@ -77,7 +77,7 @@ def main() -> int:
     parser.add_argument("--cores", default="8")
     args = parser.parse_args()
     spark, con = local_session(args.cores), connect(args.sf)
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     wanted = [p for p in args.only.split(",") if p]
     bad = 0
     for name in sorted(catalog.QUERIES):
@@ -86,7 +86,7 @@ def main() -> int:
         try:
             verdict, rows, took, check, note = compare(spark, con, name, args.sf)
         except Exception as error:  # report and go on with the next query
-            verdict, rows, took, check, note = "ERROR", 0, 0.0, 0.0, str(error)[:900]
+            verdict, rows, took, check, note = "ERROR", 0, 0.0, 0.0, str(error)[:600]
         bad += verdict not in ("ok", "rows-only")
         print(f"{verdict:9} {name:32} rows={rows:<8} {took:6.1f}s check {check:5.1f}s {note}", flush=True)
     print(f"{bad} failing")
