@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.checks import analytics, relational, scalars  # noqa: F401
+from tidemark.checks import analytics, relational, scalars, texts  # noqa: F401
 from tidemark.checks.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]
