@@ -12,12 +12,11 @@ from tidemark.checks.scalars import distinct_sql
 from tidemark.functions import vectors as vec
 from tidemark.functions.articles import metadata_sentence
 from tidemark.functions.mentions import MENTION_COLUMNS
-from tidemark.operators import clustering, graph, maintenance, statements, vectors, windows
-from tidemark.operators.aggregates import top_entity_lists
+from tidemark.operators import clustering, graph, statements, vectors, windows
+from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import news_events
-from tidemark.sources.events import call_row, event_rows
-from tidemark.sources.filings import parse_xbrl
+from tidemark.sources.events import event_rows
 from tidemark.streaming import rate_limit
 
 TERM_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -94,6 +93,23 @@ def v4_blocks(t: Tables) -> DataFrame:
     return _knn(t, metric="cosine", broadcast_bytes=0, block_rows=64)
 
 
+@query(
+    "v4_knn_many_queries",
+    """SELECT query_id, neighbour_id, rank, round(distance, 6) AS distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbour_id) AS rank FROM (
+        SELECT q.article_id AS query_id, c.vec_id AS neighbour_id, round(1 - list_cosine_similarity(q.embedding, c.embedding::DOUBLE[]), 9) AS distance
+        FROM clustered q JOIN embeddings c ON c.label = q.cluster)) WHERE rank <= 3""",
+    ("clustered",),
+)
+def v4_many(t: Tables) -> DataFrame:
+    # The plan for many queries over a corpus that fits in every task.
+    asked = t.clustered.select("article_id", F.col("cluster").cast("int").alias("label"), "embedding")
+    found = vectors.knn(
+        asked, t.embeddings, 3, ["label"], "cosine", "article_id", "vec_id", broadcast_bytes=t.embeddings.count() * 700
+    )
+    return found.select("query_id", "neighbour_id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query(
     "v5_flag_irrelevant",
     f"SELECT vec_id, list_cosine_similarity(embedding::DOUBLE[], {ONES_SQL}) > 0.05 AS irrelevant FROM embeddings",
@@ -276,7 +292,7 @@ def c5_text(t: Tables) -> DataFrame:
 
 @query("c6_legacy_events")
 def c6(t: Tables) -> DataFrame:
-    info = news_events.legacy_events(t.articles, news_events.EventConfig(eps=0.01))
+    info = news_events.legacy_events(t.articles, news_events.EventConfig(eps=0.03))
     return info.select(
         "cluster", F.round("health", 6).alias("health"), F.array_join("top_articles", ",").alias("top_articles"),
         F.size("top_themes").alias("n_themes"), F.date_format("median_date", "yyyy-MM-dd").alias("median_date"),
@@ -285,8 +301,6 @@ def c6(t: Tables) -> DataFrame:
 
 @query("s3_write_events")
 def s3(t: Tables) -> DataFrame:
-    from tidemark.operators.aggregates import cluster_info
-
     info = cluster_info(t.clustered)
     rows = event_rows(info, 77, 5, 7)
     return rows.select("event_id", "call_id", "cluster_id", "top_articles", "top_themes", "top_persons", "top_orgs", "top_locs", "irrelevant")

@@ -50,33 +50,29 @@ class Duck:
         return f"CAST({v} AS DOUBLE[])"
 
 
-# Mentions of an order's lines: first and last name of each kind.
+# Mentions of an order's lines: its first and last supplier and part.
 ARTICLES = """
-WITH line_names AS (
-  SELECT l_orderkey,
-         min(s_name) AS s_lo, max(s_name) AS s_hi,
-         min(concat(p_brand, ' ', p_type)) AS b_lo, max(concat(p_brand, ' ', p_type)) AS b_hi,
-         min(upper(p_name)) AS t_lo, max(upper(p_name)) AS t_hi,
-         min(concat('1#', r_name, '#', n_name, '#')) AS p_lo, max(concat('4#', r_name, '#', n_name, '#')) AS p_hi,
+WITH line_keys AS (
+  SELECT l_orderkey, min(l_suppkey) AS s_lo, max(l_suppkey) AS s_hi, min(l_partkey) AS p_lo, max(l_partkey) AS p_hi,
          count(*) AS n_lines
-  FROM lineitem
-  JOIN part ON p_partkey = l_partkey
-  JOIN supplier ON s_suppkey = l_suppkey
-  JOIN nation ON n_nationkey = s_nationkey
-  JOIN region ON r_regionkey = n_regionkey
-  GROUP BY l_orderkey)
+  FROM lineitem GROUP BY l_orderkey),
+places AS (
+  SELECT s_suppkey, s_name, concat(r_name, '#', n_name, '#') AS place
+  FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey)
 SELECT o_orderkey AS article_id,
        CAST(year(o_orderdate) * 100 + month(o_orderdate) AS BIGINT) AS call_id,
        {date} AS DATE,
        CAST(o_orderdate AS DATE) AS partition_date,
        CASE WHEN o_orderpriority <> '5-LOW' THEN
-         concat(s_lo, ',11;', s_hi, ',42', CASE WHEN n_lines > 4 THEN ';' ELSE '' END) END AS V2Persons,
-       concat(b_lo, ',7;', b_hi, ',29;', b_lo, ',31') AS V2Organizations,
-       concat(t_lo, ',3;', t_hi, ',9;TAX_', o_orderpriority, ',12') AS V2Themes,
-       concat(p_lo, ';', p_hi, CASE WHEN n_lines > 5 THEN ';4#X' ELSE '' END) AS V2Locations,
-       o_orderstatus AS V2Tone, concat(s_lo, ';', b_hi) AS AllNames, CAST(n_lines AS {string}) AS Amounts,
+         concat(s1.s_name, ',11;', s2.s_name, ',42', CASE WHEN n_lines > 4 THEN ';' ELSE '' END) END AS V2Persons,
+       concat(p1.p_brand, ' ', p1.p_type, ',7;', p2.p_brand, ' ', p2.p_type, ',29;', p1.p_brand, ' ', p1.p_type, ',31') AS V2Organizations,
+       concat(upper(p1.p_name), ',3;', upper(p2.p_name), ',9;TAX_', o_orderpriority, ',12') AS V2Themes,
+       concat('1#', s1.place, ';4#', s2.place, CASE WHEN n_lines > 5 THEN ';4#X' ELSE '' END) AS V2Locations,
+       o_orderstatus AS V2Tone, concat(s1.s_name, ';', p2.p_brand) AS AllNames, CAST(n_lines AS {string}) AS Amounts,
        concat('http://news.example/', CAST(o_orderkey AS {string})) AS DocumentIdentifier
-FROM orders JOIN line_names ON l_orderkey = o_orderkey
+FROM orders JOIN line_keys ON l_orderkey = o_orderkey
+JOIN places s1 ON s1.s_suppkey = s_lo JOIN places s2 ON s2.s_suppkey = s_hi
+JOIN part p1 ON p1.p_partkey = p_lo JOIN part p2 ON p2.p_partkey = p_hi
 """
 
 # Articles with a vector and a given cluster; every 13th article is noise.

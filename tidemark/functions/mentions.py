@@ -31,7 +31,7 @@ def split_mentions(c: Column | str) -> Column:
 
 def mention_head(m: Column) -> Column:
     """Text before the first comma, unchanged."""
-    return F.get(F.split(m, ","), F.lit(0))
+    return F.substring_index(m, ",", 1)
 
 
 def entity_name(m: Column) -> Column:
@@ -52,7 +52,7 @@ def mention_names(c: Column | str, kind: str = "other") -> Column:
 
 def distinct_names(c: Column | str, kind: str = "other", sep: str = ", ") -> Column:
     """Sorted, de-duplicated names joined by ``sep``; NULL input gives ''."""
-    return F.array_join(F.array_sort(F.array_distinct(mention_names(c, kind))), sep)
+    return F.array_join(F.sort_array(F.array_distinct(mention_names(c, kind))), sep)
 
 
 def strip_digits(c: Column | str) -> Column:
@@ -65,12 +65,6 @@ def lower_themes(c: Column | str) -> Column:
     return strip_digits(F.lower(distinct_names(c)))
 
 
-def countable_names(c: Column | str, kind: str) -> Column:
-    """Names as counted for top entities: spelling kept, empty names dropped."""
-    pick = location_name if kind == "locations" else mention_head
-    return F.filter(F.transform(split_mentions(c), pick), lambda n: n.isNotNull() & (n != ""))
-
-
 def join_links(c: Column | str) -> Column:
     """List of links or names as comma text."""
     return F.array_join(_col(c), ",")

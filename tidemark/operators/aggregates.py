@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.mentions import MENTION_COLUMNS, countable_names
+from tidemark.functions.mentions import MENTION_COLUMNS, location_name, mention_head
 from tidemark.functions.vectors import dot, norm, unit
 from tidemark.operators.filters import drop_noise
 from tidemark.operators.ordering import top_per_key
@@ -42,33 +42,33 @@ def attach_run_maxima(clusters: DataFrame, maxima: DataFrame, run: Sequence[str]
 # -- entity counts ---------------------------------------------------------------------------
 
 
-def _tagged_names(kind: str, column: str) -> Column:
-    """Names of one column as (kind, name) entries."""
-    return F.transform(
-        countable_names(column, kind), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name"))
-    )
-
-
 def entity_counts(df: DataFrame, keys: Sequence[str] = CLUSTER, columns: Mapping[str, str] = MENTION_COLUMNS) -> DataFrame:
-    """Mentions per (cluster, kind, name), all entity columns in one pass."""
-    mentions = F.flatten(F.array(*[_tagged_names(kind, column) for kind, column in columns.items()]))
-    exploded = df.select(*keys, F.explode(mentions).alias("_m"))
-    return exploded.groupBy(*keys, "_m.kind", "_m.name").agg(F.count("*").alias("mentions"))
+    """Mentions per (cluster, kind, name), all entity columns in one pass.
+
+    Names keep their spelling; empty names and malformed locations do not count.
+    """
+    texts = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("text")) for k, c in columns.items()]))
+    lists = df.select(*keys, texts.alias("_t")).select(*keys, "_t.kind", F.explode(F.split("_t.text", ";", -1)).alias("_m"))
+    name = F.when(F.col("kind") == "locations", location_name(F.col("_m"))).otherwise(mention_head(F.col("_m")))
+    named = lists.select(*keys, "kind", name.alias("name")).where("name IS NOT NULL AND name <> ''")
+    return named.groupBy(*keys, "kind", "name").agg(F.count("*").alias("mentions"))
 
 
-def top_entities(df: DataFrame, kind: str, n: int = 5, keys: Sequence[str] = CLUSTER) -> DataFrame:
-    """Most mentioned names of one kind per cluster; ties by name. Noise included."""
-    counted = entity_counts(df, keys, {kind: MENTION_COLUMNS[kind]}).drop("kind")
-    return top_per_key(counted, keys, [F.desc("mentions"), F.asc("name")], n)
+def top_entities(
+    df: DataFrame, n: int = 5, keys: Sequence[str] = CLUSTER, columns: Mapping[str, str] = MENTION_COLUMNS
+) -> DataFrame:
+    """Most mentioned names of each kind per cluster; ties by name. Noise included."""
+    counted = entity_counts(df, keys, columns)
+    return top_per_key(counted, [*keys, "kind"], [F.desc("mentions"), F.asc("name")], n)
 
 
 def top_entity_lists(df: DataFrame, n: int = 5, keys: Sequence[str] = CLUSTER) -> DataFrame:
     """One row per cluster with a ``top_<kind>`` list of (name, mentions) for every kind."""
-    ranked = top_per_key(entity_counts(df, keys), [*keys, "kind"], [F.desc("mentions"), F.asc("name")], n)
+    ranked = top_entities(df, n, keys)
     lists = {}
     for kind in MENTION_COLUMNS:
         entry = F.when(F.col("kind") == kind, F.struct("rank", "name", "mentions"))
-        ordered = F.array_sort(F.collect_list(entry))
+        ordered = F.sort_array(F.collect_list(entry))
         lists[f"top_{kind}"] = F.transform(
             ordered, lambda e: F.struct(e["name"].alias("name"), e["mentions"].alias("mentions"))
         )
@@ -77,7 +77,7 @@ def top_entity_lists(df: DataFrame, n: int = 5, keys: Sequence[str] = CLUSTER) -
 
 def entity_mass(df: DataFrame, n: int = 5, keys: Sequence[str] = CLUSTER) -> DataFrame:
     """Sum of the top-n mention counts over all entity kinds."""
-    ranked = top_per_key(entity_counts(df, keys), [*keys, "kind"], [F.desc("mentions"), F.asc("name")], n)
+    ranked = top_entities(df, n, keys)
     return ranked.groupBy(*keys).agg(F.sum("mentions").alias("entity_mass"))
 
 
@@ -275,7 +275,7 @@ def cluster_info(
         chosen = first_articles(quiet, number_of_top_articles, (ts, "article_id"), keys)
     articles = chosen.groupBy(*keys).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", "DocumentIdentifier"))),
+            F.sort_array(F.collect_list(F.struct("rank", "DocumentIdentifier"))),
             lambda a: a["DocumentIdentifier"],
         ).alias("top_articles")
     )

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.session import cut_lineage
+
 # Rows concatenated into one text value. Longer groups come out as several
 # numbered parts whose concatenation is the whole text.
 PART_SIZE = 1000
@@ -48,8 +50,10 @@ def ordered_positions(
 
     ``order`` is numeric. A key with many rows is cut into equal-width slices of
     its value range; slices are numbered separately and shifted by the rows in
-    earlier slices, so one key can use many tasks.
+    earlier slices, so one key can use many tasks. The rows are read several
+    times, so they are written once first.
     """
+    df = cut_lineage(df)
     span = df.groupBy(*keys).agg(
         F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("_rows")
     )
@@ -89,7 +93,7 @@ def concat_in_order(
     """
     part = F.floor(F.col(position) / F.lit(part_size)).cast("long")
     rows = df.select(*keys, part.alias("part"), F.col(position).alias("_pos"), text.alias("_text"))
-    pairs = F.array_sort(F.collect_list(F.struct("_pos", "_text")))
+    pairs = F.sort_array(F.collect_list(F.struct("_pos", "_text")))
     return rows.groupBy(*keys, "part").agg(
         F.array_join(F.transform(pairs, lambda p: p["_text"]), sep).alias(out)
     )

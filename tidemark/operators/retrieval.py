@@ -145,7 +145,7 @@ def entity_questions(companies: DataFrame, ticker: str = "ticker") -> DataFrame:
 
 def answers_map(answers: DataFrame, ticker: str = "ticker") -> DataFrame:
     """Per company a map of topic to (query, result); the bank bounds its size."""
-    ordered = F.array_sort(F.collect_list(F.struct("question_no", "topic", "query", "result")))
+    ordered = F.sort_array(F.collect_list(F.struct("question_no", "topic", "query", "result")))
     entries = F.transform(
         ordered, lambda e: F.struct(e["topic"].alias("key"), F.struct(e["query"].alias("query"), e["result"].alias("result")).alias("value"))
     )

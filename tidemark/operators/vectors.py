@@ -22,8 +22,10 @@ from tidemark.session import cut_lineage
 DIM = 256
 # Fixed value: a term is two or more letters, digits or underscores.
 TERM = r"[\p{L}\p{N}_]{2,}"
-# Largest query matrix that is sent to every task.
+# Largest side of a neighbour search that is sent to every task.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Largest distance matrix a task holds at a time.
+MATRIX_CELLS = 4_000_000
 
 
 # -- text to vector --------------------------------------------------------------------------
@@ -129,24 +131,44 @@ def _distances(queries: np.ndarray, corpus: np.ndarray, metric: str) -> np.ndarr
 
 def _best_of_block(
     qid: np.ndarray, qvec: np.ndarray, cid: np.ndarray, cvec: np.ndarray, k: int, metric: str, exclude_self: bool
-) -> pd.DataFrame:
-    """The k nearest corpus rows of one block for each query."""
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and ids of the k nearest corpus rows of one block per query."""
+    order = np.argsort(cid, kind="stable")
+    cid, cvec = cid[order], cvec[order]
     dist = _distances(qvec, cvec, metric)
     if exclude_self:
         dist[qid[:, None] == cid[None, :]] = np.inf
-    order = np.argsort(cid, kind="stable")
-    ranked = np.argsort(dist[:, order], axis=1, kind="stable")[:, :k]
-    best = order[ranked]
+    ranked = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(dist, ranked, axis=1), cid[ranked]
+
+
+def _merge_best(
+    a: tuple[np.ndarray, np.ndarray] | None, b: tuple[np.ndarray, np.ndarray], k: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two results for the same queries."""
+    if a is None:
+        return b
+    dist, ids = np.hstack([a[0], b[0]]), np.hstack([a[1], b[1]])
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    dist, ids = np.take_along_axis(dist, by_id, axis=1), np.take_along_axis(ids, by_id, axis=1)
+    best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(dist, best, axis=1), np.take_along_axis(ids, best, axis=1)
+
+
+def _as_rows(qid: np.ndarray, best: tuple[np.ndarray, np.ndarray]) -> pd.DataFrame:
+    dist, ids = best
     frame = pd.DataFrame(
-        {
-            "query_id": np.repeat(qid, best.shape[1]),
-            "neighbour_id": cid[best].ravel(),
-            "distance": np.take_along_axis(dist, best, axis=1).ravel(),
-        }
+        {"query_id": np.repeat(qid, dist.shape[1]), "neighbour_id": ids.ravel(), "distance": dist.ravel()}
     )
     return frame[np.isfinite(frame["distance"])]
 
 
+def _slices(n: int, other: int) -> Iterator[slice]:
+    """Ranges of ``n`` rows whose distance matrix against ``other`` rows stays small."""
+    rows = max(1, MATRIX_CELLS // max(other, 1))
+    return (slice(start, start + rows) for start in range(0, n, rows))
+
+
 def knn(
     queries: DataFrame,
     corpus: DataFrame,
@@ -163,10 +185,10 @@ def knn(
     """Exact k nearest corpus rows per query among rows equal on ``where``.
 
     Output (query_id, neighbour_id, distance, rank). Each task keeps only its k
-    best per query; no query-corpus pair is ever a row. While the query matrix
-    stays below ``broadcast_bytes`` it travels to the tasks and the corpus is
-    read in place, without a shuffle; beyond that, blocks of both sides meet in
-    an equi-join. ``l2`` is the squared distance.
+    best per query; no query-corpus pair is ever a row. Whichever side stays
+    below ``broadcast_bytes`` (queries are tried first) travels to the tasks and
+    the other side is read in place, without a shuffle. When both are larger,
+    blocks of both sides meet in an equi-join. ``l2`` is the squared distance.
     """
     q_type = queries.schema[query_id].dataType
     c_type = corpus.schema[corpus_id].dataType
@@ -182,34 +204,68 @@ def knn(
     queries = queries.where(F.col(vec).isNotNull()).dropna(subset=list(where)) if where else queries.where(F.col(vec).isNotNull())
     q = queries.select(F.col(query_id).alias("qid"), key.alias("key"), vector.alias("qvec"))
     c = corpus.where(F.col(vec).isNotNull()).select(F.col(corpus_id).alias("cid"), key.alias("key"), vector.alias("cvec"))
-    size = q.agg(F.sum(F.size("qvec") * 8 + F.length("key") + 64).alias("b")).first()["b"] or 0
-    if size <= broadcast_bytes:
-        partial = _knn_in_place(q, c, schema, k, metric, exclude_self)
+    if _bytes(q, "qvec") <= broadcast_bytes:
+        partial = _knn_queries_sent(q, c, schema, k, metric, exclude_self)
+    elif _bytes(c, "cvec") <= broadcast_bytes:
+        partial = _knn_corpus_sent(q, c, schema, k, metric, exclude_self)
     else:
         partial = _knn_by_blocks(q, c, schema, k, metric, exclude_self, block_rows)
     return top_per_key(partial, ["query_id"], [F.asc("distance"), F.asc("neighbour_id")], k)
 
 
-def _knn_in_place(q: DataFrame, c: DataFrame, schema: T.StructType, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    # The size was checked against the bound just before.
-    rows = q.toPandas()
-    packed = {
-        name: (group["qid"].to_numpy(), np.stack(group["qvec"].to_numpy()).astype("float64"))
-        for name, group in rows.groupby("key", sort=False)
+def _bytes(df: DataFrame, vec: str) -> int:
+    """Upper estimate of the size of one side in memory."""
+    return df.agg(F.sum(F.size(vec) * 8 + F.length("key") + 64).alias("b")).first()["b"] or 0
+
+
+def _by_key(df: DataFrame, ident: str, vec: str) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Ids and matrix per key of a side whose size was checked against the bound."""
+    return {
+        name: (group[ident].to_numpy(), np.stack(group[vec].to_numpy()).astype("float64"))
+        for name, group in df.toPandas().groupby("key", sort=False)
     }
-    shared = q.sparkSession.sparkContext.broadcast(packed)
+
+
+def _knn_queries_sent(q: DataFrame, c: DataFrame, schema: T.StructType, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    shared = q.sparkSession.sparkContext.broadcast(_by_key(q, "qid", "qvec"))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # One running result per task, so a task returns at most k rows per query.
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for name, group in batch.groupby("key", sort=False):
-                if name in shared.value:
-                    qid, qvec = shared.value[name]
-                    cvec = np.stack(group["cvec"].to_numpy()).astype("float64")
-                    yield _best_of_block(qid, qvec, group["cid"].to_numpy(), cvec, k, metric, exclude_self)
+                if name not in shared.value:
+                    continue
+                qid, qvec = shared.value[name]
+                for rows in _slices(len(group), len(qid)):
+                    part = group.iloc[rows]
+                    cvec = np.stack(part["cvec"].to_numpy()).astype("float64")
+                    found = _best_of_block(qid, qvec, part["cid"].to_numpy(), cvec, k, metric, exclude_self)
+                    best[name] = _merge_best(best.get(name), found, k)
+        for name, found in best.items():
+            yield _as_rows(shared.value[name][0], found)
 
     return c.mapInPandas(nearest, schema)
 
 
+def _knn_corpus_sent(q: DataFrame, c: DataFrame, schema: T.StructType, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    shared = c.sparkSession.sparkContext.broadcast(_by_key(c, "cid", "cvec"))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, group in batch.groupby("key", sort=False):
+                if name not in shared.value:
+                    continue
+                cid, cvec = shared.value[name]
+                for rows in _slices(len(group), len(cid)):
+                    part = group.iloc[rows]
+                    qvec = np.stack(part["qvec"].to_numpy()).astype("float64")
+                    qid = part["qid"].to_numpy()
+                    yield _as_rows(qid, _best_of_block(qid, qvec, cid, cvec, k, metric, exclude_self))
+
+    return q.mapInPandas(nearest, schema)
+
+
 def _knn_by_blocks(
     q: DataFrame, c: DataFrame, schema: T.StructType, k: int, metric: str, exclude_self: bool, block_rows: int
 ) -> DataFrame:
@@ -223,7 +279,7 @@ def _knn_by_blocks(
 
     pairs = packed(q, "qid", "qvec", "qblock").join(packed(c, "cid", "cvec", "cblock"), "key")
     # Every block pair is one row; spread them evenly whatever the key.
-    spread = pairs.repartition(F.col("key"), F.col("qblock"), F.col("cblock"))
+    spread = pairs.repartition("key", "qblock", "cblock")
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -231,7 +287,7 @@ def _knn_by_blocks(
                 qid, cid = np.asarray(row.qid), np.asarray(row.cid)
                 qvec = np.asarray(row.qvec, dtype="float64").reshape(len(qid), -1)
                 cvec = np.asarray(row.cvec, dtype="float64").reshape(len(cid), -1)
-                yield _best_of_block(qid, qvec, cid, cvec, k, metric, exclude_self)
+                yield _as_rows(qid, _best_of_block(qid, qvec, cid, cvec, k, metric, exclude_self))
 
     return spread.select("qid", "qvec", "cid", "cvec").mapInPandas(nearest, schema)
 
