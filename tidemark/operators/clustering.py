@@ -427,7 +427,9 @@ def _silhouette_euclidean(df: DataFrame, vec: str, cluster: str, id_col: str, ou
         F.flatten(F.collect_list(F.col(vec).cast("array<double>"))).alias("xs"),
     )
     left = packed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    right = packed.select(F.col("_block").alias("_other"), F.col("labels").alias("o_labels"), F.col("xs").alias("o_xs"))
+    right = packed.select(
+        F.col("_block").alias("_other"), F.col("ids").alias("o_ids"), F.col("labels").alias("o_labels"), F.col("xs").alias("o_xs")
+    )
     pairs = left.join(right, "_other").repartition(F.col("_block"), F.col("_other"))
     schema = T.StructType(
         [
@@ -446,12 +448,13 @@ def _silhouette_euclidean(df: DataFrame, vec: str, cluster: str, id_col: str, ou
                 y = np.asarray(row.o_xs, dtype="float64").reshape(len(o_labels), -1)
                 squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2.0 * (x @ y.T)
                 dist = np.sqrt(np.maximum(squares, 0.0))
+                dist[ids[:, None] == np.asarray(row.o_ids)[None, :]] = 0.0
                 for label in np.unique(o_labels):
                     yield pd.DataFrame(
                         {id_col: ids, cluster: labels, "_other": label, "_sum": dist[:, o_labels == label].sum(axis=1)}
                     )
 
-    partial = pairs.select("ids", "labels", "xs", "o_labels", "o_xs").mapInPandas(sums, schema)
+    partial = pairs.select("ids", "labels", "xs", "o_ids", "o_labels", "o_xs").mapInPandas(sums, schema)
     per_label = partial.groupBy(id_col, cluster, "_other").agg(F.sum("_sum").alias("_sum"))
     sized = per_label.join(stats.withColumnRenamed(cluster, "_other"), "_other")
     own = F.col("_other") == F.col(cluster)

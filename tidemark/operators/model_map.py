@@ -6,9 +6,11 @@ import time
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from tidemark.session import cut_lineage
+
 # Calls at the same time, attempts and waits between them.
 CONCURRENCY = 5
 RETRIES = 3
@@ -61,3 +63,15 @@ def map_with_model(
 
     source = df if concurrency is None else df.repartition(concurrency)
     return source.mapInPandas(apply, schema)
+
+
+def ask(df: DataFrame, prompt: Column, out_col: str, model: Callable[[list[str]], list] | None, **options) -> DataFrame:
+    """Answers to a prompt column; without a model the answer is the prompt.
+
+    Model answers are written once (checkpoint), so later steps and lost
+    executors do not ask again.
+    """
+    if model is None or model is identity_model:
+        return df.withColumn(out_col, prompt)
+    asked = map_with_model(df.withColumn("_prompt", prompt), "_prompt", out_col, model, **options)
+    return cut_lineage(asked.drop("_prompt"))

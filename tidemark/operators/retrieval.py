@@ -11,7 +11,7 @@ from tidemark.operators import prompts
 from tidemark.operators.chunking import CHUNK_CHARS, CHUNK_OVERLAP, chunk_chars, chunk_text
 from tidemark.operators.filters import where_metadata
 from tidemark.operators.joins import parent_chunks, question_pairs
-from tidemark.operators.model_map import identity_model, map_with_model
+from tidemark.operators.model_map import ask
 from tidemark.operators.ordering import concat_in_order
 from tidemark.operators.vectors import embed, knn
 
@@ -53,7 +53,7 @@ def index_sections(
         summarised = chunks.withColumn("content", F.col("original_content"))
     else:
         prompt = prompts.fill(prompts.SECTION_PROMPT, ticker="ticker", filing_type="filing_type", doc="original_content")
-        summarised = map_with_model(chunks.withColumn("_prompt", prompt), "_prompt", "content", model, **model_options).drop("_prompt")
+        summarised = ask(chunks, prompt, "content", model, **model_options)
     return embed(summarised, "content", embedder)
 
 
@@ -83,10 +83,9 @@ def answer_inputs(
     per question. Output: query_id, question, combine prompt and ``answer``.
     Without a model answers are the prompts.
     """
-    asked = hits.join(questions.select("query_id", "question"), "query_id").withColumn(
-        "prompt", prompts.fill(question_prompt, context="page_content", question="question")
-    )
-    answered = _ask(asked, "prompt", "part_answer", model, **model_options)
+    asked = hits.join(questions.select("query_id", "question"), "query_id")
+    prompt = prompts.fill(question_prompt, context="page_content", question="question")
+    answered = ask(asked, prompt, "part_answer", model, **model_options)
     text = F.col("part_answer")
     if with_sources:
         # Fixed value: layout of an answer with its source.
@@ -97,7 +96,7 @@ def answer_inputs(
     combined = summaries.withColumn(
         "combine_prompt", prompts.fill(combine_prompt, summaries="summaries", question="question")
     )
-    return _ask(combined, "combine_prompt", "answer", model, **model_options).drop("summaries")
+    return ask(combined, F.col("combine_prompt"), "answer", model, **model_options).drop("summaries")
 
 
 def refine_inputs(
@@ -111,28 +110,18 @@ def refine_inputs(
 ) -> DataFrame:
     """Question answering that folds the chunks in one after the other."""
     asked = hits.join(questions.select("query_id", "question"), "query_id")
-    rows = asked.where("rank = 1").withColumn(
-        "_prompt", prompts.fill(first_prompt, context="page_content", question="question")
-    )
-    state = _ask(rows, "_prompt", "answer", model, **model_options).select("query_id", "question", "answer")
+    prompt = prompts.fill(first_prompt, context="page_content", question="question")
+    state = ask(asked.where("rank = 1"), prompt, "answer", model, **model_options).select("query_id", "question", "answer")
     for rank in range(2, k + 1):
         more = hits.where(F.col("rank") == rank).select("query_id", "page_content")
-        step = state.join(more, "query_id", "left").withColumn(
-            "_prompt", prompts.fill(refine_prompt, question="question", answer="answer", context="page_content")
-        )
+        prompt = prompts.fill(refine_prompt, question="question", answer="answer", context="page_content")
         # A question with fewer hits has no prompt here and keeps its answer.
-        state = _ask(step, "_prompt", "_next", model, **model_options).select(
+        state = ask(state.join(more, "query_id", "left"), prompt, "_next", model, **model_options).select(
             "query_id", "question", F.coalesce("_next", "answer").alias("answer")
         )
     return state
 
 
-def _ask(df: DataFrame, prompt: str, out: str, model: Callable | None, **options) -> DataFrame:
-    if model is None or model is identity_model:
-        return df.withColumn(out, F.col(prompt))
-    return map_with_model(df, prompt, out, model, **options)
-
-
 def question_bank(companies: DataFrame, ticker: str = "ticker") -> DataFrame:
     """The 24 topic questions for every company."""
     return question_pairs(companies, prompts.COMPANY_QUESTIONS, ticker)
