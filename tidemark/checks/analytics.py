@@ -270,16 +270,14 @@ def c4_squared(t: Tables) -> DataFrame:
 
 @query(
     "c5_news_events",
-    INFO_SQL + """ SELECT *, CAST(row_number() OVER (PARTITION BY call_id ORDER BY round(0.5 * size_importance + 0.3 * cohesiveness
-        + (1 - time_variance) * (-0.2), 6) DESC NULLS FIRST, cluster) AS INTEGER) AS rank FROM info""",
+    INFO_SQL + """ SELECT *, CAST(row_number() OVER (PARTITION BY call_id ORDER BY 0.5 * size_importance + 0.3 * cohesiveness
+        + (1 - time_variance) * (-0.2) DESC NULLS FIRST, cluster) AS INTEGER) AS rank FROM info QUALIFY rank <= 30""",
     ("clustered",),
 )
 def c5(t: Tables) -> DataFrame:
-    """Flagship: described events of every call, ranked by combined health."""
+    """Flagship: the best described events of every call by combined health."""
     info = readable(news_events.describe_clusters(t.clustered, keys=KEYS))
-    scored = windows.health_order(info).withColumn("score", F.round("score", 6))
-    order = [F.col("score").desc_nulls_first(), F.asc("cluster")]
-    return windows.top_per_key(scored, ["call_id"], order, 1_000_000).drop("score")
+    return windows.top_events(info, 30, tie="cluster").drop("score")
 
 
 @query("c5_news_events_from_text")
@@ -299,11 +297,24 @@ def c6(t: Tables) -> DataFrame:
     )
 
 
-@query("s3_write_events")
+ONE_RUN_SQL = "WITH one_run AS (SELECT * REPLACE (CAST(77 AS BIGINT) AS call_id) FROM clustered), " + INFO_SQL.strip()[5:].replace(
+    "clustered", "one_run"
+)
+
+
+@query(
+    "s3_write_events",
+    ONE_RUN_SQL + """ SELECT concat(call_id, '-', cluster) AS event_id, call_id, cluster AS cluster_id, top_articles, top_themes, top_persons,
+        top_orgs, top_locs, FALSE AS irrelevant, size_importance, median_date FROM info""",
+    ("clustered",),
+)
 def s3(t: Tables) -> DataFrame:
-    info = cluster_info(t.clustered)
-    rows = event_rows(info, 77, 5, 7)
-    return rows.select("event_id", "call_id", "cluster_id", "top_articles", "top_themes", "top_persons", "top_orgs", "top_locs", "irrelevant")
+    rows = event_rows(cluster_info(t.clustered), 77, 5, 7)
+    return rows.select(
+        "event_id", "call_id", "cluster_id", "top_articles", "top_themes", "top_persons", "top_orgs", "top_locs", "irrelevant",
+        F.round(F.col("cluster_health")[0], 6).alias("size_importance"),
+        F.date_format("median_date", "yyyy-MM-dd HH:mm:ss").alias("median_date"),
+    )
 
 
 # -- statements ------------------------------------------------------------------------------

@@ -380,8 +380,18 @@ def r10(t: Tables) -> DataFrame:
     return found
 
 
-@query("r3_refine_inputs")
+def refine_sql() -> str:
+    contexts = ", ".join(f"max(CASE WHEN rank = {i} THEN page_content END) AS c{i}" for i in range(1, 6))
+    first = template_sql(prompts.QUESTION_PROMPT, context="c1", question="question")
+    steps = f"w AS (SELECT query_id, question, {contexts} FROM hit GROUP BY ALL), a1 AS (SELECT *, {first} AS answer FROM w)"
+    for i in range(2, 6):
+        nxt = template_sql(retrieval.REFINE_PROMPT, question="question", answer="answer", context=f"c{i}")
+        steps += f", a{i} AS (SELECT * REPLACE (coalesce({nxt}, answer) AS answer) FROM a{i - 1})"
+    return f"WITH {hits_sql(prompts.ENTITY_QUESTIONS)}, {steps} SELECT query_id, md5(answer) AS digest FROM a5"
+
+
+@query("r3_refine_inputs", refine_sql(), ("sections",))
 def r3_refine(t: Tables) -> DataFrame:
     asked = _questions(t, retrieval.entity_questions(t.sections))
     hits = retrieval.retrieve(asked, _index(t), 5, ["ticker"], {"filing_type": "en"})
-    return retrieval.refine_inputs(asked, hits).select("query_id", F.length("answer").alias("n_chars"))
+    return retrieval.refine_inputs(asked, hits).select("query_id", F.md5("answer").alias("digest"))

@@ -28,6 +28,8 @@ from tidemark.session import cut_lineage
 NOISE = -1
 # Points of one cell that may meet a neighbour's points in one task.
 SALT_ROWS = 20_000
+# Rows that meet one block of clusters in one task.
+ROWS_PER_SALT = 1_000_000
 # Two boxes with at most this many point pairs are compared point by point.
 LEAF_PAIRS = 256
 
@@ -389,20 +391,24 @@ def _silhouette_squared(df: DataFrame, vec: str, cluster: str, id_col: str, out:
         summed_vector("sum", v, F.lit(1.0)).alias("s"),
         F.sum(dot(v, v)).alias("q"),
     )
-    # Clusters are packed into blocks of bounded width; every row meets each block.
-    block = F.pmod(F.xxhash64(cluster), F.ceil(stats.agg(F.count("*")).scalar() / F.lit(per_block)))
-    packed = stats.withColumn("_block", block).groupBy("_block").agg(
+    # Clusters are packed into blocks of bounded width and every row meets each
+    # block; salts keep the rows that meet one block in several tasks.
+    blocks = F.ceil(stats.agg(F.count("*")).scalar() / F.lit(per_block))
+    salts = F.ceil(df.agg(F.count("*")).scalar() / F.lit(ROWS_PER_SALT))
+    packed = stats.withColumn("_block", F.pmod(F.xxhash64(cluster), blocks)).groupBy("_block").agg(
         F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "s", "q")).alias("_stats")
     )
-    blocks = F.ceil(stats.agg(F.count("*")).scalar() / F.lit(per_block))
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
     rows = df.select(F.col(id_col), F.col(cluster), v.alias("_v")).withColumn("_vv", dot(F.col("_v"), F.col("_v")))
-    spread = rows.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), salts)).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    )
 
     def total(s: Column) -> Column:
         """Sum of squared distances from the row to the cluster."""
         return s["n"] * F.col("_vv") - F.lit(2.0) * dot(F.col("_v"), s["s"]) + s["q"]
 
-    meets = spread.join(packed, "_block").select(
+    meets = spread.join(packed, ["_block", "_salt"]).select(
         id_col,
         cluster,
         F.array_min(

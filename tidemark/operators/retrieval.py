@@ -16,6 +16,7 @@ from tidemark.operators.ordering import concat_in_order
 from tidemark.operators.vectors import embed, knn
 
 TOP_K = 5
+REFINE_PROMPT = "Question: {question}\nAnswer so far: {answer}\nMore context:\n{context}\nImproved answer:"
 METADATA = ("ticker", "filing_type", "filing_date", "filing_section", "filing_description")
 
 
@@ -105,7 +106,7 @@ def refine_inputs(
     model: Callable[[list[str]], list[str]] | None = None,
     k: int = TOP_K,
     first_prompt: str = prompts.QUESTION_PROMPT,
-    refine_prompt: str = "Question: {question}\nAnswer so far: {answer}\nMore context:\n{context}\nImproved answer:",
+    refine_prompt: str = REFINE_PROMPT,
     **model_options,
 ) -> DataFrame:
     """Question answering that folds the chunks in one after the other."""

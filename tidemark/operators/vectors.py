@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +25,8 @@ DIM = 256
 TERM = r"[\p{L}\p{N}_]{2,}"
 # Largest side of a neighbour search that is sent to every task.
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Corpus blocks that one query block meets in one task.
+BLOCKS_PER_SLOT = 16
 # Largest distance matrix a task holds at a time.
 MATRIX_CELLS = 4_000_000
 
@@ -269,17 +272,27 @@ def _knn_corpus_sent(q: DataFrame, c: DataFrame, schema: T.StructType, k: int, m
 def _knn_by_blocks(
     q: DataFrame, c: DataFrame, schema: T.StructType, k: int, metric: str, exclude_self: bool, block_rows: int
 ) -> DataFrame:
-    def packed(df: DataFrame, ident: str, vec: str, block: str) -> DataFrame:
-        sizes = df.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias("_b"))
-        number = F.pmod(F.xxhash64(ident), F.col("_b"))
-        spread = df.join(sizes, "key").withColumn(block, number)
+    def block_counts(df: DataFrame, out: str) -> DataFrame:
+        return df.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias(out))
+
+    def packed(df: DataFrame, counts: DataFrame, count: str, ident: str, vec: str, block: str) -> DataFrame:
+        spread = df.join(counts, "key").withColumn(block, F.pmod(F.xxhash64(ident), F.col(count)))
         return spread.groupBy("key", block).agg(
             F.collect_list(ident).alias(ident), F.flatten(F.collect_list(vec)).alias(vec)
         )
 
-    pairs = packed(q, "qid", "qvec", "qblock").join(packed(c, "cid", "cvec", "cblock"), "key")
-    # Every block pair is one row; spread them evenly whatever the key.
-    spread = pairs.repartition("key", "qblock", "cblock")
+    # A query block meets the corpus blocks of its key in slots of a few blocks
+    # each, so one key uses as many tasks as its block pairs need.
+    counts = block_counts(q, "_qb").join(block_counts(c, "_cb"), "key")
+    slots = F.ceil(F.col("_cb") / F.lit(BLOCKS_PER_SLOT))
+    left = packed(q, counts.select("key", "_qb"), "_qb", "qid", "qvec", "qblock").join(counts, "key").select(
+        "key", "qblock", "qid", "qvec", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot")
+    )
+    right = packed(c, counts.select("key", "_cb"), "_cb", "cid", "cvec", "cblock").join(counts, "key").select(
+        "key", F.pmod("cblock", slots).alias("slot"), "cid", "cvec",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb") - 1)).alias("qblock"),
+    )
+    pairs = left.join(right, ["key", "qblock", "slot"])
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -289,7 +302,7 @@ def _knn_by_blocks(
                 cvec = np.asarray(row.cvec, dtype="float64").reshape(len(cid), -1)
                 yield _as_rows(qid, _best_of_block(qid, qvec, cid, cvec, k, metric, exclude_self))
 
-    return spread.select("qid", "qvec", "cid", "cvec").mapInPandas(nearest, schema)
+    return pairs.select("qid", "qvec", "cid", "cvec").mapInPandas(nearest, schema)
 
 
 # -- tf-idf ----------------------------------------------------------------------------------
@@ -311,13 +324,13 @@ def tfidf(df: DataFrame, columns: dict[str, str], id_col: str = "article_id") ->
         id_col, F.col("_x.kind").alias("kind"), F.explode("_x.terms").alias("term")
     )
     tf = exploded.groupBy(id_col, "kind", "term").agg(F.count("*").cast("double").alias("tf"))
-    doc_freq = tf.groupBy("kind", "term").agg(F.count("*").alias("df"))
+    # Counting the tf column keeps both uses of the counts on one shuffle.
+    doc_freq = tf.groupBy("kind", "term").agg(F.count("tf").alias("df"))
     n_docs = df.agg(F.count("*")).scalar()
     idf = doc_freq.select(
         "kind", "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
     )
     weighted = tf.join(idf, ["kind", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = weighted.groupBy(id_col, "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return weighted.join(lengths, [id_col, "kind"]).select(
-        id_col, "kind", "term", (F.col("w") / F.col("len")).alias("weight")
-    )
+    # The terms of one article column came from one row, so the window is small.
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(id_col, "kind")))
+    return weighted.select(id_col, "kind", "term", (F.col("w") / length).alias("weight"))
