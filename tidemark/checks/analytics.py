@@ -16,6 +16,7 @@ from tidemark.operators import clustering, graph, statements, vectors, windows
 from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import news_events
+from tidemark.session import cut_lineage
 from tidemark.sources.events import event_rows
 from tidemark.streaming import rate_limit
 
@@ -276,7 +277,7 @@ def c4_squared(t: Tables) -> DataFrame:
 )
 def c5(t: Tables) -> DataFrame:
     """Flagship: the best described events of every call by combined health."""
-    info = readable(news_events.describe_clusters(t.clustered, keys=KEYS))
+    info = readable(news_events.describe_clusters(cut_lineage(t.clustered), keys=KEYS))
     return windows.top_events(info, 30, tie="cluster").drop("score")
 
 
@@ -309,7 +310,7 @@ ONE_RUN_SQL = "WITH one_run AS (SELECT * REPLACE (CAST(77 AS BIGINT) AS call_id)
     ("clustered",),
 )
 def s3(t: Tables) -> DataFrame:
-    rows = event_rows(cluster_info(t.clustered), 77, 5, 7)
+    rows = event_rows(cluster_info(cut_lineage(t.clustered)), 77, 5, 7)
     return rows.select(
         "event_id", "call_id", "cluster_id", "top_articles", "top_themes", "top_persons", "top_orgs", "top_locs", "irrelevant",
         F.round(F.col("cluster_health")[0], 6).alias("size_importance"),

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from tidemark.checks.fixtures import Tables
 from tidemark.checks.registry import query
+from tidemark.checks.scalars import question_rows_sql
 from tidemark.functions.mentions import MENTION_COLUMNS
 from tidemark.operators import aggregates, audits, digests, joins, maintenance, windows
 from tidemark.operators.prompts import COMPANY_QUESTIONS, GREETING
-from tidemark.checks.scalars import question_rows_sql
+from tidemark.session import cut_lineage
 
 KEYS = ("call_id", "cluster")
 
@@ -304,7 +305,8 @@ def readable(info: DataFrame, *extra: str) -> DataFrame:
 
 @query("a10_cluster_info", INFO_SQL + " SELECT * FROM info", ("clustered",))
 def a10(t: Tables) -> DataFrame:
-    return readable(aggregates.cluster_info(t.clustered, keys=KEYS))
+    # The derived input is read several times, so it is written once.
+    return readable(aggregates.cluster_info(cut_lineage(t.clustered), keys=KEYS))
 
 
 @query(
