@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,9 +18,9 @@ from tidemark.operators import clustering, graph, statements, vectors, windows
 from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import news_events
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources.events import event_rows
-from tidemark.streaming import rate_limit
+from tidemark.streaming import incremental, rate_limit
 
 TERM_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
 ONES = [1.0] * 64
@@ -449,3 +451,18 @@ RATES_SQL = RATE_SQL.format(unit="minute", per="1 minute", limit=1) + " UNION AL
 def st1(t: Tables) -> DataFrame:
     found = rate_limit.rate_limit_audit(t.events, LIMITS)
     return found.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("st2_incremental_events", "SELECT doc_id AS event_id, length(text) AS n_chars FROM documents WHERE lang <> 'fr'")
+def st2(t: Tables) -> DataFrame:
+    """Documents arriving as a file stream; French ones count as flagged."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/st2-{uuid.uuid4().hex}"
+    arrivals = incremental.read_arrivals(t.spark, t.sf_dir, t.documents.schema, pattern="documents.parquet")
+    events = arrivals.select(F.col("doc_id").alias("event_id"), "text", (F.col("lang") == "fr").alias("irrelevant"))
+
+    def process(new: DataFrame) -> DataFrame:
+        return new.select("event_id", F.length("text").alias("n_chars"))
+
+    job = incremental.incremental_events(events, process, f"{folder}/out", f"{folder}/marks").trigger(availableNow=True).start()
+    job.awaitTermination()
+    return t.spark.read.parquet(f"{folder}/out").select("event_id", "n_chars")

@@ -12,9 +12,13 @@ from pyspark.sql.types import StructType
 from tidemark.plans.event_processing import new_events
 
 
-def read_arrivals(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None) -> DataFrame:
-    """Stream of event rows from a growing folder."""
+def read_arrivals(
+    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int | None = None, pattern: str | None = None
+) -> DataFrame:
+    """Stream of event rows from a growing folder; ``pattern`` picks files by name."""
     reader = spark.readStream.schema(schema)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)
