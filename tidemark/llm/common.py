@@ -13,9 +13,9 @@ from tidemark.session import ensure_checkpoint_dir
 
 #: Rows (or row weights) a range of a sorted sweep is meant to hold, and the bounds on the number of ranges.
 ROWS_PER_RANGE = 200_000
-MIN_RANGES, MAX_RANGES = 64, 4096
+MIN_RANGES, MAX_RANGES = 64, 16_384
 #: Sampled keys per range; the sample is at most MAX_RANGES times this.
-SAMPLES_PER_RANGE = 32
+SAMPLES_PER_RANGE = 24
 #: Characters of a text key that a splitter keeps: any value between two keys may split them.
 SPLITTER_CHARS = 128
 

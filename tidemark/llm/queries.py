@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import byte_bpe, decontamination, quality, sentence_spans, simhash, token_counts, url_filter
+from tidemark.llm import (
+    byte_bpe,
+    decontamination,
+    quality,
+    sentence_spans,
+    sharding,
+    simhash,
+    token_counts,
+    url_filter,
+    winnowing,
+)
 from tidemark.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +104,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_decontamination")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_sharding")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op4_winnowing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.edit_report(table(spark, sf_dir, "documents"))
