@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import (
     byte_bpe,
     decontamination,
+    lm_scoring,
     quality,
     sentence_spans,
     sharding,
@@ -114,3 +115,9 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_winnowing")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.edit_report(table(spark, sf_dir, "documents"))
+
+
+@query("op1_lm_scores")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
