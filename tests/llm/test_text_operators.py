@@ -106,7 +106,8 @@ def plain_winnow(text: str, hash_of):
 
 def test_winnowing(edge_docs, no_docs):
     rows = winnowing.with_fingerprint(edge_docs.select("doc_id", "text"), "text", "kept")
-    rows = rows.withColumn("grams", winnowing.gram_values(winnowing.word_hashes(rows["text"])))
+    rows = rows.withColumn("grams", winnowing.word_hashes(rows["text"]))
+    rows = rows.withColumn("grams", winnowing.gram_values(rows["grams"]))
     for r in rows.collect():
         positions = [winnowing.LAST_POSITION - (v & winnowing.LAST_POSITION) for v in r["kept"]]
         if (r["text"] or "").isascii():
