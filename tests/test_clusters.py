@@ -229,10 +229,3 @@ def test_knn_plans_equal_brute_force(spark, plan, metric):
             dist = {j: 1 - x @ c[j] / np.linalg.norm(x) / np.linalg.norm(c[j]) for j in pool}
         best = sorted(pool, key=lambda j: (round(dist[j], 9), j))[:3]
         assert [found[(i, k + 1)] for k in range(len(best))] == [f"d{j:02}" for j in best]
-
-
-def test_suggested_eps_is_positive(spark):
-    rows = [(i, [float(v) for v in x]) for i, x in enumerate(points("uniform"))]
-    df = spark.createDataFrame(rows, "article_id long, reduced array<double>")
-    assert 0 < clustering.suggest_eps(df) < 1
-    assert df.select(F.size("reduced")).first()[0] == 2

@@ -26,6 +26,23 @@ def test_failing_model_gives_null(spark):
     assert {r["id"]: r["out"] for r in got} == {1: "A", 2: None, 3: None}
 
 
+def test_one_bad_prompt_costs_one_answer(spark):
+    def moody(texts):
+        if any("bad" in t for t in texts):
+            raise RuntimeError("no answer")
+        return [t.upper() for t in texts]
+
+    df = spark.createDataFrame([(i, "bad" if i == 4 else f"p{i}") for i in range(10)], "id int, p string").coalesce(1)
+    got = {r["id"]: r["out"] for r in map_with_model(df, "p", "out", moody, waits=(0, 0)).collect()}
+    assert got == {i: None if i == 4 else f"P{i}" for i in range(10)}
+
+
+def test_missing_answers_are_an_error(spark):
+    df = spark.createDataFrame([(i, "p") for i in range(10)], "id int, p string").coalesce(1)
+    with pytest.raises(Exception, match="3 answers to 10 prompts"):
+        map_with_model(df, "p", "out", lambda texts: texts[:3], waits=(0, 0)).collect()
+
+
 def test_model_is_retried(spark, tmp_path):
     mark = str(tmp_path / "seen")
 
@@ -128,6 +145,28 @@ def test_long_texts_come_in_parts(spark):
     assert [r["text"] for r in parts] == ["0123", "4567", "89"]
 
 
+def test_parts_are_joined_again(spark):
+    df = spark.range(25).selectExpr("'k' AS k", "id AS pos", "CAST(id % 10 AS STRING) AS t")
+    parts = ordering.concat_in_order(df, ["k"], "pos", F.col("t"), "text", "-", part_size=2)
+    assert [r["text"] for r in ordering.join_parts(parts, ["k"], "text", "-").collect()] == ["-".join(str(i % 10) for i in range(25))]
+
+
+def test_an_event_with_many_links_is_one_row(spark):
+    links = ",".join(f"u{i}" for i in range(1500))
+    events = spark.createDataFrame([(1, "Acme", links)], "event_id long, company string, top_articles string")
+    pages = spark.createDataFrame([("u7", "<b>seven</b>")], "url string, html string")
+    got = processing.summarize_articles(events, pages).collect()
+    assert len(got) == 1 and got[0]["summary"].count(processing.UNREADABLE) == 1499
+
+
+def test_greeting_comes_first_wherever_turns_start(spark):
+    rows = [(1, 1000 + k, "user" if k % 2 == 0 else "assistant", f"t{k}") for k in range(4)] + [(1, 999, "system", "rules")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    text = "".join(r["transcript"] for r in sorted(digests.chat_transcript(df).collect(), key=lambda r: r["part"]))
+    assert text.startswith("Human: ") and text.endswith("Human: t0\nAI Assistant: t1\nHuman: t2\nAI Assistant: t3") and "rules" not in text
+    assert "rules" in digests.chat_transcript(df, other_roles=("assistant", "system")).orderBy("part").first()["transcript"]
+
+
 def test_positions_of_a_hot_key(spark, monkeypatch):
     monkeypatch.setattr(ordering, "SLICE_ROWS", 50)
     df = spark.range(1000).selectExpr("CASE WHEN id < 700 THEN 'hot' ELSE CAST(id AS STRING) END AS k", "(id * 37) % 701 AS o", "id AS tie")
@@ -201,3 +240,19 @@ def test_incremental_events_are_processed_once(spark, tmp_path):
     run()
     got = sorted((r["event_id"], r["summary"]) for r in spark.read.parquet(out).collect())
     assert got == [(1, "A"), (3, "C"), (4, "D")]
+
+
+def test_a_new_run_keeps_what_earlier_runs_wrote(spark, tmp_path):
+    out = str(tmp_path / "out")
+    schema = T.StructType.fromDDL("event_id long, irrelevant boolean, text string")
+    for run, ids in (("one", range(5)), ("two", range(3, 8))):
+        source = str(tmp_path / run)
+        spark.createDataFrame([(i, False, run) for i in ids], schema).coalesce(1).write.parquet(source)
+        for _ in range(2):
+            arrivals = incremental.read_arrivals(spark, source, schema, 1)
+            job = incremental.incremental_events(arrivals, lambda e: e.select("event_id", "text"), out, f"{source}-marks")
+            job = job.trigger(availableNow=True).start()
+            job.awaitTermination(120)
+            assert job.exception() is None
+    got = sorted((r["event_id"], r["text"]) for r in spark.read.parquet(out).collect())
+    assert got == [(i, "one") for i in range(5)] + [(i, "two") for i in range(5, 8)]

@@ -11,7 +11,7 @@ from tidemark.checks.fixtures import Tables
 from tidemark.checks.registry import query
 from tidemark.checks.scalars import question_rows_sql
 from tidemark.functions.mentions import MENTION_COLUMNS
-from tidemark.operators import aggregates, audits, digests, joins, maintenance, windows
+from tidemark.operators import aggregates, audits, digests, joins, maintenance, ordering, windows
 from tidemark.operators.prompts import COMPANY_QUESTIONS, GREETING
 from tidemark.session import cut_lineage
 
@@ -311,14 +311,15 @@ def a10(t: Tables) -> DataFrame:
 
 @query(
     "a11_events_digest",
-    """SELECT call_id, CAST(0 AS BIGINT) AS part, string_agg(concat(' ' || chr(10) || '        Summary: "', DocumentIdentifier, '" ' || chr(10)), ''
+    """SELECT call_id, (rn - 1) // 1000 AS part, string_agg(concat(' ' || chr(10) || '        Summary: "', DocumentIdentifier, '" ' || chr(10)), ''
               ORDER BY rn) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY ts, article_id) AS rn FROM clustered)
-       WHERE rn <= 50 GROUP BY call_id""",
+       GROUP BY ALL""",
     ("clustered",),
 )
 def a11(t: Tables) -> DataFrame:
-    ranked = aggregates.first_articles(t.clustered, 50, keys=("call_id",))
-    return digests.events_digest(ranked.withColumnRenamed("DocumentIdentifier", "summary"))
+    articles = t.clustered.select("call_id", "article_id", F.col("DocumentIdentifier").alias("summary"), F.unix_micros("ts").alias("at"))
+    ranked = ordering.ordered_positions(articles, ["call_id"], "at", ["article_id"], "before").withColumn("rank", F.col("before") + 1)
+    return digests.events_digest(ranked)
 
 
 @query(

@@ -312,13 +312,16 @@ def _alert_inputs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
 
 ALERTS_SQL = f"""WITH ev AS ({BRAND_EVENTS.replace('{string}', 'VARCHAR')}),
   newest AS (SELECT stock_id, max_by(call_id, CASE call_id WHEN 'en' THEN 4 WHEN 'fr' THEN 3 WHEN 'es' THEN 2 ELSE 1 END) AS call_id FROM ev GROUP BY stock_id),
-  best AS (SELECT * FROM (SELECT ev.*, row_number() OVER (PARTITION BY ev.call_id ORDER BY 0.5 * size_importance + 0.3 * cohesiveness + (1 - time_variance) * (-0.2) DESC, event_id) AS hr
+  best AS (SELECT * FROM (SELECT ev.*, row_number() OVER (PARTITION BY ev.stock_id, ev.call_id ORDER BY 0.5 * size_importance + 0.3 * cohesiveness + (1 - time_variance) * (-0.2) DESC, event_id) AS hr
      FROM ev JOIN newest USING (stock_id, call_id)) WHERE hr <= 30),
   pe AS (SELECT best.*, concat('doc ', event_id) AS summary, embedding::DOUBLE[] AS v FROM (SELECT *, event_id % (SELECT count(*) FROM embeddings) AS k FROM best) best JOIN embeddings ON vec_id = k),
-  it AS (SELECT x.*, embedding::DOUBLE[] AS v FROM (SELECT a.area_id, s.user_id, s.alert_stock_id, p_brand AS stock, a.description AS area, a.area_id % (SELECT count(*) FROM embeddings) AS k
-     FROM areas a JOIN alert_stocks s ON s.alert_stock_id = a.alert_stock_id JOIN part ON p_partkey = s.stock_id) x JOIN embeddings ON vec_id = k),
-  hit AS (SELECT it.area_id, pe.summary, row_number() OVER (PARTITION BY it.area_id ORDER BY round(1 - list_cosine_similarity(it.v, pe.v), 9), pe.event_id) AS r FROM it JOIN pe ON pe.stock_id = it.stock),
-  dig AS (SELECT area_id, string_agg({DIGEST_BLOCK.format('summary')}, '' ORDER BY r) AS digest FROM hit WHERE r <= 30 GROUP BY area_id),
+  it AS (SELECT x.* FROM (SELECT a.area_id, s.user_id, s.alert_stock_id, p_brand AS stock, a.description AS area, a.area_id % (SELECT count(*) FROM embeddings) AS k
+     FROM areas a JOIN alert_stocks s ON s.alert_stock_id = a.alert_stock_id JOIN part ON p_partkey = s.stock_id) x),
+  need AS (SELECT DISTINCT k, stock FROM it),
+  sims AS (SELECT need.k, need.stock, pe.summary, row_number() OVER (PARTITION BY need.k, need.stock ORDER BY round(1 - list_cosine_similarity(e.embedding::DOUBLE[], pe.v), 9), pe.event_id) AS r
+    FROM need JOIN embeddings e ON e.vec_id = need.k JOIN pe ON pe.stock_id = need.stock),
+  digs AS (SELECT k, stock, string_agg({DIGEST_BLOCK.format('summary')}, '' ORDER BY r) AS digest FROM sims WHERE r <= 30 GROUP BY k, stock),
+  dig AS (SELECT area_id, digest FROM it JOIN digs USING (k, stock)),
   an AS (SELECT it.user_id, it.alert_stock_id, it.stock, it.area_id, {template_sql(prompts.RELEVANCE_PROMPT, context='area', events="coalesce(digest, '')")} AS analysis
      FROM it LEFT JOIN dig USING (area_id))"""
 

@@ -327,23 +327,6 @@ def density_cluster(
     return joined.withColumn(out, F.coalesce("label", F.lit(NOISE).cast("long"))).select(*df.columns, out)
 
 
-def suggest_eps(
-    df: DataFrame, min_samples: int = 3, quantile: float = 0.9, coords: str = "reduced", sample_rows: int = 2000, seed: int = 7
-) -> float:
-    """Quantile of the distance to the ``min_samples``-th point, on a sample.
-
-    A hint for choosing ``eps``; the clustering itself always sees every row. A
-    sample is sparser than the whole, so the distance is scaled by density.
-    """
-    total = df.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    rows = df.select(coords).sample(fraction=share, seed=seed).limit(2 * sample_rows).toPandas()
-    x = np.stack(rows[coords].to_numpy()).astype("float64")
-    gaps = np.sort(np.linalg.norm(x[:, None, :] - x[None, :, :], axis=2), axis=1)
-    kth = gaps[:, min(min_samples, len(x)) - 1]
-    return float(np.quantile(kth, quantile) * (len(x) / max(total, 1)) ** (1.0 / x.shape[1]))
-
-
 # -- silhouettes -----------------------------------------------------------------------------
 
 

@@ -35,21 +35,28 @@ def map_with_model(
 ) -> DataFrame:
     """Add ``out_col`` with the answers of ``fn(list of prompts)``.
 
-    A batch that keeps failing gets NULL after ``retries`` attempts, NULL prompts
-    are not sent. ``concurrency`` bounds the calls at the same time by the number
+    A batch that keeps failing after ``retries`` attempts is sent prompt by prompt, and
+    only a prompt that fails alone gets NULL. A model that returns another number of
+    answers than it got prompts is an error. NULL prompts are not sent. ``concurrency`` bounds the calls at the same time by the number
     of partitions (``CONCURRENCY`` is the usual limit of a remote service); None
     keeps the partitioning as it is.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, result_type or T.StringType())])
 
     def ask(texts: list[str]) -> list:
+        answers = None
         for attempt in range(retries):
             try:
-                return list(fn(texts))
+                answers = list(fn(texts))
+                break
             except Exception:  # any failure of the remote side is retried
                 if attempt < retries - 1:
                     time.sleep(waits[min(attempt, len(waits) - 1)])
-        return [None] * len(texts)
+        if answers is None:
+            return [None] if len(texts) == 1 else [a for text in texts for a in ask([text])]
+        if len(answers) != len(texts):
+            raise ValueError(f"the model gave {len(answers)} answers to {len(texts)} prompts")
+        return answers
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

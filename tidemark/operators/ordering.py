@@ -97,3 +97,12 @@ def concat_in_order(
     return rows.groupBy(*keys, "part").agg(
         F.array_join(F.transform(pairs, lambda p: p["_text"]), sep).alias(out)
     )
+
+
+def join_parts(parts: DataFrame, keys: Sequence[str], out: str, sep: str = "") -> DataFrame:
+    """One row per key: the parts of ``concat_in_order`` joined again, in part order.
+
+    For texts that are one value by their use (a prompt), whatever the number of parts.
+    """
+    pairs = F.sort_array(F.collect_list(F.struct("part", out)))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(pairs, lambda p: p[out]), sep).alias(out))

@@ -12,7 +12,7 @@ from tidemark.operators.chunking import CHUNK_CHARS, CHUNK_OVERLAP, chunk_chars,
 from tidemark.operators.filters import where_metadata
 from tidemark.operators.joins import parent_chunks, question_pairs
 from tidemark.operators.model_map import ask
-from tidemark.operators.ordering import concat_in_order
+from tidemark.operators.ordering import concat_in_order, join_parts
 from tidemark.operators.vectors import embed, knn
 
 TOP_K = 5
@@ -91,9 +91,10 @@ def answer_inputs(
     if with_sources:
         # Fixed value: layout of an answer with its source.
         text = F.concat(F.lit("Content: "), text, F.lit("\nSource: "), F.col("source"))
-    summaries = concat_in_order(
+    parts = concat_in_order(
         answered.withColumn("_pos", F.col("rank") - 1), ["query_id", "question"], "_pos", text, "summaries", "\n\n"
-    ).drop("part")
+    )
+    summaries = join_parts(parts, ["query_id", "question"], "summaries", "\n\n")
     combined = summaries.withColumn(
         "combine_prompt", prompts.fill(combine_prompt, summaries="summaries", question="question")
     )

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
@@ -30,22 +32,35 @@ def incremental_events(
     """Writer that processes each micro-batch once.
 
     Only events that are unflagged and not in the processed table go through
-    ``process``. A batch writes its own folder in overwrite mode, and that folder
-    is left out of the comparison, so a repeated batch gives the same table.
+    ``process``. A batch writes its own folder in overwrite mode, named by the run
+    (which keeps its id as long as its checkpoint) and the batch; that folder is left
+    out of the comparison, so a repeated batch gives the same table, and a run with a
+    new checkpoint adds to what earlier runs have written.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        done = _processed_before(spark, processed_path, batch_id)
+        own = f"{_run_id(spark, checkpoint)}-{batch_id}"
+        done = _processed_before(spark, processed_path, own)
         todo = batch.dropDuplicates(["event_id"])
         todo = new_events(todo, done) if done is not None else todo.where(~F.coalesce("irrelevant", F.lit(False)))
-        process(todo).write.mode("overwrite").parquet(f"{processed_path}/batch={batch_id}")
+        process(todo).write.mode("overwrite").parquet(f"{processed_path}/batch={own}")
 
     return arrivals.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
 
 
-def _processed_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Processed rows of earlier batches, or None at the start."""
-    if batch_id == 0:
-        return None
-    return spark.read.parquet(path).where(F.col("batch") < batch_id)
+def _run_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark keeps in a run's checkpoint folder."""
+    metadata = spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0]
+    return json.loads(metadata)["id"]
+
+
+def _processed_before(spark: SparkSession, path: str, own: str) -> DataFrame | None:
+    """Processed rows of all other batches, or None if there are none yet."""
+    try:
+        rows = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return rows.where(F.col("batch") != own)
