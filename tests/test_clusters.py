@@ -229,3 +229,18 @@ def test_knn_plans_equal_brute_force(spark, plan, metric):
             dist = {j: 1 - x @ c[j] / np.linalg.norm(x) / np.linalg.norm(c[j]) for j in pool}
         best = sorted(pool, key=lambda j: (round(dist[j], 9), j))[:3]
         assert [found[(i, k + 1)] for k in range(len(best))] == [f"d{j:02}" for j in best]
+
+
+def test_a_run_reduces_as_if_it_were_alone(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "MOMENT_ROWS", 7)
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 3, [float(v) for v in rng.normal(size=5) * (1 + i % 3)]) for i in range(90)]
+    df = spark.createDataFrame(rows, "article_id long, call_id long, embedding array<double>")
+    together = {r["article_id"]: r["reduced"] for r in clustering.reduce_dims(df, k=2, run=["call_id"]).collect()}
+    for call in range(3):
+        mine = df.where(F.col("call_id") == call)
+        alone = {r["article_id"]: r["reduced"] for r in clustering.reduce_dims(mine, k=2, run=["call_id"]).collect()}
+        whole = {r["article_id"]: r["reduced"] for r in clustering.reduce_dims(mine, k=2).collect()}
+        for i, point in alone.items():
+            np.testing.assert_allclose(together[i], point, atol=1e-9)
+            np.testing.assert_allclose(np.abs(whole[i]), np.abs(point), atol=1e-6)

@@ -30,17 +30,66 @@ NOISE = -1
 SALT_ROWS = 20_000
 # Rows that meet one block of clusters in one task.
 ROWS_PER_SALT = 1_000_000
+# Rows whose products are summed in one group, sums added in one group, and levels of adding.
+MOMENT_ROWS, MOMENT_FAN, MOMENT_LEVELS = 10_000, 64, 2
 # Two boxes with at most this many point pairs are compared point by point.
 LEAF_PAIRS = 256
 
 
-def reduce_dims(df: DataFrame, vec: str = "embedding", k: int = 2, out: str = "reduced") -> DataFrame:
-    """First ``k`` principal components; only a d x d matrix reaches the driver."""
+def reduce_dims(df: DataFrame, vec: str = "embedding", k: int = 2, out: str = "reduced", run: Sequence[str] = ()) -> DataFrame:
+    """First ``k`` principal components; only a d x d matrix reaches the driver.
+
+    With ``run`` columns every run has its own components, as if it were alone.
+    """
+    if run:
+        return _reduce_runs(df, vec, k, out, list(run))
     usable = df.where(F.col(vec).isNotNull()).withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(usable)
     return model.transform(usable).withColumn(out, vector_to_array("_p")).drop("_v", "_p")
 
 
+def _reduce_runs(df: DataFrame, vec: str, k: int, out: str, run: list[str]) -> DataFrame:
+    """Components per run from sums of products.
+
+    A run's rows are dealt over groups of about ``MOMENT_ROWS``; each gives one d x d sum, and the sums of a run are
+    added in levels of ``MOMENT_FAN``, so no group grows with the run.
+    """
+    usable = df.where(F.col(vec).isNotNull()).withColumn("_v", F.col(vec).cast("array<double>"))
+    keys = run_schema(usable, run)
+    sizes = usable.groupBy(*run).agg(F.ceil(F.count("*") / F.lit(MOMENT_ROWS)).alias("_groups"))
+    dealt = usable.join(sizes, run).select(*run, F.pmod(F.xxhash64("_v"), F.col("_groups")).alias("_group"), "_v")
+
+    def moments(rows: pd.DataFrame) -> pd.DataFrame:
+        x = np.stack(rows["_v"].to_numpy())
+        head = rows[[*run, "_group"]].head(1)
+        return head.assign(_n=float(len(x)), _sum=[x.sum(0)], _gram=[(x.T @ x).ravel()])
+
+    def added(parts: pd.DataFrame) -> pd.DataFrame:
+        head = parts[[*run, "_group"]].head(1)
+        return head.assign(_n=parts["_n"].sum(), _sum=[np.sum(parts["_sum"].to_list(), 0)], _gram=[np.sum(parts["_gram"].to_list(), 0)])
+
+    def components(parts: pd.DataFrame) -> pd.DataFrame:
+        whole = added(parts)
+        n, total, gram = (whole[c].iloc[0] for c in ("_n", "_sum", "_gram"))
+        covariance = gram.reshape(len(total), -1) / n - np.outer(total, total) / n**2
+        axes = np.linalg.eigh(covariance)[1][:, ::-1][:, :k].T
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+        return parts[run].head(1).assign(_axes=[axes.tolist()])
+
+    schema = f"{keys}, _group bigint, _n double, _sum array<double>, _gram array<double>"
+    parts = dealt.groupBy(*run, "_group").applyInPandas(moments, schema)
+    for _ in range(MOMENT_LEVELS):
+        parts = parts.withColumn("_group", F.floor(F.col("_group") / F.lit(MOMENT_FAN)))
+        parts = parts.groupBy(*run, "_group").applyInPandas(added, schema)
+    axes = parts.groupBy(*run).applyInPandas(components, f"{keys}, _axes array<array<double>>")
+    return usable.join(axes, run).withColumn(out, F.transform("_axes", lambda a: dot(a, F.col("_v")))).select(*df.columns, out)
+
+
+def run_schema(df: DataFrame, run: Sequence[str]) -> str:
+    """The run columns as a schema text."""
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in run)
+
+
 def min_cluster_size(df: DataFrame) -> DataFrame:
     """One row: 1 % of the rows, at least 5."""
     return df.agg(F.greatest(F.lit(5), F.floor(F.count("*") * F.lit(0.01))).cast("long").alias("min_cluster_size"))
