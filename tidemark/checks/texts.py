@@ -42,7 +42,7 @@ def t1(t: Tables) -> DataFrame:
 CHUNKS_SQL = f"""SELECT section_no, ticker, filing_type, filing_date, filing_section, filing_description, CAST(i AS INTEGER) AS chunk_index,
     substring(text, i * {SIZE - OVERLAP} + 1, {SIZE}) AS original_content
   FROM (SELECT *, unnest(range(0, CAST(floor(greatest(length(text) - {OVERLAP} - 1, 0) / {SIZE - OVERLAP}) AS BIGINT) + 1)) AS i FROM sections WHERE length(text) > 0)"""
-INDEX_SQL = f"""SELECT *, sha256(concat(ticker, '|', filing_type, '|', filing_date, '|', filing_section, '|', filing_description, '|', chunk_index)) AS doc_id
+INDEX_SQL = f"""SELECT *, sha256(concat(ticker, '|', filing_type, '|', filing_date, '|', filing_section, '|', filing_description, '|', chunk_index, '|', original_content)) AS doc_id
   FROM ({CHUNKS_SQL})"""
 
 

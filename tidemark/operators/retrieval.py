@@ -16,6 +16,7 @@ from tidemark.operators.ordering import concat_in_order, join_parts
 from tidemark.operators.vectors import embed, knn
 
 TOP_K = 5
+# Wording of this library's own.
 REFINE_PROMPT = "Question: {question}\nAnswer so far: {answer}\nMore context:\n{context}\nImproved answer:"
 METADATA = ("ticker", "filing_type", "filing_date", "filing_section", "filing_description")
 
@@ -27,7 +28,8 @@ def explode_sections(filings: DataFrame, sections: str = "text") -> DataFrame:
 
 
 def chunk_id(columns: Sequence[str]) -> Column:
-    """Deterministic id of a chunk, so a repeated load gives the same ids."""
+    """Deterministic id of a chunk, so a repeated load gives the same ids; its text is part of it, so filings with
+    equal fields keep their chunks apart."""
     return F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
 
@@ -49,7 +51,7 @@ def index_sections(
         chunks = chunk_text(sections, "text", size, "original_content")
     else:
         chunks = chunk_chars(sections, "text", size, overlap, "original_content")
-    chunks = chunks.withColumn("doc_id", chunk_id([*METADATA, "chunk_index"]))
+    chunks = chunks.withColumn("doc_id", chunk_id([*METADATA, "chunk_index", "original_content"]))
     if model is None:
         summarised = chunks.withColumn("content", F.col("original_content"))
     else:
