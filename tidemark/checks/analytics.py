@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from tidemark.checks.fixtures import Tables
 from tidemark.checks.registry import query
 from tidemark.checks.relational import INFO_SQL, KEYS, readable
-from tidemark.checks.scalars import distinct_sql
+from tidemark.checks.scalars import distinct_sql, sentence_sql
 from tidemark.functions import vectors as vec
-from tidemark.functions.articles import metadata_sentence
 from tidemark.functions.mentions import MENTION_COLUMNS
 from tidemark.operators import clustering, graph, statements, vectors, windows
 from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
-from tidemark.plans import news_events
+from tidemark.plans import event_processing, news_events
 from tidemark.session import cut_lineage, ensure_checkpoint_dir
 from tidemark.sources.events import event_rows
 from tidemark.streaming import incremental, rate_limit
@@ -28,18 +27,25 @@ ONES_SQL = "list_transform(range(0, 64), lambda x: 1.0::DOUBLE)"
 UNIT_SQL = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0}, lambda y: y * y))))"
 
 
+def slots_sql(table: str, text: str, key: str) -> str:
+    """Named subquery ``slots`` (key, slot, n, len): the default vector of each row, before division by its length."""
+    return f"""WITH term_rows AS (SELECT {key}, unnest({TERM_SQL.format(text)}) AS term FROM {table}),
+      term_slots AS (SELECT {key}, CAST(('0x' || substr(md5(term), 1, 7))::BIGINT % 256 AS BIGINT) AS slot, count(*) AS n FROM term_rows GROUP BY ALL),
+      slots AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY {key})) AS len FROM term_slots)"""
+
+
 # -- vectors ---------------------------------------------------------------------------------
 
 
 @query(
     "v1_embed",
-    f"SELECT doc_id, CAST(256 AS BIGINT) AS dim, CASE WHEN len({TERM_SQL.format('text')}) > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS length FROM documents",
+    slots_sql("documents", "text", "doc_id") + " SELECT doc_id, slot, round(n / len, 6) AS weight FROM slots",
 )
 def v1(t: Tables) -> DataFrame:
+    """Every weight of every vector."""
     embedded = vectors.embed(t.documents.select("doc_id", "text"), "text")
-    return embedded.select(
-        "doc_id", F.size("embedding").cast("long").alias("dim"), F.round(vec.norm(F.col("embedding")), 6).alias("length")
-    )
+    weights = embedded.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).where("weight <> 0")
+    return weights.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("weight", 6).alias("weight"))
 
 
 def _short_only(texts: list[str]) -> list:
@@ -184,14 +190,20 @@ def w8(t: Tables) -> DataFrame:
     return clustering.diverse_top(rows, 3, 0.05, id_col="vec_id")
 
 
-@query("w10_rank_by_description")
+WANTED = "blue gear from NATION_3"
+
+
+@query(
+    "w10_rank_by_description",
+    slots_sql(f"(SELECT article_id, {sentence_sql()} AS sentence FROM articles UNION ALL SELECT -1, '{WANTED}')", "sentence", "article_id")
+    + """, wanted AS (SELECT slot, n, len FROM slots WHERE article_id = -1)
+      SELECT article_id, round(coalesce(s, 0), 6) AS similarity FROM articles LEFT JOIN (SELECT a.article_id, sum(a.n * w.n) / any_value(a.len * w.len) AS s
+        FROM slots a JOIN wanted w ON w.slot = a.slot WHERE a.article_id <> -1 GROUP BY a.article_id) x USING (article_id)""",
+    ("articles",),
+)
 def w10(t: Tables) -> DataFrame:
-    events = t.clustered.select("article_id", "call_id", "V2Persons", "V2Themes", "V2Locations")
-    sentences = events.withColumn("text", metadata_sentence(["V2Persons", "V2Themes", "V2Locations"]))
-    embedded = vectors.embed(sentences, "text")
-    wanted = vectors.text_vector(t.spark, "blue gear from NATION_3")
-    scored = embedded.withColumn("similarity", vec.cosine(F.col("embedding"), vec.as_vector(wanted)))
-    return scored.select("article_id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "article_id")
+    ranked = event_processing.rank_by_description(t.articles, WANTED, None, tie="article_id")
+    return ranked.select("article_id", F.round("similarity", 6).alias("similarity"))
 
 
 # -- clustering ------------------------------------------------------------------------------

@@ -290,14 +290,24 @@ def p15(t: Tables) -> DataFrame:
     return t.events.select("event_id", art.event_window_label("ts", 7).alias("label"))
 
 
+# Every column of the article input, in order.
+ARTICLE_FIELDS = (
+    "article_id call_id DATE partition_date V2Persons V2Organizations V2Themes V2Locations V2Tone AllNames Amounts DocumentIdentifier"
+).split()
+
+
+def sentence_sql() -> str:
+    named = "".join(f", '{f}: ', coalesce(CAST({f} AS VARCHAR), 'None'), ' '" for f in ARTICLE_FIELDS)
+    return f"concat('This is an event where '{named})"
+
+
 @query(
     "p16_metadata_sentence",
-    """SELECT article_id, concat('This is an event where ', 'call_id: ', call_id, ' ', 'V2Persons: ', coalesce(V2Persons, 'None'), ' ',
-              'V2Themes: ', V2Themes, ' ') AS sentence FROM articles""",
+    f"SELECT article_id, {sentence_sql()} AS sentence FROM articles",
     ("articles",),
 )
 def p16(t: Tables) -> DataFrame:
-    return t.articles.select("article_id", art.metadata_sentence(["call_id", "V2Persons", "V2Themes"]).alias("sentence"))
+    return t.articles.select("article_id", art.metadata_sentence(t.articles.columns).alias("sentence"))
 
 
 def question_rows_sql(tickers: str, questions: dict[str, str]) -> str:

@@ -127,9 +127,11 @@ def r2(t: Tables) -> DataFrame:
     return hits.withColumn("distance", F.round("distance", 6))
 
 
-def answers_sql(questions: dict[str, str], question_prompt: str) -> str:
+def answers_sql(questions: dict[str, str], question_prompt: str, combine_prompt: str = prompts.COMBINE_PROMPT, with_sources: bool = False) -> str:
     part = template_sql(question_prompt, context="page_content", question="question")
-    combined = template_sql(prompts.COMBINE_PROMPT, summaries="s", question="question")
+    if with_sources:
+        part = f"'Content: ' || {part} || chr(10) || 'Source: ' || source"
+    combined = template_sql(combine_prompt, summaries="s", question="question")
     return f"""WITH {hits_sql(questions)},
       s AS (SELECT query_id, ticker, topic, question_no, question, string_agg({part}, chr(10) || chr(10) ORDER BY rank) AS s FROM hit GROUP BY ALL),
       a AS (SELECT query_id, ticker, topic, question_no, question, {combined} AS answer FROM s)"""
@@ -146,6 +148,18 @@ def r3(t: Tables) -> DataFrame:
     return retrieval.answer_inputs(asked, hits).select("query_id", "question", F.md5("answer").alias("digest"))
 
 
+@query(
+    "r3_answers_with_sources",
+    answers_sql(prompts.COMPANY_QUESTIONS, prompts.QUESTION_PROMPT, prompts.CHAT_COMBINE_PROMPT, True) + " SELECT query_id, question, md5(answer) AS digest FROM a",
+    ("sections",),
+)
+def r3_sources(t: Tables) -> DataFrame:
+    asked = _questions(t, retrieval.question_bank(t.sections))
+    hits = retrieval.retrieve(asked, _index(t), 5, ["ticker"], {"filing_type": "en"})
+    made = retrieval.answer_inputs(asked, hits, combine_prompt=prompts.CHAT_COMBINE_PROMPT, with_sources=True)
+    return made.select("query_id", "question", F.md5("answer").alias("digest"))
+
+
 def _answered(t: Tables, bank: DataFrame, template: str) -> DataFrame:
     asked = _questions(t, bank)
     hits = retrieval.retrieve(asked, _index(t), 5, ["ticker"], {"filing_type": "en"})

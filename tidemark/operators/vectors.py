@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,13 +40,17 @@ def terms(c: Column | str) -> Column:
 
 
 def hashed_vectors(df: DataFrame, text_col: str, out: str = "embedding", dim: int = DIM) -> DataFrame:
-    """Add the default vector: term counts hashed into ``dim`` slots, length one.
+    """Add the default vector: term counts in ``dim`` slots, length one.
 
-    Row-local, so nothing is shuffled. A text without terms gets the zero vector,
+    A term's slot is the number in the first seven hexadecimal digits of its MD5, modulo ``dim``, which other
+    engines can compute as well. Row-local, so nothing is shuffled. A text without terms gets the zero vector,
     NULL text gets NULL.
     """
     listed = df.withColumn("_terms", F.coalesce(terms(text_col), F.array().cast("array<string>")))
-    hashed = HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=dim).transform(listed)
+    digits = F.transform("_terms", lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long") % dim)
+    slotted = listed.withColumn("_terms", F.transform(digits, lambda d: d.cast("string")))
+    slots = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_terms", outputCol="_tf")
+    hashed = slots.transform(slotted)
     scaled = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(hashed)
     vector = F.when(F.col(text_col).isNotNull(), vector_to_array("_unit"))
     return scaled.withColumn(out, vector).drop("_terms", "_tf", "_unit")

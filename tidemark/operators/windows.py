@@ -48,9 +48,13 @@ def top_events(events: DataFrame, n: int = 50, keys: Sequence[str] = ("call_id",
     return top_per_key(health_order(events), keys, order, n)
 
 
-def rank_by_similarity(events: DataFrame, query: Column, n: int, vec: str = "summary_embedding", tie: str = "event_id") -> DataFrame:
-    """Top ``n`` events by cosine to one query vector."""
+def rank_by_similarity(
+    events: DataFrame, query: Column, n: int | None, vec: str = "summary_embedding", tie: str = "event_id"
+) -> DataFrame:
+    """Top ``n`` events by cosine to one query vector; None keeps all, in no order."""
     scored = events.withColumn("similarity", cosine(F.col(vec), query))
+    if n is None:
+        return scored
     return scored.orderBy(F.col("similarity").desc_nulls_last(), F.asc(tie)).limit(n)
 
 
