@@ -111,11 +111,9 @@ def v4_blocks(t: Tables) -> DataFrame:
     ("clustered",),
 )
 def v4_many(t: Tables) -> DataFrame:
-    # The plan for many queries over a corpus that fits in every task.
+    # Many queries over a smaller corpus; the library's fixed bound decides which side is sent to the tasks.
     asked = t.clustered.select("article_id", F.col("cluster").cast("int").alias("label"), "embedding")
-    found = vectors.knn(
-        asked, t.embeddings, 3, ["label"], "cosine", "article_id", "vec_id", broadcast_bytes=t.embeddings.count() * 700
-    )
+    found = vectors.knn(asked, t.embeddings, 3, ["label"], "cosine", "article_id", "vec_id")
     return found.select("query_id", "neighbour_id", "rank", F.round("distance", 6).alias("distance"))
 
 
@@ -314,20 +312,25 @@ def c6(t: Tables) -> DataFrame:
 
 ONE_RUN_SQL = "WITH one_run AS (SELECT * REPLACE (CAST(77 AS BIGINT) AS call_id) FROM clustered), " + INFO_SQL.strip()[5:].replace(
     "clustered", "one_run"
-)
+) + ", means AS (SELECT cluster, round(sum(i * a), 6) AS mean_sum, round(sum(a * a), 6) AS mean_square FROM (SELECT cluster, i, avg(embedding[i]) AS a FROM one_run, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY cluster)"
 
 
 @query(
     "s3_write_events",
     ONE_RUN_SQL + """ SELECT concat(call_id, '-', cluster) AS event_id, call_id, cluster AS cluster_id, top_articles, top_themes, top_persons,
-        top_orgs, top_locs, FALSE AS irrelevant, size_importance, median_date FROM info""",
+        top_orgs, top_locs, FALSE AS irrelevant, size_importance, cohesiveness, time_variance, median_date, 7 AS event_window, 5 AS stock_id,
+        mean_sum, mean_square FROM info JOIN means USING (cluster)""",
     ("clustered",),
 )
 def s3(t: Tables) -> DataFrame:
     rows = event_rows(cluster_info(cut_lineage(t.clustered)), 77, 5, 7)
     return rows.select(
         "event_id", "call_id", "cluster_id", "top_articles", "top_themes", "top_persons", "top_orgs", "top_locs", "irrelevant",
-        F.round(F.col("cluster_health")[0], 6).alias("size_importance"),
+        *[F.round(F.col("cluster_health")[i], 6).alias(n) for i, n in enumerate(("size_importance", "cohesiveness", "time_variance"))],
+        F.col("event_window"), F.col("stock_id"),
+        # All coordinates of the mean vector: their weighted sum and their squares.
+        F.round(F.aggregate(F.transform("mean_embedding", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"),
+        F.round(F.aggregate("mean_embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("mean_square"),
         F.date_format("median_date", "yyyy-MM-dd HH:mm:ss").alias("median_date"),
     )
 
@@ -373,16 +376,19 @@ def x3(t: Tables) -> DataFrame:
     return _plain(statements.cash_flow(_facts(t), BY)).withColumn("statement", F.lit(statements.CASH_FLOW))
 
 
+# Every year in which lines are shipped.
+PERIODS = {f"y{y}": f"{y}-01-01-{y}-12-31" for y in range(1995, 2002)}
+
+
 @query(
     "x1_income_pivot",
-    f"""WITH l AS ({INCOME_SQL}) SELECT accessionNo, item, max(CASE WHEN period = '1998-01-01-1998-12-31' THEN value END) AS y1998,
-        max(CASE WHEN period = '1999-01-01-1999-12-31' THEN value END) AS y1999 FROM l GROUP BY ALL""",
+    f"WITH l AS ({INCOME_SQL}) SELECT accessionNo, item"
+    + "".join(f", max(CASE WHEN period = '{p}' THEN value END) AS {n}" for n, p in PERIODS.items()) + " FROM l GROUP BY ALL",
     ("facts",),
 )
 def x1_pivot(t: Tables) -> DataFrame:
-    periods = ["1998-01-01-1998-12-31", "1999-01-01-1999-12-31"]
-    wide = statements.statement_table(statements.income_statement(_facts(t), BY), periods, BY)
-    return wide.withColumnsRenamed({periods[0]: "y1998", periods[1]: "y1999"})
+    wide = statements.statement_table(statements.income_statement(_facts(t), BY), list(PERIODS.values()), BY)
+    return wide.withColumnsRenamed({p: n for n, p in PERIODS.items()})
 
 
 @query(

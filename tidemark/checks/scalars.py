@@ -96,17 +96,20 @@ def s4(t: Tables) -> DataFrame:
 
 @query(
     "s5_read_xbrl",
-    """SELECT accessionNo, statement, item, startDate, endDate, instant, segment, value FROM facts""",
+    """SELECT accessionNo, statement, item, startDate, endDate, instant, segment, value, CAST(row_number() OVER (
+         PARTITION BY accessionNo, statement, item ORDER BY rank_key, price_key, l_suppkey) - 1 AS INTEGER) AS pos FROM facts""",
     ("facts",),
 )
 def s5(t: Tables) -> DataFrame:
-    # One JSON document per fact: the same parser, and no group is gathered.
-    fact = F.struct(
-        F.struct("startDate", "endDate", "instant").alias("period"), "segment", "value"
-    )
-    doc = F.to_json(F.create_map(F.col("statement"), F.create_map(F.col("item"), F.array(fact))))
-    facts = parse_xbrl(t.facts.select("accessionNo", doc.alias("json")), "json", ("accessionNo",))
-    return facts.drop("pos")
+    """One JSON document per filing and statement, with the list of facts of every item."""
+    fact = F.struct(F.struct("startDate", "endDate", "instant").alias("period"), "segment", "value")
+    ordered = F.sort_array(F.collect_list(F.struct("rank_key", "price_key", "l_suppkey", fact.alias("fact"))))
+    # A filing has as many facts as its order has lines.
+    lists = t.facts.groupBy("accessionNo", "statement", "item").agg(F.transform(ordered, lambda f: f["fact"]).alias("facts"))
+    items = F.map_from_entries(F.collect_list(F.struct("item", "facts")))
+    docs = lists.groupBy("accessionNo", "statement").agg(items.alias("items"))
+    doc = F.to_json(F.create_map("statement", "items"))
+    return parse_xbrl(docs.select("accessionNo", doc.alias("json")), "json", ("accessionNo",))
 
 
 HTML_SQL = """trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(
