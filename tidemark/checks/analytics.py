@@ -222,6 +222,33 @@ def c1(t: Tables) -> DataFrame:
     return reduced.select("vec_id", *[F.round(F.abs(F.col("reduced")[i]), 6).alias(f"x{i}") for i in range(2)])
 
 
+@query(
+    "c1_component_checks",
+    """SELECT * FROM (VALUES ('first', 1.0::DOUBLE), ('second', 1.0::DOUBLE), ('correlation', 0.0::DOUBLE), ('in order', 1.0::DOUBLE)) x(name, value)""",
+)
+def c1_checks(t: Tables) -> DataFrame:
+    """What makes two projections principal components, whatever their sign.
+
+    With x = w.v for a unit eigenvector w of the covariance C, cov(v, x) = C w = var(x) w: its length is var(x). Different
+    components don't correlate, and the first has the larger variance.
+    """
+    reduced = clustering.reduce_dims(t.embeddings, k=2)
+    xs = [F.col("reduced")[i] for i in range(2)]
+    each = reduced.select(*[x.alias(f"x{i}") for i, x in enumerate(xs)], F.posexplode("embedding").alias("j", "v"))
+    by_coordinate = each.groupBy("j").agg(*[F.covar_pop("v", f"x{i}").alias(f"c{i}") for i in range(2)])
+    lengths = by_coordinate.agg(*[F.sqrt(F.sum(F.col(f"c{i}") ** 2)).alias(f"l{i}") for i in range(2)])
+    plain = reduced.agg(*[F.var_pop(x).alias(f"v{i}") for i, x in enumerate(xs)], F.corr(*xs).alias("r"))
+    one = lengths.withColumn("k", F.lit(1)).join(plain.withColumn("k", F.lit(1)), "k")
+    rows = F.array(*[
+        F.struct(F.lit(n).alias("name"), (F.round(v, 6) + 0.0).alias("value"))
+        for n, v in (
+            ("first", F.col("l0") / F.col("v0")), ("second", F.col("l1") / F.col("v1")), ("correlation", F.abs(F.col("r"))),
+            ("in order", (F.col("v0") >= F.col("v1")).cast("double")),
+        )
+    ])
+    return one.select(F.inline(rows))
+
+
 @query(
     "j11_eps_neighbours",
     f"""WITH p AS ({POINTS_SQL}) SELECT a.id AS query_id, b.id AS point_id FROM p a JOIN p b
