@@ -233,6 +233,7 @@ def test_knn_plans_equal_brute_force(spark, plan, metric):
 
 def test_a_run_reduces_as_if_it_were_alone(spark, monkeypatch):
     monkeypatch.setattr(clustering, "MOMENT_ROWS", 7)
+    monkeypatch.setattr(clustering, "MOMENT_FAN", 2)
     rng = np.random.default_rng(3)
     rows = [(i, i % 3, [float(v) for v in rng.normal(size=5) * (1 + i % 3)]) for i in range(90)]
     df = spark.createDataFrame(rows, "article_id long, call_id long, embedding array<double>")

@@ -30,8 +30,8 @@ NOISE = -1
 SALT_ROWS = 20_000
 # Rows that meet one block of clusters in one task.
 ROWS_PER_SALT = 1_000_000
-# Rows whose products are summed in one group, sums added in one group, and levels of adding.
-MOMENT_ROWS, MOMENT_FAN, MOMENT_LEVELS = 10_000, 64, 2
+# Rows whose products are summed in one group, and sums added in one group.
+MOMENT_ROWS, MOMENT_FAN = 10_000, 64
 # Two boxes with at most this many point pairs are compared point by point.
 LEAF_PAIRS = 256
 
@@ -78,7 +78,9 @@ def _reduce_runs(df: DataFrame, vec: str, k: int, out: str, run: list[str]) -> D
 
     schema = f"{keys}, _group bigint, _n double, _sum array<double>, _gram array<double>"
     parts = dealt.groupBy(*run, "_group").applyInPandas(moments, schema)
-    for _ in range(MOMENT_LEVELS):
+    groups = sizes.agg(F.max("_groups")).first()[0] or 1
+    while groups > MOMENT_FAN:
+        groups = -(-groups // MOMENT_FAN)
         parts = parts.withColumn("_group", F.floor(F.col("_group") / F.lit(MOMENT_FAN)))
         parts = parts.groupBy(*run, "_group").applyInPandas(added, schema)
     axes = parts.groupBy(*run).applyInPandas(components, f"{keys}, _axes array<array<double>>")
