@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from tidemark.llm.common import fields
+from tidemark.llm.common import fields, slices
 
 #: Bytes up to which a piece is merged directly.
 LEAF_BYTES = 24
 #: Tokens on each side of a seam in the first window.
 SEAM_TOKENS = 2
 #: Distinct words a task remembers before it starts its memory anew.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 400_000
 #: Unicode white space, as the splitting pattern's \\s has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -43,7 +43,7 @@ class ByteBpe:
         # A word with the space before it, or white space: no match of the pattern crosses these.
         self.coarse = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.words: dict[str, bytes] = {}
-        self.settled = lru_cache(maxsize=200_000)(self._settled)
+        self.settled = lru_cache(maxsize=50_000)(self._settled)
 
     def merge(self, piece: bytes) -> list[int]:
         """Tokens of a byte string: the lowest rank merges first, the leftmost of equals."""
@@ -156,17 +156,17 @@ def encode_texts(docs: DataFrame, rank_path: str, pattern: str, text: str = "tex
     order of partitions stay. An empty table stays empty.
     """
     kept = [c for c in docs.columns if c not in (ids, n_tokens)]
-    wide = docs.select(*[docs[c] for c in kept], docs[text].alias("text_"))
+    rest = docs.select(*[docs[c] for c in kept])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_path, pattern)
-        for batch in batches:
-            packed = [bpe.encode(t) if t else b"" for t in batch.column("text_").to_pylist()]
+        for batch in slices(batches):
+            packed = [bpe.encode(t) if t else b"" for t in batch.column(text).to_pylist()]
             columns = [batch.column(c) for c in kept] + [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, n_tokens])
 
-    out = StructType([*wide.drop("text_").schema.fields, StructField(ids, BinaryType()), StructField(n_tokens, LongType())])
-    return wide.mapInArrow(run, out)
+    out = StructType([*rest.schema.fields, StructField(ids, BinaryType()), StructField(n_tokens, LongType())])
+    return rest.mapInArrow(run, out)
 
 
 def decode_ids(table: DataFrame, rank_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -176,7 +176,7 @@ def decode_ids(table: DataFrame, rank_path: str, pattern: str, ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(rank_path, pattern)
-        for batch in batches:
+        for batch in slices(batches):
             values = [bpe.decode(p or b"") for p in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(values, pa.binary())], names=[*kept, decoded])
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fields, shared_table
+from tidemark.llm.common import fields, shared_table, slices
 from tidemark.operators.clustering import connected_components
 
 #: Differing bits up to which two fingerprints link, bytes of a fingerprint, and the guaranteed matches.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
     """doc_id and fingerprint (64 bits as a signed long) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [simhash(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
             signed = pa.array(np.array(values, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], names=["doc_id", "fingerprint"])
@@ -163,7 +163,7 @@ def wide_fingerprint(sketch: np.ndarray) -> list[int | None]:
 
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, sketches, units = [], [], []
         for text in batch.column("text").to_pylist():
             every = near_set(text)
@@ -176,7 +176,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         values = pa.array([near_set(t).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([batch.column("row"), values], names=["row", "shingles"])
 
