@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import fields, shared_table
+from tidemark.llm.common import fields, shared_table, slices
 
 #: A run has at least so many sentences and so many words, so chance repeats of short sentences don't count.
 RUN_SENTENCES, RUN_WORDS = 3, 20
@@ -90,7 +90,7 @@ def span_hashes(text: str) -> list[tuple[int, int, bytes]]:
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         source, first, last, low, high = [], [], [], [], []
         for k, text in enumerate(batch.column("text").to_pylist()):
             for a, b, digest in span_hashes(text or ""):
@@ -125,13 +125,15 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         docs.mapInArrow(_spans, f"doc_id {kind}, mark bigint, first int, last int, low bigint, high int"), "spans"
     )
     # Ids and counts combine before the shuffle; places are looked at only for runs that repeat.
-    counts = spans.groupBy("low").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1")
+    # Written first, so that the join's sides are plain exchanges and Spark can split a hot run.
+    counts = shared_table(spans.groupBy("low").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "span-counts")
     repeats = shared_table(spans.join(counts.drop("n"), "low"), "repeats")
     starts = repeats.where(F.col("doc_id").eqNullSafe(F.col("least")) | F.col("least").isNull())
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("mark").alias("c"), F.col("first").alias("d"))
     firsts = starts.groupBy("low", "high").agg(F.min(order).alias("own"))
     other = repeats.groupBy("low", "high").agg(F.min(order).alias("any"))
     firsts = other.join(firsts, ["low", "high"], "left").select("low", "high", F.coalesce("own", "any").alias("own"))
+    firsts = shared_table(firsts, "first-spans")
     return repeats.join(firsts, ["low", "high"]).where(order != F.col("own")).select("doc_id", "mark", "first", "last")
 
 
@@ -156,7 +158,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     ).select(*kept, F.col("gone.first").alias("firsts_"), F.col("gone.last").alias("lasts_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, totals, removed = [], [], []
             for value, a, b in zip(*[batch.column(c).to_pylist() for c in (text, "firsts_", "lasts_")]):
                 cleaned, n, k = without(value or "", list(zip(a, b)) if a else [])
