@@ -14,7 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fields, shared_path, shared_table
+from tidemark.llm.common import fields, shared_path, shared_table, slices
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens bigint"
 #: Distinct words a task remembers before it starts its memory anew.
@@ -64,7 +64,7 @@ def _encoder(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counts = WordCounts(path)
-        for batch in batches:
+        for batch in slices(batches, 4096):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n = pa.array(counts.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), n], names=["digest", "n_tokens"])
@@ -107,5 +107,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     new = texts.select("digest", "text").mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens bigint")
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
-    counts = stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that the join's sides are plain exchanges and Spark can split a hot digest.
+    counts = shared_table(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest-counts")
     return keyed.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
