@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import collections
 import hashlib
 import random
 import zlib
@@ -180,24 +181,36 @@ def test_attention_gradients_and_mask():
 
 def test_lm_probabilities_add_up():
     """Over all ids that can follow, the mixed probabilities sum to one."""
-    words = {b"the": 50, b"then": 30, b"on": 40, b"nation": 9, lm_scoring.END_WORD: 10}
+    words = {b"the": 50, b"then": 30, b"on": 40, b"nation": 9, b"thewordislong": 3, lm_scoring.END_WORD: 10}
     subwords = lm_scoring.Subwords(RANKS, PATTERN)
-    ids, begins = {}, {}
+    ids, begun = collections.Counter(), collections.Counter()
     for batch in lm_scoring._count_ids(RANKS, PATTERN)(iter([_batch(words)])):
-        for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()):
-            if key[:1] == b"i":
-                ids[int.from_bytes(key[1:], "little")] = n
-            else:
-                begins[key[1:]] = n
-    model = lm_scoring.Model(sum(words.values()), len(words), ids, begins)
+        for kind, key, n in zip(*[batch.column(c).to_pylist() for c in ("kind", "key", "n")]):
+            (begun if kind else ids)[key % 2**64] += n
+    plain_ids, plain = collections.Counter(), collections.Counter()
+    for word, n in words.items():
+        own = subwords.ids(word)
+        for i in own:
+            plain_ids[i] += n
+        coded = [*[i + 1 for i in own], lm_scoring.STOP]
+        for k in range(1, min(len(coded), lm_scoring.KEY_IDS) + 1):
+            plain[sum(c << 16 * j for j, c in enumerate(coded[:k]))] += n
+    assert ids == plain_ids and begun == plain
+    total = sum(words.values())
+    model = lm_scoring.Model(total, len(words), ids, begun)
     for word in words:
         own = subwords.ids(word)
-        shares, rests, stop, stop_rest, begin = model.memory(own)
-        assert all(0 <= a <= 1 and 0 <= b <= 1 and a + b <= 1 + 1e-9 for a, b in zip(shares[1:], rests[1:]))
-        first = sum(n for k, n in begins.items() if len(k) == 2) / sum(words.values())
-        assert first == pytest.approx(1.0) and 0 < begin <= 1 and 0 < stop_rest < 1
-        following = sum(n for k, n in begins.items() if len(k) == 2 * len(own) + 2 and k.startswith(lm_scoring._pack(own)))
-        assert model.kept[lm_scoring._pack(own)] == following
+        shares, rests, stop, stop_rest, begin = model.memory(np.array(own), np.array([len(own)]))
+        prefix = 0
+        for j, i in enumerate(own[: lm_scoring.KEY_IDS - 1]):
+            prefix |= (i + 1) << 16 * j
+            after = {k: n for k, n in begun.items() if k > prefix and k & ((1 << 16 * (j + 1)) - 1) == prefix and k >> 16 * (j + 2) == 0}
+            left = 1 - lm_scoring.MEMORY_SHARE * sum(after.values()) / begun[prefix]
+            assert (rests[j + 1] if j + 1 < len(own) else stop_rest[0]) == pytest.approx(left)
+            following = (own[j + 1] + 1 if j + 1 < len(own) else lm_scoring.STOP) << 16 * (j + 1)
+            assert (shares[j + 1] if j + 1 < len(own) else stop[0]) == pytest.approx(lm_scoring.MEMORY_SHARE * begun[prefix | following] / begun[prefix])
+        assert begin[0] == pytest.approx(begun[own[0] + 1] / total)
+    assert sum(n for k, n in begun.items() if k < 2**16) == total
     other = np.exp(model.in_rest)[model.rank == attention.RANKS].sum()
     assert other == pytest.approx(1.0, abs=1e-3)
 
