@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fields, n_ranges, range_of, shared_table, splitters
+from tidemark.llm.common import MAX_RANGES, fields, n_ranges, range_of, shared_table, splitters
 
 #: Words of a gram and grams of a window.
 GRAM, WINDOW_GRAMS = 3, 4
 #: Bits of a kept value that hold the position; the rest holds the hash.
 POSITION_BITS = 27
 LAST_POSITION = 2**POSITION_BITS - 1
+#: Bytes of text that a range of documents is meant to hold.
+RANGE_BYTES = 32 << 20
 
 
 def word_hashes(text: Column) -> Column:
@@ -105,7 +107,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     n, total = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("size") + 1), F.lit(0))).first()
     kinds = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, mark bigint"
     key = {"doc_id": F.col("doc_id"), "mark": F.col("mark")}
-    cuts = splitters(sizes, key, F.col("size") + 1, float(total), n_ranges(n))
+    ranges = min(MAX_RANGES, max(n_ranges(n), total // RANGE_BYTES))
+    cuts = splitters(sizes, key, F.col("size") + 1, float(total), ranges)
     part = range_of(key, kinds, cuts)
     tops = sizes.groupBy(part.alias("part")).agg(F.max(F.struct("doc_id", "mark")).alias("top")).orderBy("part").collect()
     below = [(r["part"], *tops[k - 1]["top"]) for k, r in enumerate(tops)]  # of the first range: the last of all
