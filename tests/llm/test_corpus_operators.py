@@ -136,6 +136,24 @@ def test_keep_one_in_a_large_group(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [0, *range(100, 120)]
 
 
+def test_keep_one_of_a_star_family(spark):
+    """300 edits of one text, near to it but seldom to each other: groups equal brute force."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for k in range(300):
+        words = list(base)
+        for p in rng.choice(100, 2, replace=False):
+            words[p] = f"edit{k}x{p}"
+        rows.append((k, " ".join(words)))
+    rows.append((300, " ".join(base)))
+    roots = plain_components([shingles(t) for _, t in rows], lambda a, b: len(a & b) / len(a | b) >= 0.8)
+    want = {}
+    for (i, _), r in zip(rows, roots):
+        want[r] = min(want.get(r, i), i)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == sorted(want.values())
+
+
 def plain_spans(rows):
     seen, gone = {}, collections.defaultdict(set)
     order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0))

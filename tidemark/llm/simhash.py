@@ -143,8 +143,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 NEAR_WORDS, NEAR_SHARE = 5, 0.8
 #: Positions of a wide fingerprint; the smallest shingle hashes it is made of, which are all for most texts.
 POSITIONS, SKETCH = 32, 128
-#: Members up to which all pairs of a list are candidates; a larger list's members are held against its hub,
-#: which is another one in each of the lists a text is in.
+#: Members up to which all pairs of a list are candidates at once. A larger list's members are held against two
+#: hubs first, and then against every member that the links found so far don't connect them to.
 NEAR_LIST_ROWS = 16
 #: Estimates from sketches this close to the threshold are settled on the whole texts.
 DOUBT = 0.12
@@ -181,8 +181,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row"), values], names=["row", "shingles"])
 
 
-def _near_candidates(texts: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of distinct texts (row, units) that share a position's SimHash."""
+def _near_candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (src, dst) of distinct texts (row, units) that share a position's SimHash, and what is left of large lists.
+
+    All pairs of lists of up to ``NEAR_LIST_ROWS`` members; of larger lists (row, k, v; the second table) each member
+    with two hubs: one that differs from list to list, and the text that shares most with others, such as one that
+    many were made from. ``_open_pairs`` gives the rest.
+    """
     postings = texts.select("row", F.posexplode("units").alias("k", "v")).where(F.col("v").isNotNull())
     lists = shared_table(
         postings.groupBy("k", "v")
@@ -198,9 +203,35 @@ def _near_candidates(texts: DataFrame) -> DataFrame:
         .join(few.select("k", "v", F.col("row").alias("dst")), ["k", "v"])
         .where("src < dst").select("src", "dst")
     )
-    hubs = members.where((F.col("n") > NEAR_LIST_ROWS) & (F.col("row") != F.col("hub")))
+    large = members.where(F.col("n") > NEAR_LIST_ROWS)
+    weights = large.groupBy("row").agg(F.sum("n").alias("weight"))
+    weighed = shared_table(large.join(weights, "row"), "near-large")
+    centres = shared_table(weighed.groupBy("k", "v").agg(F.max(F.struct("weight", "row")).alias("top")), "near-centres")
+    starred = weighed.join(centres.select("k", "v", F.col("top.row").alias("centre")), ["k", "v"])
+    hubs = starred.select("row", F.explode(F.array("hub", "centre")).alias("hub")).where("row <> hub")
     stars = hubs.select(F.least("row", "hub").alias("src"), F.greatest("row", "hub").alias("dst"))
-    return twos.unionByName(pairs).unionByName(stars).groupBy("src", "dst").agg(F.count("*").alias("tally"))
+    return shared_table(twos.unionByName(pairs).unionByName(stars).distinct(), "near-candidates"), weighed.select("row", "k", "v")
+
+
+def _open_pairs(large: DataFrame, sizes: DataFrame, components: DataFrame) -> DataFrame:
+    """All pairs (src, dst) of a large list whose ends are in different components and near enough in size.
+
+    Pairs inside a component connect nothing new. Members outside a list's main component are held against all
+    others, so the work is linear as long as few of them are left.
+    """
+    sided = shared_table(
+        large.join(sizes.join(components, "row", "left").select("row", "n", F.coalesce("component", "row").alias("c")), "row"), "near-sided"
+    )
+    parts = sided.groupBy("k", "v", "c").agg(F.count("*").alias("rows"))
+    mains = parts.groupBy("k", "v").agg(F.max(F.struct("rows", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+    mains = shared_table(mains.select("k", "v", F.col("top.c").alias("main")), "near-mains")
+    mixed = shared_table(sided.join(mains, ["k", "v"]), "near-mixed")
+    outer = mixed.where("c <> main").select("k", "v", F.col("row").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
+    inner = mixed.select("k", "v", F.col("row").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
+    # The shared part of all shingles is at most the smaller number of the larger one.
+    could = (F.col("a_c") != F.col("b_c")) & (F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= NEAR_SHARE)
+    met = outer.join(inner, ["k", "v"]).where(could)
+    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
 
 
 def _similarity(a: Column, b: Column) -> Column:
@@ -214,9 +245,8 @@ def _sketched(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(F.array_intersect(lowest, a), b)) / F.size(lowest)
 
 
-def near_links(texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of rows of ``texts`` (row, doc_id, mark, n, sketch, units) that are near copies."""
-    pairs = _near_candidates(texts.select("row", "units"))
+def near_links(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (src, dst) of rows of ``texts`` (row, doc_id, mark, n, sketch) that are near copies."""
     sides = texts.select("row", "n", "sketch")
 
     def side(p: str) -> DataFrame:
@@ -259,7 +289,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     firsts = shared_table(sketches.groupBy("digest").agg(F.min("row").alias("row")), "near-firsts")
     texts = shared_table(sketches.join(firsts.select("row"), "row", "left_semi"), "near-texts")
-    joined = connected_components(near_links(texts, rows)).withColumnRenamed("node", "row")
+    pairs, large = _near_candidates(texts.select("row", "units"))
+    linked = shared_table(near_links(pairs, texts, rows), "near-links")
+    joined = shared_table(connected_components(linked).withColumnRenamed("node", "row"), "near-joined")
+    rest = shared_table(_open_pairs(large, texts.select("row", "n"), joined).join(pairs, ["src", "dst"], "left_anti"), "near-open")
+    if not rest.isEmpty():
+        linked = linked.unionByName(near_links(rest, texts, rows))
+        joined = connected_components(linked).withColumnRenamed("node", "row")
     named = firsts.join(joined, "row", "left").select("digest", F.coalesce("component", "row").alias("component"))
     return sketches.select("row", "doc_id", "mark", "digest").join(named, "digest").drop("digest")
 
