@@ -191,6 +191,25 @@ def test_sentences_cover_the_text():
         assert [w for _, _, ws in parts for w in ws] == text.split()
 
 
+@pytest.mark.parametrize("length", [0, 5, 15, 16, 28, "mixed"])
+def test_a_passage_of_51_words_is_found_at_any_offset(length):
+    """Between other words, in sentences of so many words (0: without end marks), it has a run in common in both texts."""
+    rng = np.random.default_rng(3)
+
+    def text(passage, before):
+        own = [f"o{x}" for x in rng.integers(0, 10**9, before)] + passage + [f"o{x}" for x in rng.integers(0, 10**9, 40)]
+        return " ".join(own)
+
+    for _ in range(150):
+        ends = rng.integers(1, 30) if length == "mixed" else length
+        passage = [f"p{x}" for x in rng.integers(0, 10**9, 51)]
+        if ends:
+            for k in range(int(rng.integers(0, ends)), 51, ends):
+                passage[k] += "."
+        spans = [{d for _, _, d in sentence_spans.span_hashes(text(passage, int(rng.integers(0, 60))))} for _ in range(2)]
+        assert spans[0] & spans[1]
+
+
 def test_runs_reach_both_ends():
     for sizes in ([1, 1, 1, 30], [16] * 6, [5] * 20, [1] * 30, [30, 1, 1, 1], [2, 2], []):
         found = sentence_spans.runs(sizes)

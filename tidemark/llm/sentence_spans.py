@@ -18,9 +18,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 from tidemark.llm.common import fields, shared_table, slices
 
 #: A run has at least so many sentences and so many words, so chance repeats of short sentences don't count.
-RUN_SENTENCES, RUN_WORDS = 3, 20
-#: Longer sentences are cut after every so many words, so a long passage always holds a run.
-SENTENCE_WORDS = 16
+RUN_SENTENCES, RUN_WORDS = 2, 20
+#: Longer sentences are cut where a word's hash is the least of so many words in a row. Two copies of a passage are
+#: cut alike but for the first and the last 15 words at most, so 50 words always hold a common run.
+SENTENCE_WORDS, CUT_WORDS = 15, 8
 
 _END = re.compile(r"[.!?](?=\s)|\n")
 _WORD = re.compile(r"\S+")
@@ -28,11 +29,30 @@ _WORD = re.compile(r"\S+")
 Sentence = tuple[int, int, list[str]]
 
 
+def cuts(words: list[str]) -> list[int]:
+    """Numbers of the words that a cut of a long sentence follows; no piece has more than ``CUT_WORDS`` words.
+
+    The last of the smallest hashes in each window of ``CUT_WORDS`` words: whether a word is one depends only on the
+    words around it, not on where the sentence starts.
+    """
+    hashes = [xxhash.xxh3_64_intdigest(w.lower().encode()) for w in words]
+    found, least = [], -1
+    for end in range(CUT_WORDS - 1, len(hashes)):
+        start = end - CUT_WORDS + 1
+        if least < start:
+            least = min(range(start, end + 1), key=lambda k: (hashes[k], -k))
+        elif hashes[end] <= hashes[least]:
+            least = end
+        if not found or found[-1] != least:
+            found.append(least)
+    return [k for k in found if k < len(hashes) - 1]
+
+
 def sentences(text: str) -> list[Sentence]:
     """(start, end, words) of the sentences; together they are the whole text.
 
-    A sentence ends behind ``.``, ``!`` or ``?`` before white space, behind a line feed, or after
-    ``SENTENCE_WORDS`` words. White space belongs to the sentence before it.
+    A sentence ends behind ``.``, ``!`` or ``?`` before white space or behind a line feed; one of more than
+    ``SENTENCE_WORDS`` words is cut by its words (``cuts``). White space belongs to the sentence before it.
     """
     out: list[Sentence] = []
     start = 0
@@ -47,9 +67,10 @@ def sentences(text: str) -> list[Sentence]:
         if len(words) <= SENTENCE_WORDS:
             out.append((start, end, words))
         else:
-            cuts = [m.start() + start for k, m in enumerate(_WORD.finditer(piece)) if k and k % SENTENCE_WORDS == 0]
-            for k, (a, b) in enumerate(zip([start, *cuts], [*cuts, end])):
-                out.append((a, b, words[k * SENTENCE_WORDS : (k + 1) * SENTENCE_WORDS]))
+            places = [m.start() + start for m in _WORD.finditer(piece)]
+            bounds = [0, *[k + 1 for k in cuts(words)], len(words)]
+            for a, b in zip(bounds, bounds[1:]):
+                out.append((places[a] if a else start, places[b] if b < len(words) else end, words[a:b]))
         start = end
     return out
 
