@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -236,3 +237,35 @@ def test_lm_scores(edge_docs, no_docs):
         assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == (held[i], len(words), sum(counts[w] > 0 for w in words), n)
         assert row["score"] < 0
     assert lm_scoring.score_texts(no_docs, RANKS, PATTERN).count() == 0
+
+
+def test_training_reads_every_training_document(spark, monkeypatch):
+    """The rounds together go through all rows that are not held out, each once."""
+    rows = spark.range(60).selectExpr("concat('one more text of words ', id) AS text", "xxhash64(id) AS mark", "id % 7 = 2 AS held_out")
+    tables, share, seen = {}, lm_scoring.shared_table, []
+    monkeypatch.setattr(lm_scoring, "shared_table", lambda df, name: tables.setdefault(name, share(df, name)))
+    train = lm_scoring._train_replica
+
+    def spied(*args):
+        run = train(*args)
+
+        def noted(batches):
+            kept = [b for b in batches]
+            yield from run(iter(kept))
+            rows = sum(b.num_rows for b in kept)
+            if rows:
+                columns = [[-1], [float(rows)], [1]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.float64(), pa.int64()))], names=["place", "total", "windows"])
+
+        return noted
+
+    def unpack(row, like, own=attention.unpack):
+        seen.append(row[0])
+        return own(row[1:], like)
+
+    monkeypatch.setattr(lm_scoring, "_train_replica", spied)
+    monkeypatch.setattr(attention, "unpack", unpack)
+    lm_scoring.fit(rows, RANKS, PATTERN)
+    want = sorted(r["mark"] for r in rows.where("NOT held_out").collect())
+    assert sorted(r["mark"] for r in tables["lm-texts"].collect()) == want
+    assert sum(seen) == len(want)
