@@ -106,3 +106,12 @@ def range_of(key: dict[str, Column], kinds: str, cuts: list[dict]) -> Column:
         F.lit(0),
         lambda low, step: F.when(F.get(sorted_cuts, low + step - 1) <= own, low + step).otherwise(low),
     )
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables of ``shared_table`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -12,6 +12,7 @@ from tidemark.llm import (
     byte_bpe,
     decontamination,
     lm_scoring,
+    minhash_dedup,
     quality,
     sentence_spans,
     sharding,
@@ -121,3 +122,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return lm_scoring.score_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query("op13_minhash")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
