@@ -19,6 +19,7 @@ from tidemark.llm import (
     simhash,
     token_counts,
     url_filter,
+    vector_codes,
     winnowing,
 )
 from tidemark.session import tune
@@ -127,3 +128,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_minhash")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op12_vector_codes")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    if codes is None:
+        return spark.createDataFrame([], "vec_id bigint, code string, error bigint, label_error bigint, codebooks_sha256 string")
+    return vector_codes.code_rows(codes)
