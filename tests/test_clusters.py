@@ -245,3 +245,74 @@ def test_a_run_reduces_as_if_it_were_alone(spark, monkeypatch):
         for i, point in alone.items():
             np.testing.assert_allclose(together[i], point, atol=1e-9)
             np.testing.assert_allclose(np.abs(whole[i]), np.abs(point), atol=1e-6)
+
+
+def test_rings_read_few_blocks_and_lose_nothing(spark):
+    """Clustered rows, one hot key and vectors without length: exact results from a small part of all block pairs."""
+    from tidemark.operators import metric_index
+    from tidemark.operators.vectors import _best_of_block, merged_best
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(30, 6)) * 10
+    c = centres[np.arange(3000) % 30] + rng.normal(size=(3000, 6)) * 0.05
+    c[7] = c[1000] = 0.0
+    q = centres[np.arange(400) % 30] + rng.normal(size=(400, 6)) * 0.05
+    q[3] = 0.0
+    corpus = spark.createDataFrame([(i, "k", [float(v) for v in x]) for i, x in enumerate(c)], "cid long, key string, cvec array<double>")
+    queries = spark.createDataFrame([(i, "k", [float(v) for v in x]) for i, x in enumerate(q)], "qid long, key string, qvec array<double>")
+    for metric in ("l2", "cosine"):
+        cells = spark.sparkContext.accumulator(0)
+
+        def counted(qid, qvec, cid, cvec, k, metric, exclude_self):
+            cells.add(len(qid) * len(cid))
+            return _best_of_block(qid, qvec, cid, cvec, k, metric, exclude_self)
+
+        found = metric_index.nearest_by_rings(queries, corpus, 5, metric, False, 32, counted)
+        got = {(r["query_id"], r["rank"]): r["neighbour_id"] for r in merged_best(found, 5).collect()}
+        dist, ids = _best_of_block(np.arange(400), q, np.arange(3000), c, 5, metric, False)
+        assert got == {(i, k + 1): ids[i, k] for i in range(400) for k in range(5)}
+        assert cells.value < 0.35 * 400 * 3000
+
+
+def test_results_are_merged_in_levels(spark, monkeypatch):
+    from tidemark.operators import vectors
+
+    monkeypatch.setattr(vectors, "MERGE_TASKS", 2)
+    rows = spark.range(0, 4000, 1, 16).selectExpr("id % 7 AS query_id", "id AS neighbour_id", "CAST(pmod(id * 7919, 4001) AS DOUBLE) AS distance")
+    got = sorted((r["query_id"], r["rank"], r["neighbour_id"]) for r in vectors.merged_best(rows, 3).collect())
+    want = []
+    for q in range(7):
+        best = sorted(((i * 7919 % 4001, i) for i in range(4000) if i % 7 == q))[:3]
+        want += [(q, k + 1, i) for k, (_, i) in enumerate(best)]
+    assert got == want
+
+
+def test_undecided_hot_cluster_uses_many_block_pairs(spark):
+    rng = np.random.default_rng(5)
+    angles = np.radians(rng.uniform(0, 25, 600))
+    rows = [(i, 0, [float(np.cos(a)), float(np.sin(a))]) for i, a in enumerate(angles)] + [(1000 + i, 1, [1.0, 0.001 * i]) for i in range(5)]
+    rows += [(2000, 2, [1.0, 0.0]), (2001, 2, [float(np.cos(np.radians(25))), float(np.sin(np.radians(25)))]), (2002, 2, [float(np.cos(np.radians(-25))), float(np.sin(np.radians(-25)))])]
+    units = spark.createDataFrame(rows, "article_id long, cluster int, _u array<double>")
+    keys = units.select("cluster").distinct()
+    got = clustering._pairwise_alike(units, keys, ["cluster"], "article_id", rows_per_block=32)
+    assert {r["cluster"] for r in got.collect()} == {0, 1}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        again = clustering._pairwise_alike(units, keys, ["cluster"], "article_id", rows_per_block=32)
+        text = again._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffles = [x.split(")")[0] for x in text.split("hashpartitioning(")[1:]]
+    assert any("_block" in x for x in shuffles) and any("_other" in x for x in shuffles)
+
+
+def test_silhouettes_of_a_run_are_those_of_the_run_alone(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 3, int(rng.integers(-1, 4)) if i % 3 else 0, [float(v) for v in rng.normal(size=3)]) for i in range(240)]
+    df = spark.createDataFrame(rows, "article_id long, call_id int, cluster int, embedding array<double>")
+    got = {r["article_id"]: r["silhouette"] for r in clustering.silhouette(df, metric="sqeuclidean", run=["call_id"], clusters_per_block=2).collect()}
+    for call in range(3):
+        alone = clustering.silhouette(df.where(F.col("call_id") == call), metric="sqeuclidean").collect()
+        for r in alone:
+            assert got[r["article_id"]] == pytest.approx(r["silhouette"], abs=1e-9)
+    assert all(got[i] is None for i in range(0, 240, 3))

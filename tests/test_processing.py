@@ -256,3 +256,106 @@ def test_a_new_run_keeps_what_earlier_runs_wrote(spark, tmp_path):
             assert job.exception() is None
     got = sorted((r["event_id"], r["text"]) for r in spark.read.parquet(out).collect())
     assert got == [(i, "one") for i in range(5)] + [(i, "two") for i in range(5, 8)]
+
+
+def test_ids_of_other_runs_are_read_by_bucket(spark, tmp_path):
+    """Repeats inside a run are dropped by the stream's state; another run reads the index, not the table."""
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = T.StructType.fromDDL("event_id long, irrelevant boolean, text string")
+
+    def run(mark, seen):
+        def process(new):
+            seen.append(sorted(r["event_id"] for r in new.collect()))
+            return new.select("event_id", "text")
+
+        arrivals = incremental.read_arrivals(spark, source, schema)
+        job = incremental.incremental_events(arrivals, process, out, str(tmp_path / mark)).trigger(availableNow=True).start()
+        job.awaitTermination(120)
+        assert job.exception() is None
+
+    seen: list = []
+    for ids in ([1, 2, 2, 3], [3, 4], [4, 5, 1]):
+        spark.createDataFrame([(i, i == 2, "x") for i in ids], schema).write.mode("append").parquet(source)
+        run("one", seen)
+    assert seen == [[1, 3], [4], [5]]
+    spark.createDataFrame([(9, None, "y"), (2, False, "now wanted")], schema).write.mode("append").parquet(source)
+    seen.clear()
+    run("two", seen)
+    assert seen == [[2, 9]]
+    keys = spark.read.parquet(f"{out}/_keys")
+    assert sorted(r["event_id"] for r in keys.collect()) == [1, 2, 3, 4, 5, 9]
+    assert set(keys.columns) == {"event_id", "run", "batch", "_bucket"}
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5, 9]
+
+
+def test_a_table_without_an_index_is_indexed(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = T.StructType.fromDDL("event_id long, irrelevant boolean")
+    spark.createDataFrame([(i,) for i in range(5)], "event_id long").write.parquet(f"{out}/batch=old-0")
+    spark.createDataFrame([(i, False) for i in range(8)], schema).write.parquet(source)
+    arrivals = incremental.read_arrivals(spark, source, schema)
+    job = incremental.incremental_events(arrivals, lambda e: e.select("event_id"), out, str(tmp_path / "m")).trigger(availableNow=True).start()
+    job.awaitTermination(120)
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def test_a_page_of_many_parts_is_reduced_in_runs(spark, monkeypatch):
+    """Runs of four positions: every level groups inside runs, order is kept, and small keys are as without runs."""
+    pieces = spark.createDataFrame(
+        [("big", "Acme", i, f"p{i:03}") for i in range(150)] + [("small", "Acme", i, f"s{i}") for i in range(3)], "url string, company string, position long, text string"
+    )
+
+    def initials(texts):
+        # The answer keeps the first and the last word, so the order of all parts can be seen.
+        return [f"{t.split()[0].split('-')[0]}-{t.split()[-1].split('-')[-1]}" for t in texts]
+
+    want = {(r["url"], r["summary"]) for r in processing.reduce_texts(pieces, ["url"], "{docs}", initials, 4).collect()}
+    assert want == {("big", "p000-p149"), ("small", "s0-s2")}
+    monkeypatch.setattr(processing, "REDUCE_ROWS", 4)
+    got = processing.reduce_texts(pieces, ["url"], "{docs}", initials, 4)
+    assert {(r["url"], r["summary"]) for r in got.collect()} == want
+
+
+def test_close_values_of_a_hot_key_use_several_slices(spark, monkeypatch):
+    """Nearly all values lie together: equal widths would put them in one slice, quantiles don't."""
+    monkeypatch.setattr(ordering, "SLICE_ROWS", 100)
+    df = spark.range(4000).selectExpr(
+        "IF(id < 3000, 'hot', IF(id < 3500, 'flat', CAST(id % 90 AS STRING))) AS k",
+        "IF(id < 3000, IF(id = 0, 1000000000, id % 50), IF(id < 3500, 7, id % 5)) AS o", "(id * 37) % 4001 AS tie",
+    )
+    got = ordering.ordered_positions(df, ["k"], "o", ["tie"])
+    assert got.columns == ["k", "o", "tie", "position"]
+    rows = got.collect()
+    for key in ("hot", "flat", "5"):
+        mine = sorted((r["o"], r["tie"], r["position"]) for r in rows if r["k"] == key)
+        assert [p for _, _, p in mine] == list(range(len(mine)))
+    text = got._jdf.queryExecution().executedPlan().toString()
+    window = [x for x in text.splitlines() if "row_number() windowspecdefinition" in x][0]
+    assert "_slice" in window
+
+
+def test_slices_are_about_equal(spark):
+    """Cuts at quantiles: binary search numbers the slice of every row as counting does."""
+    rows = spark.range(300).selectExpr("IF(id < 200, array(3L, 5L, 5L, 90L), CAST(NULL AS ARRAY<BIGINT>)) AS c", "id AS p")
+    for r in rows.select("c", "p", ordering._cuts_below("c", "p").alias("n")).collect():
+        assert r["n"] == sum(x <= r["p"] for x in r["c"] or [])
+
+
+def test_tfidf_of_a_run_and_of_hot_terms(spark, monkeypatch):
+    """Hot and rare terms weigh alike whichever way they are joined; a run counts its own rows."""
+    rows = [(i, i % 2, ";".join(f"name{j},{j}" for j in range(i % 4 + 1)) + (";every,1" if i % 3 else "")) for i in range(40)]
+    df = spark.createDataFrame(rows, "article_id long, call_id int, V2Persons string")
+
+    def weights(frame, **options):
+        found = vectors.tfidf(frame, {"persons": "V2Persons"}, **options)
+        return {(r["article_id"], r["term"]): r["weight"] for r in found.collect()}
+
+    plain = weights(df)
+    for share in (1, 10**6):
+        monkeypatch.setattr(vectors, "HOT_SHARE", share)
+        assert weights(df) == pytest.approx(plain)
+    together = weights(df, run=["call_id"])
+    for call in (0, 1):
+        alone = weights(df.where(F.col("call_id") == call))
+        assert {k: v for k, v in together.items() if k[0] % 2 == call} == pytest.approx(alone)
+    assert together != pytest.approx(plain)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import audits, graph, joins, maintenance, statements, windows
+from tidemark.plans import news_events
 from tidemark.sources import articles, events, filings
 
 
@@ -155,3 +156,76 @@ def test_null_health_ranks_first(spark):
     df = spark.createDataFrame([(1, 1, 0.5, 0.5, 0.5), (2, 1, 1.0, 1.0, None), (3, 1, 0.9, 0.5, 0.5)],
                                "event_id int, call_id int, size_importance double, cohesiveness double, time_variance double")
     assert [r["event_id"] for r in windows.top_events(df, 2).orderBy("rank").collect()] == [2, 3]
+
+
+def test_a_repeated_run_replaces_itself(spark, tmp_path):
+    rows = spark.range(6).select(
+        *[F.concat(F.lit(c), F.col("id").cast("string")).alias(c) for c in articles.ARTICLE_COLUMNS],
+        F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 3).cast("int")).alias("partition_date"),
+    )
+    sink = str(tmp_path / "entries")
+    for call, day, n in ((1, 1, 6), (2, 1, 4), (1, 1, 5), (3, 2, 6)):
+        articles.append_entries(rows.limit(n), call, sink, dt.date(2024, 1, day))
+    counts = {r["call_id"]: r["count"] for r in articles.read_entries(spark, sink).groupBy("call_id").count().collect()}
+    assert counts == {1: 5, 2: 4, 3: 6}
+    assert articles.read_entries(spark, sink, 2).columns == ["call_id", *articles.ARTICLE_COLUMNS.values(), "call_date"]
+
+    table = str(tmp_path / "articles")
+    articles.write_articles(rows, table)
+    articles.write_articles(rows.where("partition_date = '2024-01-02'").limit(1), table)
+    days = {str(r["partition_date"]): r["count"] for r in spark.read.parquet(table).groupBy("partition_date").count().collect()}
+    assert days == {"2024-01-01": 2, "2024-01-02": 1, "2024-01-03": 2}
+
+
+def company_articles(spark):
+    """Articles of two companies over forty days, some with dates that can't be read."""
+    stories = ["plant fire", "merger talks"]
+    rows = []
+    for i in range(120):
+        day = dt.date(2024, 1, 31) - dt.timedelta(days=i % 40)
+        story = stories[i // 2 % 2]
+        date = "not a date" if i % 10 == 0 else day.strftime("%Y%m%d") + "120000"
+        rows.append((i, date, day, f"{'Acme' if i % 2 else 'Other'} Inc,1", f"{story} boss,3", f"{story.upper()},2", "1#Europe#Spain#", "t", "n", "a", f"u{i}"))
+    return spark.createDataFrame(
+        rows, "article_id long, DATE string, partition_date date, V2Organizations string, V2Persons string, V2Themes string, V2Locations string, "
+        "V2Tone string, AllNames string, Amounts string, DocumentIdentifier string",
+    )
+
+
+def test_company_run_from_articles_to_events(spark, tmp_path):
+    rows = company_articles(spark)
+    table, store = str(tmp_path / "articles"), str(tmp_path / "store")
+    articles.write_articles(rows, table)
+    config = news_events.EventConfig(interval=20, eps=0.2)
+    as_of = dt.datetime(2024, 1, 31)
+    for _ in range(2):
+        found, bad = news_events.company_run(spark, table, store, "acme", 7, 3, as_of, config)
+    wanted = rows.where("partition_date >= DATE'2024-01-11' AND V2Organizations LIKE 'Acme%'")
+    unreadable = wanted.where("DATE = 'not a date'")
+    assert sorted(r["article_id"] for r in bad.collect()) == sorted(r["article_id"] for r in unreadable.collect())
+    alone = news_events.news_events(wanted.where("DATE <> 'not a date'"), config)
+    assert {(r["cluster_id"], r["top_articles"]) for r in found.collect()} == {(r["cluster"], ",".join(r["top_articles"])) for r in alone.collect()}
+    assert found.count() > 0 and found.where("event_window <> 20 OR stock_id <> 3 OR call_id <> 7").count() == 0
+    assert events.read_calls(spark, store).count() == 1
+    # A shorter interval reads fewer days; a call without bad dates has none in quarantine.
+    news_events.company_run(spark, table, store, "acme", 8, 3, dt.datetime(2024, 1, 31), news_events.EventConfig(interval=5, eps=0.2))
+    assert events.read_calls(spark, store).count() == 2 and events.read_events(spark, store, 7).count() == found.count()
+    good = articles.read_articles(spark, table, "acme", 5, as_of)
+    taken = sum(len(r["top_articles"].split(",")) for r in events.read_events(spark, store, 8).collect())
+    assert taken <= good.count()
+
+
+def test_legacy_run_among_others_is_as_alone(spark):
+    rows = company_articles(spark).withColumn("call_id", (F.col("article_id") % 2).cast("long"))
+    config = news_events.EventConfig(eps=0.3, top_n=2)
+
+    def table(df):
+        return sorted(
+            (r["cluster"], round(r["health"], 6), tuple(r["top_articles"]), len(r["top_themes"])) for r in df.collect()
+        )
+
+    together = news_events.legacy_events(rows, config, run=["call_id"])
+    assert together.count() >= 2
+    for call in (0, 1):
+        alone = news_events.legacy_events(rows.where(F.col("call_id") == call), config, run=["call_id"])
+        assert table(together.where(F.col("call_id") == call)) == table(alone)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.fixtures import Tables
-from tidemark.checks.registry import query
+from tidemark.checks.registry import query, shared_folder
 from tidemark.checks.relational import INFO_SQL, KEYS, readable
 from tidemark.checks.scalars import distinct_sql, sentence_sql
 from tidemark.functions import vectors as vec
@@ -17,8 +17,8 @@ from tidemark.operators import clustering, graph, statements, vectors, windows
 from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import event_processing, news_events
-from tidemark.session import cut_lineage, ensure_checkpoint_dir
-from tidemark.sources.events import event_rows
+from tidemark.session import cut_lineage
+from tidemark.sources.events import call_row, read_calls, read_events, write_events
 from tidemark.streaming import incremental, rate_limit
 
 TERM_SQL = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]{{2,}}')"
@@ -44,8 +44,8 @@ def slots_sql(table: str, text: str, key: str) -> str:
 def v1(t: Tables) -> DataFrame:
     """Every weight of every vector."""
     embedded = vectors.embed(t.documents.select("doc_id", "text"), "text")
-    weights = embedded.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).where("weight <> 0")
-    return weights.select("doc_id", F.col("slot").cast("long").alias("slot"), F.round("weight", 6).alias("weight"))
+    slots = F.transform("embedding", lambda w, i: F.struct(i.cast("long").alias("slot"), F.round(w, 6).alias("weight")))
+    return embedded.select("doc_id", F.inline(F.filter(slots, lambda s: s["weight"] != 0)))
 
 
 def _short_only(texts: list[str]) -> list:
@@ -350,7 +350,12 @@ ONE_RUN_SQL = "WITH one_run AS (SELECT * REPLACE (CAST(77 AS BIGINT) AS call_id)
     ("clustered",),
 )
 def s3(t: Tables) -> DataFrame:
-    rows = event_rows(cluster_info(cut_lineage(t.clustered)), 77, 5, 7)
+    """The call and its events are written twice and read back."""
+    path, info = shared_folder(t.spark, "events"), cut_lineage(cluster_info(cut_lineage(t.clustered)))
+    call = call_row(t.spark, 77, 5, dt.datetime(2001, 8, 1), 7, 10, {})
+    for _ in range(2):
+        write_events(info, call, path)
+    rows = read_events(t.spark, path, 77).join(read_calls(t.spark, path).select("call_id"), "call_id")
     return rows.select(
         "event_id", "call_id", "cluster_id", "top_articles", "top_themes", "top_persons", "top_orgs", "top_locs", "irrelevant",
         *[F.round(F.col("cluster_health")[i], 6).alias(n) for i, n in enumerate(("size_importance", "cohesiveness", "time_variance"))],
@@ -500,14 +505,23 @@ def st1(t: Tables) -> DataFrame:
 
 @query("st2_incremental_events", "SELECT doc_id AS event_id, length(text) AS n_chars FROM documents WHERE lang <> 'fr'")
 def st2(t: Tables) -> DataFrame:
-    """Documents arriving as a file stream; French ones count as flagged."""
-    folder = f"{ensure_checkpoint_dir(t.spark)}/st2-{uuid.uuid4().hex}"
-    arrivals = incremental.read_arrivals(t.spark, t.sf_dir, t.documents.schema, pattern="documents.parquet")
-    events = arrivals.select(F.col("doc_id").alias("event_id"), "text", (F.col("lang") == "fr").alias("irrelevant"))
+    """Documents arrive as files, in three batches with repeats; the stream is started again, and then by another run.
+
+    French documents count as flagged.
+    """
+    folder = shared_folder(t.spark, "st2")
+    events = t.documents.select(F.col("doc_id").alias("event_id"), "text", (F.col("lang") == "fr").alias("irrelevant"))
 
     def process(new: DataFrame) -> DataFrame:
         return new.select("event_id", F.length("text").alias("n_chars"))
 
-    job = incremental.incremental_events(events, process, f"{folder}/out", f"{folder}/marks").trigger(availableNow=True).start()
-    job.awaitTermination()
+    def run(marks: str) -> None:
+        arrivals = incremental.read_arrivals(t.spark, f"{folder}/in", events.schema)
+        job = incremental.incremental_events(arrivals, process, f"{folder}/out", f"{folder}/{marks}").trigger(availableNow=True).start()
+        job.awaitTermination()
+
+    for part in (events.where("event_id % 3 = 0"), events.where("event_id % 3 < 2"), events):
+        part.write.mode("append").parquet(f"{folder}/in")
+        run("one")
+    run("two")
     return t.spark.read.parquet(f"{folder}/out").select("event_id", "n_chars")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.checks.fixtures import Tables, with_inputs
-from tidemark.session import tune
+from tidemark.session import ensure_checkpoint_dir, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -29,3 +30,8 @@ def query(name: str, sql: str | None = None, inputs: tuple[str, ...] = ()):
         return make
 
     return register
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for what a query writes, where all executors see it."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.fixtures import Tables
-from tidemark.checks.registry import query
+from tidemark.checks.registry import query, shared_folder
 from tidemark.functions import articles as art
 from tidemark.functions import health, mentions
 from tidemark.operators import filters
@@ -58,6 +58,20 @@ def s1(t: Tables) -> DataFrame:
     return found.select("article_id", "DATE", "V2Organizations", "DocumentIdentifier")
 
 
+@query(
+    "s1_article_table",
+    """SELECT article_id, DATE, V2Organizations, DocumentIdentifier FROM articles
+       WHERE partition_date >= TIMESTAMP '2001-08-01' - INTERVAL 700 DAY AND contains(lower(V2Organizations), 'brand#2 ')""",
+    ("articles",),
+)
+def s1_table(t: Tables) -> DataFrame:
+    """The articles are stored by day and read back through the days that are asked for."""
+    path = shared_folder(t.spark, "articles")
+    article_source.write_articles(t.articles, path)
+    found = article_source.read_articles(t.spark, path, "Brand#2 ", 700, AS_OF)
+    return found.select("article_id", "DATE", "V2Organizations", "DocumentIdentifier")
+
+
 @query(
     "s2_append_entries",
     """SELECT CAST(77 AS BIGINT) AS call_id, DATE AS date, V2Themes AS themes, V2Tone AS tone, V2Locations AS locations,
@@ -66,7 +80,11 @@ def s1(t: Tables) -> DataFrame:
     ("articles",),
 )
 def s2(t: Tables) -> DataFrame:
-    return article_source.tag_entries(t.articles, 77)
+    """Two runs are written, one of them twice; the table read back holds each run once."""
+    path, day = shared_folder(t.spark, "entries"), dt.date(2001, 8, 1)
+    for call in (77, 78, 77):
+        article_source.append_entries(t.articles, call, path, day)
+    return article_source.read_entries(t.spark, path, 77).drop("call_date")
 
 
 @query(

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.vectors import cosine, dot, unit
 from tidemark.operators.aggregates import centroid, summed_vector
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, write_once
 
 NOISE = -1
 # Points of one cell that may meet a neighbour's points in one task.
@@ -92,9 +92,9 @@ def run_schema(df: DataFrame, run: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in run)
 
 
-def min_cluster_size(df: DataFrame) -> DataFrame:
-    """One row: 1 % of the rows, at least 5."""
-    return df.agg(F.greatest(F.lit(5), F.floor(F.count("*") * F.lit(0.01))).cast("long").alias("min_cluster_size"))
+def min_cluster_size(df: DataFrame, run: Sequence[str] = ()) -> DataFrame:
+    """One row (one for each run): 1 % of the rows, at least 5."""
+    return df.groupBy(*run).agg(F.greatest(F.lit(5), F.floor(F.count("*") * F.lit(0.01))).cast("long").alias("min_cluster_size"))
 
 
 # -- grid ------------------------------------------------------------------------------------
@@ -161,8 +161,15 @@ def eps_neighbours(
     return pairs.where(_square_distance(k) <= F.lit(eps * eps)).select(*run, "query_id", F.col("o_id").alias("point_id"))
 
 
-def core_points(points: DataFrame, eps: float, min_samples: int, k: int, run: Sequence[str]) -> DataFrame:
-    """Grid points that are core.
+def _with_least(df: DataFrame, least: int | DataFrame, run: Sequence[str]) -> DataFrame:
+    """Add ``_least``: one number for all rows, or each run's own from a table (run, least)."""
+    if isinstance(least, int):
+        return df.withColumn("_least", F.lit(least))
+    return df.join(least.select(*run, F.col("least").alias("_least")), list(run))
+
+
+def core_points(points: DataFrame, eps: float, min_samples: int | DataFrame, k: int, run: Sequence[str]) -> DataFrame:
+    """Grid points that are core. ``min_samples`` is a number, or a table (run, least) with each run's own.
 
     A cell with ``min_samples`` points is core as a whole. Only points of emptier
     cells are counted against their surroundings: fewer than ``min_samples`` per
@@ -170,13 +177,13 @@ def core_points(points: DataFrame, eps: float, min_samples: int, k: int, run: Se
     """
     keys = [*run, "cell"]
     cells = points.groupBy(*keys).agg(F.count("*").alias("n"))
-    sized = points.join(cells, keys)
-    dense = sized.where(F.col("n") >= min_samples).drop("n")
-    sparse = sized.where(F.col("n") < min_samples).drop("n")
+    sized = points.join(_with_least(cells, min_samples, run), keys)
+    dense = sized.where(F.col("n") >= F.col("_least")).drop("n", "_least")
+    sparse = sized.where(F.col("n") < F.col("_least")).drop("n", "_least")
     counts = eps_neighbours(sparse, points, cells, eps, k, run).groupBy(*run, F.col("query_id").alias("id")).agg(
         F.count("*").alias("_n")
     )
-    enough = counts.where(F.col("_n") >= min_samples).drop("_n")
+    enough = _with_least(counts, min_samples, run).where(F.col("_n") >= F.col("_least")).drop("_n", "_least")
     return dense.unionByName(sparse.join(enough, [*run, "id"], "left_semi"))
 
 
@@ -341,8 +348,8 @@ def _fingerprint(state: DataFrame) -> tuple:
 def density_cluster(
     df: DataFrame,
     eps: float,
-    min_cluster_size: int = 3,
-    min_samples: int | None = None,
+    min_cluster_size: int | DataFrame = 3,
+    min_samples: int | DataFrame | None = None,
     id_col: str = "article_id",
     coords: str = "reduced",
     k: int = 2,
@@ -353,7 +360,8 @@ def density_cluster(
 
     A cluster is named by its smallest core id, so the result does not depend on
     row order. ``run`` columns (such as the call) are clustered independently in
-    the same job. ``k`` is the number of coordinates, at most 3.
+    the same job; ``min_cluster_size`` may be a table (run, least) with each run's own.
+    ``k`` is the number of coordinates, at most 3.
     """
     if not 1 <= k <= 3:
         raise ValueError("the grid supports 1 to 3 coordinates; reduce the vectors first")
@@ -372,7 +380,8 @@ def density_cluster(
         "label", F.coalesce("component", "node")
     )
     sizes = labelled.groupBy(*run, "label").agg(F.sum("n").alias("rows"))
-    kept = labelled.join(sizes.where(F.col("rows") >= min_cluster_size), [*run, "label"]).select(*run, "cell", "label")
+    large = _with_least(sizes, min_cluster_size, run).where(F.col("rows") >= F.col("_least"))
+    kept = labelled.join(large, [*run, "label"]).select(*run, "cell", "label")
     member = core.join(kept, [*run, "cell"]).select(*run, F.col("id").alias("_id"), "label")
     joined = df.withColumn("_id", F.col(id_col).cast("long")).join(member, [*run, "_id"], "left")
     return joined.withColumn(out, F.coalesce("label", F.lit(NOISE).cast("long"))).select(*df.columns, out)
@@ -405,14 +414,19 @@ def silhouette(
     out: str = "silhouette",
     clusters_per_block: int = 256,
     rows_per_block: int = 1024,
+    run: Sequence[str] = (),
 ) -> DataFrame:
-    """Add the silhouette of each row; noise counts as a label.
+    """Add the silhouette of each row; noise counts as a label. With ``run`` columns each run is judged alone.
 
     ``sqeuclidean`` needs one pass for the sums per cluster and one pass over the
     rows against those sums. ``euclidean`` has no such closed form: distances are
     summed block by block inside the tasks, which is quadratic in the rows.
     NULL for every row when the labels do not allow a silhouette.
     """
+    if run:
+        if metric != "sqeuclidean":
+            raise ValueError("runs are judged by squared distances")
+        return _silhouette_runs(df, vec, cluster, id_col, out, clusters_per_block, list(run))
     if metric == "sqeuclidean":
         return _silhouette_squared(df, vec, cluster, id_col, out, clusters_per_block)
     return _silhouette_euclidean(df, vec, cluster, id_col, out, rows_per_block)
@@ -457,6 +471,40 @@ def _silhouette_squared(df: DataFrame, vec: str, cluster: str, id_col: str, out:
     return df.join(scored, id_col)
 
 
+def _silhouette_runs(df: DataFrame, vec: str, cluster: str, id_col: str, out: str, per_block: int, run: list[str]) -> DataFrame:
+    """Squared silhouettes of many runs: a row meets the sums of its own run's clusters, in blocks and salts of the run."""
+    v = F.col(vec).cast("array<double>")
+    stats = cut_lineage(df.groupBy(*run, cluster).agg(
+        F.count("*").cast("double").alias("n"), summed_vector("sum", v, F.lit(1.0)).alias("s"), F.sum(dot(v, v)).alias("q")
+    ))
+    k, noise = F.count("*"), F.max((F.col(cluster) == NOISE).cast("int"))
+    runs = stats.groupBy(*run).agg(
+        F.ceil(k / F.lit(per_block)).alias("_blocks"), F.ceil(F.sum("n") / F.lit(ROWS_PER_SALT)).alias("_salts"),
+        (((k > 1) & (noise == 1)) | ((k == 2) & (noise == 0))).alias("_allowed"),
+    )
+    packed = stats.join(runs, run).withColumn("_block", F.pmod(F.xxhash64(cluster), "_blocks")).groupBy(*run, "_block", "_salts").agg(
+        F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "s", "q")).alias("_stats")
+    )
+    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1))).drop("_salts")
+    rows = df.select(*run, id_col, cluster, v.alias("_v")).join(runs, run)
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), "_salts")).withColumn(
+        "_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))
+    )
+
+    def total(s: Column) -> Column:
+        return s["n"] * dot(F.col("_v"), F.col("_v")) - F.lit(2.0) * dot(F.col("_v"), s["s"]) + s["q"]
+
+    own = F.filter("_stats", lambda s: s["c"] == F.col(cluster))
+    others = F.filter("_stats", lambda s: s["c"] != F.col(cluster))
+    meets = spread.join(packed, [*run, "_block", "_salt"]).select(
+        *run, id_col, "_allowed", F.array_min(F.transform(others, lambda s: total(s) / s["n"])).alias("_b"),
+        F.array_max(F.transform(own, total)).alias("_own"), F.array_max(F.transform(own, lambda s: s["n"])).alias("_n"),
+    )
+    best = meets.groupBy(*run, id_col, "_allowed").agg(F.min("_b").alias("_b"), F.max("_own").alias("_own"), F.max("_n").alias("_n"))
+    value = _silhouette(F.greatest("_own", F.lit(0.0)), F.col("_n"), F.col("_b"))
+    return df.join(best.select(*run, id_col, F.when(F.col("_allowed"), value).alias(out)), [*run, id_col])
+
+
 def _silhouette_euclidean(df: DataFrame, vec: str, cluster: str, id_col: str, out: str, rows_per_block: int) -> DataFrame:
     id_type, cluster_type = df.schema[id_col].dataType, df.schema[cluster].dataType
     stats = df.groupBy(cluster).agg(F.count("*").cast("double").alias("_n"))
@@ -587,8 +635,12 @@ def _pairwise_alike(units: DataFrame, open_keys: DataFrame, keys: list[str], id_
         rows.join(sizes, keys).withColumn("_block", F.pmod(F.xxhash64(id_col), F.col("_b")))
         .groupBy(*keys, "_block").agg(F.size(F.collect_list("_u")).alias("m"), F.flatten(F.collect_list("_u")).alias("xs"))
     )
+    blocks = write_once(blocks, "alike-blocks")
+    # The pairs of blocks are listed first and then fetch both sides, so a hot cluster's pairs are keyed by block.
+    numbers = sizes.select(*keys, "_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_b") - 1)).alias("_block"))
+    listed = numbers.select(*keys, "_block", F.explode(F.sequence(F.col("_block"), F.col("_b") - 1)).alias("_other"))
     other = blocks.select(*keys, F.col("_block").alias("_other"), F.col("m").alias("o_m"), F.col("xs").alias("o_xs"))
-    pairs = blocks.join(other, keys).where("_block <= _other").repartition(*keys, "_block", "_other")
+    pairs = listed.join(blocks, [*keys, "_block"]).join(other, [*keys, "_other"])
 
     def lows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -15,6 +15,9 @@ from tidemark.session import cut_lineage
 PART_SIZE = 1000
 # Rows of one key that may be ordered by a single task.
 SLICE_ROWS = 200_000
+# Most slices of a key, and sampled rows of a slice.
+MAX_SLICES = 4_096
+SAMPLES = 48
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -46,35 +49,58 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n:
 def ordered_positions(
     df: DataFrame, keys: Sequence[str], order: str, ties: Sequence[str] = (), position: str = "position"
 ) -> DataFrame:
-    """Exact 0-based position of each row inside its key.
+    """Exact 0-based position of each row inside its key, by ``order`` and ``ties`` (NULLs first).
 
-    ``order`` is numeric. A key with many rows is cut into equal-width slices of
-    its value range; slices are numbered separately and shifted by the rows in
-    earlier slices, so one key can use many tasks. The rows are read several
-    times, so they are written once first.
+    A key with more than ``SLICE_ROWS`` rows is cut into slices at quantiles of a sample of its own rows, so slices are
+    about equal however the values lie, and rows that are equal in ``order`` are parted by their ties, then by a hash.
+    Slices are numbered separately and shifted by the rows before them, so one key uses many tasks. The rows are read
+    several times, so they are written once first. A key's sample is one row of at most ``MAX_SLICES`` cuts.
     """
-    df = cut_lineage(df)
-    span = df.groupBy(*keys).agg(
-        F.min(order).alias("_lo"), F.max(order).alias("_hi"), F.count("*").alias("_rows")
+    keys, columns = list(keys), df.columns
+    # Rows that agree in all of these are alike; which of them comes first doesn't matter.
+    place = F.struct(F.col(order).alias("o"), *[F.col(c).alias(f"t{i}") for i, c in enumerate(ties)], F.xxhash64(*columns).alias("h"))
+    rows = cut_lineage(df.withColumn("_place", place))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    large = counts.where(F.col("_rows") > SLICE_ROWS).withColumn(
+        "_slices", F.least(F.ceil(F.col("_rows") / F.lit(SLICE_ROWS)), F.lit(MAX_SLICES))
     )
-    slices = F.ceil(F.col("_rows") / F.lit(SLICE_ROWS)).cast("double")
-    share = F.coalesce(
-        F.try_divide((F.col(order) - F.col("_lo")).cast("double"), (F.col("_hi") - F.col("_lo")).cast("double")),
-        F.lit(0.0),
+    found = large.limit(MAX_SLICES + 1).count()
+    if not found:
+        number = F.row_number().over(W.partitionBy(*keys).orderBy("_place")).cast("long")
+        return rows.select(*columns, (number - 1).alias(position))
+    # A row is drawn by its hash; a slice gets about SAMPLES rows of the sample.
+    share = F.col("_slices") * F.lit(float(SAMPLES)) / F.col("_rows")
+    drawn = rows.join(F.broadcast(large) if found <= MAX_SLICES else large, keys).where(
+        F.pmod(F.xxhash64(F.lit(17), "_place.h"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
     )
-    sliced = df.join(span, list(keys)).withColumn("_slice", F.floor(share * slices)).drop("_lo", "_hi", "_rows")
+    numbered = drawn.select(
+        *keys, "_slices", "_place", F.row_number().over(W.partitionBy(*keys).orderBy("_place")).alias("_i"),
+        F.count("*").over(W.partitionBy(*keys)).alias("_drawn"),
+    )
+    due = F.floor((F.col("_i") - 1) * F.col("_slices") / F.col("_drawn"))
+    cuts = numbered.where((due > F.floor((F.col("_i") - 2) * F.col("_slices") / F.col("_drawn"))) & (F.col("_i") > 1))
+    cuts = cut_lineage(cuts.groupBy(*keys).agg(F.sort_array(F.collect_list("_place")).alias("_cuts")))
+    sliced = rows.join(cuts, keys, "left").withColumn("_slice", _cuts_below("_cuts", "_place")).drop("_cuts")
     before = (
         sliced.groupBy(*keys, "_slice").agg(F.count("*").alias("_n"))
         .withColumn("_end", F.sum("_n").over(W.partitionBy(*keys).orderBy("_slice")))
         .select(*keys, "_slice", (F.col("_end") - F.col("_n")).alias("_before"))
     )
-    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy(order, *ties))
+    inside = F.row_number().over(W.partitionBy(*keys, "_slice").orderBy("_place"))
     return (
         sliced.withColumn("_inside", inside)
         .join(before, [*keys, "_slice"])
-        .withColumn(position, F.col("_before") + F.col("_inside") - F.lit(1))
-        .drop("_slice", "_inside", "_before")
+        .select(*columns, (F.col("_before") + F.col("_inside") - F.lit(1)).alias(position))
+    )
+
+
+def _cuts_below(cuts: str, place: str) -> Column:
+    """Number of sorted cuts at or below the place, by binary search; 0 without cuts."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(MAX_SLICES.bit_length()))])
+    below = F.aggregate(
+        steps, F.lit(0), lambda low, step: F.when(F.get(F.col(cuts), low + step - 1) <= F.col(place), low + step).otherwise(low)
     )
+    return F.when(F.col(cuts).isNull(), F.lit(0)).otherwise(below)
 
 
 def concat_in_order(

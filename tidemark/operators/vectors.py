@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import CountVectorizerModel, Normalizer
-from pyspark.ml.functions import vector_to_array
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.mentions import distinct_names
 from tidemark.functions.vectors import MISSING_MARK, as_vector, cosine, missing_to_null
+from tidemark.operators.metric_index import nearest_by_rings
 from tidemark.operators.model_map import map_with_model
 from tidemark.operators.ordering import top_per_key
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, write_once
 
 # Slots of the default text vector.
 DIM = 256
@@ -24,8 +25,10 @@ DIM = 256
 TERM = r"[\p{L}\p{N}_]{2,}"
 # Largest side of a neighbour search that is sent to every task.
 BROADCAST_BYTES = 64 * 1024 * 1024
-# Corpus blocks that one query block meets in one task.
-BLOCKS_PER_SLOT = 16
+# A term is hot when it is in more than this share (one part in so many) of all rows.
+HOT_SHARE = 100
+# Tasks whose results for a query are merged at once.
+MERGE_TASKS = 64
 # Largest distance matrix a task holds at a time.
 MATRIX_CELLS = 4_000_000
 
@@ -39,21 +42,33 @@ def terms(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(TERM), F.lit(0))
 
 
+def _slot_counts(dim: int):
+    """Arrow function: the counts of terms in ``dim`` slots of each list of terms; every distinct term is hashed once a batch."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def counts(listed: pa.Array) -> pa.Array:
+        words = listed.flatten().dictionary_encode()
+        slots = np.array([int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % dim for w in words.dictionary.to_pylist()], np.int64)
+        sizes = listed.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(listed)), sizes)
+        table = np.zeros((len(listed), dim))
+        if len(rows):
+            np.add.at(table, (rows, slots[words.indices.to_numpy(zero_copy_only=False)]), 1.0)
+        lengths = np.sqrt((table * table).sum(axis=1, keepdims=True))
+        table /= np.where(lengths > 0, lengths, 1.0)
+        return pa.ListArray.from_arrays(np.arange(0, table.size + 1, dim, dtype=np.int32), pa.array(table.ravel()), mask=listed.is_null())
+
+    return counts
+
+
 def hashed_vectors(df: DataFrame, text_col: str, out: str = "embedding", dim: int = DIM) -> DataFrame:
     """Add the default vector: term counts in ``dim`` slots, length one.
 
     A term's slot is the number in the first seven hexadecimal digits of its MD5, modulo ``dim``, which other
-    engines can compute as well. Row-local, so nothing is shuffled. A text without terms gets the zero vector,
-    NULL text gets NULL.
+    engines can compute as well. Terms are cut by Spark, counted in Arrow batches; nothing is shuffled. A text without
+    terms gets the zero vector, NULL text gets NULL.
     """
-    listed = df.withColumn("_terms", F.coalesce(terms(text_col), F.array().cast("array<string>")))
-    digits = F.transform("_terms", lambda t: F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("long") % dim)
-    slotted = listed.withColumn("_terms", F.transform(digits, lambda d: d.cast("string")))
-    slots = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_terms", outputCol="_tf")
-    hashed = slots.transform(slotted)
-    scaled = Normalizer(inputCol="_tf", outputCol="_unit", p=2.0).transform(hashed)
-    vector = F.when(F.col(text_col).isNotNull(), vector_to_array("_unit"))
-    return scaled.withColumn(out, vector).drop("_terms", "_tf", "_unit")
+    return df.withColumn(out, _slot_counts(dim)(terms(text_col)))
 
 
 def text_vector(spark: SparkSession, text: str, dim: int = DIM) -> list[float]:
@@ -193,8 +208,8 @@ def knn(
     Output (query_id, neighbour_id, distance, rank). Each task keeps only its k
     best per query; no query-corpus pair is ever a row. Whichever side stays
     below ``broadcast_bytes`` (queries are tried first) travels to the tasks and
-    the other side is read in place, without a shuffle. When both are larger,
-    blocks of both sides meet in an equi-join. ``l2`` is the squared distance.
+    the other side is read in place, without a shuffle. When both are larger, packs of
+    queries read only the distance rings that can hold a neighbour (``metric_index``). ``l2`` is the squared distance.
     """
     q_type = queries.schema[query_id].dataType
     c_type = corpus.schema[corpus_id].dataType
@@ -215,8 +230,21 @@ def knn(
     elif _bytes(c, "cvec") <= broadcast_bytes:
         partial = _knn_corpus_sent(q, c, schema, k, metric, exclude_self)
     else:
-        partial = _knn_by_blocks(q, c, schema, k, metric, exclude_self, block_rows)
-    return top_per_key(partial, ["query_id"], [F.asc("distance"), F.asc("neighbour_id")], k)
+        partial = nearest_by_rings(q, c, k, metric, exclude_self, block_rows, _best_of_block)
+    return merged_best(partial, k)
+
+
+def merged_best(partial: DataFrame, k: int) -> DataFrame:
+    """The k best rows (query_id, neighbour_id, distance) of each query, merged level by level.
+
+    Every task cuts to k rows a query before it shuffles. With more tasks than ``MERGE_TASKS``, the results of as many
+    are merged first, so that the last level reads k rows a query from each group instead of from each task.
+    """
+    order = [F.asc("distance"), F.asc("neighbour_id")]
+    if int(partial.sparkSession.conf.get("spark.sql.shuffle.partitions")) > MERGE_TASKS:
+        grouped = partial.withColumn("_group", F.floor(F.spark_partition_id() / F.lit(MERGE_TASKS)))
+        partial = top_per_key(grouped, ["query_id", "_group"], order, k).drop("_group", "rank")
+    return top_per_key(partial, ["query_id"], order, k)
 
 
 def _bytes(df: DataFrame, vec: str) -> int:
@@ -272,69 +300,56 @@ def _knn_corpus_sent(q: DataFrame, c: DataFrame, schema: T.StructType, k: int, m
     return q.mapInPandas(nearest, schema)
 
 
-def _knn_by_blocks(
-    q: DataFrame, c: DataFrame, schema: T.StructType, k: int, metric: str, exclude_self: bool, block_rows: int
-) -> DataFrame:
-    def block_counts(df: DataFrame, out: str) -> DataFrame:
-        return df.groupBy("key").agg(F.ceil(F.count("*") / F.lit(block_rows)).alias(out))
-
-    def packed(df: DataFrame, counts: DataFrame, count: str, ident: str, vec: str, block: str) -> DataFrame:
-        spread = df.join(counts, "key").withColumn(block, F.pmod(F.xxhash64(ident), F.col(count)))
-        return spread.groupBy("key", block).agg(
-            F.collect_list(ident).alias(ident), F.flatten(F.collect_list(vec)).alias(vec)
-        )
-
-    # A query block meets the corpus blocks of its key in slots of a few blocks
-    # each, so one key uses as many tasks as its block pairs need.
-    counts = block_counts(q, "_qb").join(block_counts(c, "_cb"), "key")
-    slots = F.ceil(F.col("_cb") / F.lit(BLOCKS_PER_SLOT))
-    left = packed(q, counts.select("key", "_qb"), "_qb", "qid", "qvec", "qblock").join(counts, "key").select(
-        "key", "qblock", "qid", "qvec", F.explode(F.sequence(F.lit(0).cast("long"), slots - 1)).alias("slot")
-    )
-    right = packed(c, counts.select("key", "_cb"), "_cb", "cid", "cvec", "cblock").join(counts, "key").select(
-        "key", F.pmod("cblock", slots).alias("slot"), "cid", "cvec",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("_qb") - 1)).alias("qblock"),
-    )
-    pairs = left.join(right, ["key", "qblock", "slot"])
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.itertuples(index=False):
-                qid, cid = np.asarray(row.qid), np.asarray(row.cid)
-                qvec = np.asarray(row.qvec, dtype="float64").reshape(len(qid), -1)
-                cvec = np.asarray(row.cvec, dtype="float64").reshape(len(cid), -1)
-                yield _as_rows(qid, _best_of_block(qid, qvec, cid, cvec, k, metric, exclude_self))
-
-    return pairs.select("qid", "qvec", "cid", "cvec").mapInPandas(nearest, schema)
-
-
 # -- tf-idf ----------------------------------------------------------------------------------
 
 
-def tfidf(df: DataFrame, columns: dict[str, str], id_col: str = "article_id") -> DataFrame:
-    """Long-form weights (id, kind, term, weight) of the entity columns.
+def tfidf(df: DataFrame, columns: dict[str, str], id_col: str = "article_id", run: Sequence[str] = ()) -> DataFrame:
+    """Long-form weights (run, id, kind, term, weight) of the entity columns.
 
     Smoothed idf ``ln((1+n)/(1+df))+1`` and rows of length one per column. The
-    text of a column is its distinct names joined by blanks.
+    text of a column is its distinct names joined by blanks. With ``run`` columns
+    a run's rows are counted alone.
     """
+    run = list(run)
     texts = F.array(
         *[
             F.struct(F.lit(kind).alias("kind"), terms(distinct_names(column, kind, " ")).alias("terms"))
             for kind, column in columns.items()
         ]
     )
-    exploded = df.select(id_col, F.explode(texts).alias("_x")).select(
-        id_col, F.col("_x.kind").alias("kind"), F.explode("_x.terms").alias("term")
+    # A row's terms are counted inside the row; they are read twice, so they are written once.
+    counts = F.transform(F.array_distinct("_x.terms"), lambda t: F.struct(
+        t.alias("term"), F.size(F.filter("_x.terms", lambda u: u == t)).cast("double").alias("tf")
+    ))
+    listed = df.select(*run, id_col, F.explode(texts).alias("_x"))
+    rows = write_once(listed.select(*run, id_col, F.col("_x.kind").alias("kind"), counts.alias("counts")), "tf")
+    n_docs = rows.groupBy(*run).agg((F.count("*") / F.lit(len(columns))).alias("n"))
+    terms_of = rows.select(*run, "kind", F.explode("counts.term").alias("term")).groupBy(*run, "kind", "term").agg(F.count("*").alias("df"))
+    counted = terms_of.join(n_docs, run) if run else terms_of.withColumn("n", n_docs.scalar())
+    idf = write_once(
+        counted.select(
+            *run, "kind", "term", (F.log((F.lit(1.0) + F.col("n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"),
+            (F.col("df") > F.col("n") / F.lit(HOT_SHARE)).alias("often"),
+        ),
+        "idf",
     )
-    tf = exploded.groupBy(id_col, "kind", "term").agg(F.count("*").cast("double").alias("tf"))
-    # Counting the tf column keeps both uses of the counts on one shuffle.
-    doc_freq = tf.groupBy("kind", "term").agg(F.count("tf").alias("df"))
-    n_docs = df.agg(F.count("*")).scalar()
-    idf = doc_freq.select(
-        "kind", "term", (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf")
+    each = rows.select(*run, id_col, "kind", F.explode("counts").alias("_c")).select(*run, id_col, "kind", "_c.term", "_c.tf")
+    keys = [*run, "kind", "term"]
+    if run:
+        # Terms of many runs: a run's hot terms are split at run time by the join.
+        weighted = each.join(idf, keys).select(*run, id_col, "kind", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    else:
+        # Terms in more than a hundredth of the rows: at most a hundred times the terms of an average row, however many
+        # rows there are. They are sent to the rows; all others are joined.
+        hot = F.broadcast(idf.where("often").select("kind", "term", F.col("idf").alias("hot")))
+        marked = each.join(hot, keys, "left")
+        often = marked.where(F.col("hot").isNotNull()).select(id_col, "kind", "term", (F.col("tf") * F.col("hot")).alias("w"))
+        seldom = marked.where(F.col("hot").isNull()).join(idf.where("NOT often"), keys)
+        weighted = often.unionByName(seldom.select(id_col, "kind", "term", (F.col("tf") * F.col("idf")).alias("w")))
+    # A row's weights are at most its terms.
+    per_row = weighted.groupBy(*run, id_col, "kind").agg(
+        F.collect_list(F.struct("term", "w")).alias("_w"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len")
     )
-    weighted = tf.join(idf, ["kind", "term"]).withColumn("w", F.col("tf") * F.col("idf"))
-    lengths = weighted.groupBy(id_col, "kind").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return weighted.join(lengths, [id_col, "kind"]).select(
-        id_col, "kind", "term", (F.col("w") / F.col("len")).alias("weight")
+    return per_row.select(*run, id_col, "kind", F.explode("_w").alias("_t"), "len").select(
+        *run, id_col, "kind", F.col("_t.term").alias("term"), (F.col("_t.w") / F.col("len")).alias("weight")
     )

@@ -42,7 +42,27 @@ def tag_entries(df: DataFrame, call_id: int) -> DataFrame:
     )
 
 
+def write_articles(df: DataFrame, path: str, day: str = "partition_date") -> None:
+    """Store articles by day; days that the rows have replace those of the table, so a repeated load changes nothing.
+
+    Rows of a day come together and a large day is split into several files.
+    """
+    df.hint("rebalance", day).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+
+
 def append_entries(df: DataFrame, call_id: int, path: str, call_date: dt.date) -> None:
-    """Append the tagged rows, partitioned by call date."""
+    """Add the tagged rows of a run, partitioned by call date and run.
+
+    A run that is written again replaces its own rows and no others.
+    """
     tagged = tag_entries(df, call_id).withColumn("call_date", F.lit(call_date))
-    tagged.write.mode("append").partitionBy("call_date").parquet(path)
+    writer = tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("call_date", "call_id").parquet(path)
+
+
+def read_entries(spark: SparkSession, path: str, call_id: int | None = None) -> DataFrame:
+    """Entry rows as ``tag_entries`` made them, with their call date; of one run, only its folders are listed."""
+    rows = spark.read.parquet(path)
+    if call_id is not None:
+        rows = rows.where(F.col("call_id") == call_id)
+    return rows.select(F.col("call_id").cast("long"), *ARTICLE_COLUMNS.values(), F.col("call_date").cast("date"))

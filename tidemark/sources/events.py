@@ -43,8 +43,22 @@ def event_rows(info: DataFrame, call_id: int, stock_id: int, interval: int) -> D
 
 
 def write_events(info: DataFrame, call: DataFrame, path: str) -> None:
-    """Append the call and its events."""
+    """Add the call and its events; a call that is written again replaces its own rows and no others."""
     head = call.first()
-    call.write.mode("append").parquet(f"{path}/calls")
     rows = event_rows(info, head["call_id"], head["stock_id"], head["interval"])
-    rows.write.mode("append").partitionBy("call_id").parquet(f"{path}/events")
+    for df, name in ((call, "calls"), (rows, "events")):
+        writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("call_id").parquet(f"{path}/{name}")
+
+
+def read_calls(spark: SparkSession, path: str) -> DataFrame:
+    """All run records."""
+    return spark.read.parquet(f"{path}/calls").withColumn("call_id", F.col("call_id").cast("long"))
+
+
+def read_events(spark: SparkSession, path: str, call_id: int | None = None) -> DataFrame:
+    """Event records; of one call, only its folder is listed."""
+    rows = spark.read.parquet(f"{path}/events")
+    if call_id is not None:
+        rows = rows.where(F.col("call_id") == call_id)
+    return rows.withColumn("call_id", F.col("call_id").cast("long"))
