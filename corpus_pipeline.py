@@ -1,7 +1,8 @@
 """Corpus pipeline: the stages a raw crawl goes through before it is training data.
 
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps; its rows are written as Parquet and
-read again as the next stage's documents. All but the last return the columns of ``documents``.
+read again as the next stage's documents. All but the last return the columns of ``documents``. Columns that
+``documents`` has besides are kept, an empty table goes through all stages as one.
 """
 
 from __future__ import annotations
@@ -20,32 +21,38 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the pairwise-ranking classifier scores at or above its threshold."""
+    """Documents that the pairwise-ranking classifier scores at or above its threshold, empty ones among the judged."""
     tune(spark)
     return quality.keep_good(docs, _table(spark, sf_dir, "labels"))
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies."""
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that SimHash links (runs of three words, two bits); see ``simhash.keep_one``."""
     tune(spark)
     return simhash.keep_one(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the sentences of passages that an earlier document has; n_chars follows."""
+    """All documents, without the sentences of passages that an earlier document has; n_chars follows.
+
+    Null and empty texts, repeated rows and an empty table are as in ``sentence_spans.remove_repeats``.
+    """
     tune(spark)
     cleaned = sentence_spans.remove_repeats(docs)
     return cleaned.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no passage of a benchmark item."""
+    """Documents that hold no passage of a benchmark item; see ``decontamination.drop_contaminated``."""
     tune(spark)
     return decontamination.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids (packed) and the number of tokens, and whether decoding gives the text back."""
+    """The documents with their token ids (packed) and the number of tokens, and whether decoding gives the text back.
+
+    A null or empty text has no tokens; repeated rows stay.
+    """
     tune(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     decoded = byte_bpe.decode_ids(byte_bpe.encode_texts(docs, ranks, pattern), ranks, pattern)
@@ -55,7 +62,7 @@ def byte_bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 STAGES = [
     ("quality_classifier", quality_classifier),
-    ("near_dedup", near_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
     ("substring_dedup", substring_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
     ("byte_bpe_encoding", byte_bpe_encoding),
