@@ -7,7 +7,9 @@ import hashlib
 import numpy as np
 import pytest
 
-from tidemark.llm import vector_codes
+from pyspark.sql import functions as F
+
+from tidemark.llm import hard_negatives, vector_codes
 from tidemark.llm.queries import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -112,3 +114,90 @@ def test_decoding_gives_the_entries(spark):
     for r in vector_codes.decoded(codes).limit(20).collect():
         want = [int(x) for p, e in enumerate(own[r["vec_id"]]) for x in codes.codebooks[p][e]]
         assert r["vector"] == want
+
+
+# -- hard negatives --------------------------------------------------------------------------
+
+
+def plain_negatives(rows, anchors, positives=5, negatives=5, share=80, scale=256):
+    """Rows (anchor, positive, rank, negative, scores) of full scans; rows are (id, label, vector)."""
+    width = max(len(v) for _, _, v in rows)
+    ints = [[int(np.floor(scale * float(x))) for x in v] + [0] * (width - len(v)) for _, _, v in rows]
+    asked = {}
+    for (i, label, _), v in zip(rows, ints):
+        if i is not None and anchors(i) and (i not in asked or (label, v) < asked[i]):
+            asked[i] = (label, v)
+    out = []
+    for a, (label, v) in asked.items():
+        scored = [(-sum(x * y for x, y in zip(v, w)), j is None, j or 0, j, other) for (j, other, _), w in zip(rows, ints) if j != a]
+        best = sorted((s for s in scored if s[4] == label), key=lambda s: s[:3])[:positives]
+        for p in best:
+            fits = [s for s in scored if s[4] != label and share * -p[0] <= 100 * -s[0] <= 100 * -p[0]]
+            for rank, s in enumerate(sorted(fits, key=lambda s: s[:3])[:negatives], 1):
+                out.append((a, p[3], rank, s[3], -p[0], -s[0]))
+    return sorted(out, key=str)
+
+
+def mined(df, anchors, **options):
+    index = hard_negatives.build_index(df, **{k: options.pop(k) for k in ("scale", "sample_rows", "leaf_rows") if k in options})
+    return index, sorted((tuple(r) for r in hard_negatives.mine(index, anchors, **options).collect()), key=str)
+
+
+def clustered(n, seed, spread):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(0, 1, (12, 5))
+    return [(i, int(rng.integers(0, 3)), [float(x) for x in centres[i % 12] + rng.normal(0, spread, 5)]) for i in range(n)]
+
+
+def test_negatives_of_a_deep_tree(spark):
+    """Many small leaves and a small sample: every row is indexed, elimination loses nothing."""
+    rows = clustered(1500, 3, 0.1)
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    index, got = mined(df, F.col("vec_id") % 50 == 0, sample_rows=300, leaf_rows=20)
+    assert got == plain_negatives(rows, lambda i: i % 50 == 0)
+    assert index.tree.leaves > 40 and index.rows.count() == 1500
+    assert max(len(r["rows"]) for r in index.blocks.collect()) < 400
+
+
+def test_windows_eliminate_siblings(spark):
+    """In clustered data most leaves are not reached, and all rows of the window are in those that are."""
+    rows = clustered(3000, 4, 0.02)
+    df = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")
+    index = hard_negatives.build_index(df, leaf_rows=100)
+    placed = index.rows.collect()
+    x = np.array([r["v"] for r in placed], np.int64)
+    leaf = np.array([r["leaf"] for r in placed])
+    table = hard_negatives.scores(x[:40], x)
+    high = np.sort(table, axis=1)[:, -2:-1].astype(float)
+    inner, outer = hard_negatives._annuli(index.tree, x[:40], 0.98 * high, high)
+    visited = {i: set() for i in range(40)}
+    for number, at in hard_negatives.reached(index.tree, hard_negatives.lifted(x[:40], index.tree.square), inner, outer):
+        for i in at:
+            visited[i].add(number)
+    for i in range(40):
+        inside = (table[i] >= 0.98 * high[i]) & (table[i] <= high[i])
+        assert set(leaf[inside]) <= visited[i]
+    assert sum(map(len, visited.values())) < 0.5 * 40 * index.tree.leaves
+
+
+def test_negatives_of_the_table_and_few_partners(spark):
+    rows = spark.read.parquet(f"{SF_DIR}/embeddings.parquet")
+    plain = [(r["vec_id"], (r["label"] + 1) % 10 if r["vec_id"] % 7 == 0 else r["label"], r["embedding"]) for r in rows.collect()]
+    got = sorted((tuple(r[c] for c in ("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"))
+                  for r in QUERIES["op11_hard_negatives"](spark, SF_DIR).collect()), key=str)
+    assert got == plain_negatives(plain, lambda i: i % 100 == 0)
+
+
+def test_negatives_of_odd_rows(spark):
+    """Nulls, non-finite and unequal vectors, ties, repeated rows, huge components, one vector in many rows, no rows."""
+    nan = float("nan")
+    rows = [(100, 1, [1.0, 0.5]), (100, 1, [1.0, 0.5]), (1, 1, [1.0, 0.5]), (1, 1, [1.0, 0.5]), (2, 2, [1.0, 0.5]), (3, 2, [1.0, 0.5]), (None, 2, [1.0, 0.5]),
+            (4, 2, [0.9, 0.5, 0.0]), (5, 1, []), (200, 2, [-1.0, -0.5]), (300, 3, [1e9, 2e9]), (6, 3, [0.001, 0.5]), (7, 1, [0.0, 0.9]), (8, 2, [0.0, 0.45])]
+    rows += [(1000 + i, 1 + i % 2, [0.25, 0.25]) for i in range(7, 90)]
+    bad = [(400, None, [1.0, 0.5]), (9, 1, None), (10, 1, [nan, 1.0]), (11, 1, [None, 1.0]), (12, 1, [float("inf")])]
+    table = [(i, v, k, 1, "w", 2, 3) for i, k, v in rows + bad]
+    df = spark.createDataFrame(table, "vec_id bigint, embedding array<double>, label int, leaf int, window string, rank int, score int")
+    _, got = mined(df, F.col("vec_id") % 100 == 0, leaf_rows=8)
+    assert got == plain_negatives(rows, lambda i: i % 100 == 0)
+    assert hard_negatives.build_index(df.where("vec_id in (400, 9, 10)")) is None
+    assert mined(df, F.col("vec_id") < 0)[1] == []

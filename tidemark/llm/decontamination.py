@@ -112,10 +112,14 @@ def report(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """The rows without a benchmark passage, with the columns they had."""
+    """The rows without a benchmark passage, with the columns they had, whatever their names.
+
+    Rows with a null or empty text hold no passage and stay, as do rows with a null id unless their text holds one;
+    repeated rows stay or go together, items of any length count (see ``contaminated``), empty tables give what they had.
+    """
     found = contaminated(docs, benchmark, doc_id, text, item_id, item_text).select(
-        F.col("doc_id").alias("hit_id_"), F.col("mark").alias("hit_mark_")
+        F.col("doc_id").alias("hit_id"), F.col("mark").alias("hit_mark")
     ).distinct()
-    return docs.join(
-        found.hint("shuffle_hash"), docs[doc_id].eqNullSafe(F.col("hit_id_")) & (F.xxhash64(docs[text]) == F.col("hit_mark_")), "left_anti"
-    )
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), F.xxhash64(docs[text]).alias("mark"))
+    clean = rows.join(found.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("mark") == F.col("hit_mark")), "left_anti")
+    return clean.select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fields, shared_table, slices
+from tidemark.llm.common import drop_tables, fields, shared_table, slices
 from tidemark.operators.clustering import connected_components
 
 #: Differing bits up to which two fingerprints link, bytes of a fingerprint, and the guaranteed matches.
@@ -57,16 +57,21 @@ def simhash(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """doc_id and fingerprint (64 bits as a signed long) of every whole text."""
+    return _prints(fields(docs, doc_id=doc_id, text=text), words)
+
+
+def _prints(rows: DataFrame, words: int, *carried: str) -> DataFrame:
+    """doc_id, the carried columns and the fingerprint of rows (doc_id, text, ...)."""
+    names = ["doc_id", *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             values = [simhash(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
             signed = pa.array(np.array(values, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), signed], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), signed], names=[*names, "fingerprint"])
 
-    rows = fields(docs, doc_id=doc_id, text=text)
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fingerprint bigint")
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in names)
+    return rows.mapInArrow(run, f"{kinds}fingerprint bigint")
 
 
 def _signed(value: int) -> int:
@@ -137,191 +142,33 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     )
 
 
-# -- near copies by shingle similarity ---------------------------------------------------------
-
-#: Words of a shingle, and the least similarity (shared of all distinct shingles) of near copies.
-NEAR_WORDS, NEAR_SHARE = 5, 0.8
-#: Positions of a wide fingerprint; the smallest shingle hashes it is made of, which are all for most texts.
-POSITIONS, SKETCH = 32, 128
-#: Members up to which all pairs of a list are candidates at once. A larger list's members are held against two
-#: hubs first, and then against every member that the links found so far don't connect them to.
-NEAR_LIST_ROWS = 16
-#: Estimates from sketches this close to the threshold are settled on the whole texts.
-DOUBT = 0.12
-
-
-def near_set(text: str | None) -> np.ndarray:
-    """Sorted distinct shingle hashes of a whole text; a blank text has one of its own."""
-    hashes = shingle_hashes(text, NEAR_WORDS)
-    return np.unique(hashes) if len(hashes) else np.array([_hash(b"")], np.uint64)
-
-
-def wide_fingerprint(sketch: np.ndarray) -> list[int | None]:
-    """The SimHash of the sketch's hashes at each position (their remainder); None where there is none."""
-    at = (sketch % np.uint64(POSITIONS)).astype(np.int64)
-    return [_signed(simhash(sketch[at == p])) if (at == p).any() else None for p in range(POSITIONS)]
-
-
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        sizes, sketches, units = [], [], []
-        for text in batch.column("text").to_pylist():
-            every = near_set(text)
-            sizes.append(len(every))
-            sketches.append(every[:SKETCH].view(np.int64))
-            units.append(wide_fingerprint(every[:SKETCH]))
-        columns = [batch.column(c) for c in ("row", "doc_id", "mark", "digest")]
-        columns += [pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64())), pa.array(units, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "mark", "digest", "n", "sketch", "units"])
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
+    """One row of each component of ``components``, the one with the smallest doc_id (null last), then text hash.
 
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
-        values = pa.array([near_set(t).view(np.int64) for t in batch.column("text").to_pylist()], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("row"), values], names=["row", "shingles"])
-
-
-def _near_candidates(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (src, dst) of distinct texts (row, units) that share a position's SimHash, and what is left of large lists.
-
-    All pairs of lists of up to ``NEAR_LIST_ROWS`` members; of larger lists (row, k, v; the second table) each member
-    with two hubs: one that differs from list to list, and the text that shares most with others, such as one that
-    many were made from. ``_open_pairs`` gives the rest.
+    Null, empty and blank texts share a fingerprint and so are one component at least. Of rows equal in id and text one
+    stays. An empty table stays empty; all columns stay as they are, whatever their names.
     """
-    postings = texts.select("row", F.posexplode("units").alias("k", "v")).where(F.col("v").isNotNull())
-    lists = shared_table(
-        postings.groupBy("k", "v")
-        .agg(F.count("*").alias("n"), F.min("row").alias("lo"), F.max("row").alias("hi"), F.min_by("row", F.xxhash64("row", "k")).alias("hub"))
-        .where("n > 1"),
-        "near-lists",
-    )
-    twos = lists.where("n = 2").select(F.col("lo").alias("src"), F.col("hi").alias("dst"))
-    members = shared_table(postings.join(lists.where("n > 2").select("k", "v", "n", "hub"), ["k", "v"]), "near-members")
-    few = members.where(F.col("n") <= NEAR_LIST_ROWS)
-    pairs = (
-        few.select("k", "v", F.col("row").alias("src"))
-        .join(few.select("k", "v", F.col("row").alias("dst")), ["k", "v"])
-        .where("src < dst").select("src", "dst")
-    )
-    large = members.where(F.col("n") > NEAR_LIST_ROWS)
-    weights = large.groupBy("row").agg(F.sum("n").alias("weight"))
-    weighed = shared_table(large.join(weights, "row"), "near-large")
-    centres = shared_table(weighed.groupBy("k", "v").agg(F.max(F.struct("weight", "row")).alias("top")), "near-centres")
-    starred = weighed.join(centres.select("k", "v", F.col("top.row").alias("centre")), ["k", "v"])
-    hubs = starred.select("row", F.explode(F.array("hub", "centre")).alias("hub")).where("row <> hub")
-    stars = hubs.select(F.least("row", "hub").alias("src"), F.greatest("row", "hub").alias("dst"))
-    return shared_table(twos.unionByName(pairs).unionByName(stars).distinct(), "near-candidates"), weighed.select("row", "k", "v")
-
-
-def _open_pairs(large: DataFrame, sizes: DataFrame, components: DataFrame) -> DataFrame:
-    """All pairs (src, dst) of a large list whose ends are in different components and near enough in size.
-
-    Pairs inside a component connect nothing new. Members outside a list's main component are held against all
-    others, so the work is linear as long as few of them are left.
-    """
-    sided = shared_table(
-        large.join(sizes.join(components, "row", "left").select("row", "n", F.coalesce("component", "row").alias("c")), "row"), "near-sided"
-    )
-    parts = sided.groupBy("k", "v", "c").agg(F.count("*").alias("rows"))
-    mains = parts.groupBy("k", "v").agg(F.max(F.struct("rows", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-    mains = shared_table(mains.select("k", "v", F.col("top.c").alias("main")), "near-mains")
-    mixed = shared_table(sided.join(mains, ["k", "v"]), "near-mixed")
-    outer = mixed.where("c <> main").select("k", "v", F.col("row").alias("a"), F.col("n").alias("a_n"), F.col("c").alias("a_c"))
-    inner = mixed.select("k", "v", F.col("row").alias("b"), F.col("n").alias("b_n"), F.col("c").alias("b_c"))
-    # The shared part of all shingles is at most the smaller number of the larger one.
-    could = (F.col("a_c") != F.col("b_c")) & (F.least("a_n", "b_n") / F.greatest("a_n", "b_n") >= NEAR_SHARE)
-    met = outer.join(inner, ["k", "v"]).where(could)
-    return met.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).distinct()
-
-
-def _similarity(a: Column, b: Column) -> Column:
-    shared = F.size(F.array_intersect(a, b))
-    return shared / (F.size(a) + F.size(b) - shared)
-
-
-def _sketched(a: Column, b: Column) -> Column:
-    """Share of the smallest hashes of both that are in both; exact for sketches that hold all hashes."""
-    lowest = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    return F.size(F.array_intersect(F.array_intersect(lowest, a), b)) / F.size(lowest)
-
-
-def near_links(pairs: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (src, dst) of rows of ``texts`` (row, doc_id, mark, n, sketch) that are near copies."""
-    sides = texts.select("row", "n", "sketch")
-
-    def side(p: str) -> DataFrame:
-        return sides.select(F.col("row").alias(p), F.col("n").alias(f"{p}_n"), F.col("sketch").alias(f"{p}_sketch"))
-
-    met = pairs.join(side("src"), "src").join(side("dst"), "dst")
-    whole = F.greatest("src_n", "dst_n") <= SKETCH
-    share = F.when(whole, _similarity(F.col("src_sketch"), F.col("dst_sketch"))).otherwise(_sketched(F.col("src_sketch"), F.col("dst_sketch")))
-    judged = shared_table(met.select("src", "dst", whole.alias("whole"), share.alias("share")), "near-pairs")
-    doubt = ~F.col("whole") & (F.abs(F.col("share") - NEAR_SHARE) < DOUBT)
-    sure = judged.where(~doubt & (F.col("share") >= NEAR_SHARE)).select("src", "dst")
-    open_pairs = judged.where(doubt).select("src", "dst")
-    # Written first, so that a small list of rows is sent to the texts and a large one shuffled.
-    rows = open_pairs.select(F.col("src").alias("row")).union(open_pairs.select("dst")).distinct()
-    wanted = shared_table(texts.select("row", "doc_id", "mark").join(rows, "row"), "near-doubts")
-    wanted = wanted.select("row", F.col("doc_id").alias("w_id"), F.col("mark").alias("w_mark"))
-    bodies = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("mark") == F.col("w_mark")))
-    sets = shared_table(bodies.select("row", "text").mapInArrow(_sets, "row bigint, shingles array<bigint>").dropDuplicates(["row"]), "near-sets")
-    exact = (
-        open_pairs.join(sets.select(F.col("row").alias("src"), F.col("shingles").alias("a")), "src")
-        .join(sets.select(F.col("row").alias("dst"), F.col("shingles").alias("b")), "dst")
-        .where(_similarity(F.col("a"), F.col("b")) >= NEAR_SHARE)
-    )
-    return sure.unionByName(exact.select("src", "dst"))
-
-
-def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, doc_id, mark, component) of every row: equal texts and near copies share a component.
-
-    Near copies have ``NEAR_SHARE`` or more of their distinct runs of ``NEAR_WORDS`` words (case of A to Z and white
-    space don't count) in common, directly or through others. Blank and null texts are copies of each other.
-    """
-    body = F.coalesce(F.col("text"), F.lit(""))
-    rows = fields(docs, doc_id=doc_id, text=text).select("doc_id", body.alias("text")).withColumn("mark", F.xxhash64("text"))
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "mark", F.unhex(F.md5(F.col("text").cast("binary"))).alias("digest"), "text")
-    sketches = shared_table(
-        keyed.mapInArrow(_sketches, f"row bigint, doc_id {kind}, mark bigint, digest binary, n bigint, sketch array<bigint>, units array<bigint>"),
-        "sketches",
-    )
-    firsts = shared_table(sketches.groupBy("digest").agg(F.min("row").alias("row")), "near-firsts")
-    texts = shared_table(sketches.join(firsts.select("row"), "row", "left_semi"), "near-texts")
-    pairs, large = _near_candidates(texts.select("row", "units"))
-    linked = shared_table(near_links(pairs, texts, rows), "near-links")
-    joined = shared_table(connected_components(linked).withColumnRenamed("node", "row"), "near-joined")
-    rest = shared_table(_open_pairs(large, texts.select("row", "n"), joined).join(pairs, ["src", "dst"], "left_anti"), "near-open")
-    if not rest.isEmpty():
-        linked = linked.unionByName(near_links(rest, texts, rows))
-        joined = connected_components(linked).withColumnRenamed("node", "row")
-    named = firsts.join(joined, "row", "left").select("digest", F.coalesce("component", "row").alias("component"))
-    return sketches.select("row", "doc_id", "mark", "digest").join(named, "digest").drop("digest")
-
-
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of copies and near copies, the one with the smallest doc_id (null last).
-
-    Of rows equal in id and text one stays. An empty table stays empty; all columns stay as they are.
-    """
-    groups = shared_table(near_groups(docs, doc_id, text), "near-groups")
+    keyed = fields(docs, doc_id=doc_id, text=text).withColumn("mark", F.xxhash64("text"))
+    prints = shared_table(_prints(keyed, words, "mark"), "simhash")
+    firsts = shared_table(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), "simhash-firsts")
+    joined = connected_components(links(firsts.select("fp")))
+    roots = firsts.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+    # One candidate for each fingerprint, then one for each component.
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("mark").alias("c"))
-    first = groups.groupBy("component").agg(F.min(order).alias("f"))
-    kept = first.select(F.col("f.b").alias("kept_id_"), F.col("f.c").alias("kept_mark_"))
-    sizes = groups.groupBy(F.col("doc_id").alias("kept_id_"), F.col("mark").alias("kept_mark_")).agg(F.count("*").alias("kept_rows_")).where("kept_rows_ > 1")
-    kept = shared_table(
-        kept.join(
-            sizes.withColumnsRenamed({"kept_id_": "s_id", "kept_mark_": "s_mark"}),
-            F.col("kept_id_").eqNullSafe(F.col("s_id")) & (F.col("kept_mark_") == F.col("s_mark")), "left",
-        ).select("kept_id_", "kept_mark_", F.coalesce("kept_rows_", F.lit(1)).alias("kept_rows_")),
-        "near-kept",
-    )
-    mark = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    rows = docs.withColumn("mark_", mark)
-    found = rows.join(
-        kept.hint("shuffle_hash"), F.col(doc_id).eqNullSafe(F.col("kept_id_")) & (F.col("mark_") == F.col("kept_mark_"))
-    )
-    once = found.where("kept_rows_ = 1").select(*docs.columns)
-    repeated = found.where("kept_rows_ > 1").dropDuplicates([doc_id, "mark_"]).select(*docs.columns)
-    return once.unionByName(repeated)
+    least = prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(order).alias("f"))
+    first = least.join(roots, "fp").groupBy("component").agg(F.min("f").alias("f")).select(F.col("f.b").alias("kept_id"), F.col("f.c").alias("kept_mark"))
+    again = prints.groupBy("doc_id", "mark").agg(F.count("*").alias("n")).where("n > 1")
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))
+    kept = shared_table(first.join(again, same, "left").select("kept_id", "kept_mark", F.coalesce("n", F.lit(1)).alias("n")), "simhash-kept")
+    drop_tables(prints, firsts)
+    # The row is nested, so that its columns can have any names.
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[doc_id].alias("id"), F.xxhash64(docs[text]).alias("mark"))
+
+    def found(wanted: DataFrame) -> DataFrame:
+        return rows.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
+
+    once = found(kept.where("n = 1")).select("row.*")
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return once
+    return once.unionByName(found(repeated).dropDuplicates(["id", "mark"]).select("row.*"))
