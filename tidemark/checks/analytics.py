@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.fixtures import Tables
@@ -18,6 +18,7 @@ from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import event_processing, news_events
 from tidemark.session import cut_lineage
+from tidemark.sources.articles import write_articles
 from tidemark.sources.events import call_row, read_calls, read_events, write_events
 from tidemark.streaming import incremental, rate_limit
 
@@ -30,7 +31,9 @@ UNIT_SQL = "list_transform({0}, lambda x: x / sqrt(list_sum(list_transform({0},
 def slots_sql(table: str, text: str, key: str) -> str:
     """Named subquery ``slots`` (key, slot, n, len): the default vector of each row, before division by its length."""
     return f"""WITH term_rows AS (SELECT {key}, unnest({TERM_SQL.format(text)}) AS term FROM {table}),
-      term_slots AS (SELECT {key}, CAST(('0x' || substr(md5(term), 1, 7))::BIGINT % 256 AS BIGINT) AS slot, count(*) AS n FROM term_rows GROUP BY ALL),
+      term_counts AS (SELECT {key}, term, count(*) AS n FROM term_rows GROUP BY ALL),
+      term_names AS (SELECT term, CAST(('0x' || substr(md5(term), 1, 7))::BIGINT % 256 AS BIGINT) AS slot FROM (SELECT DISTINCT term FROM term_counts)),
+      term_slots AS (SELECT {key}, slot, CAST(sum(n) AS BIGINT) AS n FROM term_counts JOIN term_names USING (term) GROUP BY ALL),
       slots AS (SELECT *, sqrt(sum(n * n) OVER (PARTITION BY {key})) AS len FROM term_slots)"""
 
 
@@ -206,14 +209,17 @@ def w10(t: Tables) -> DataFrame:
 
 # -- clustering ------------------------------------------------------------------------------
 
-POINTS_SQL = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings"
+# Two projections over all coordinates: signs change from one coordinate to the next, and from pair to pair.
+SIGNED_SQL = "round(list_sum(list_transform(embedding, lambda v, i: CASE WHEN ({}) % 2 = 0 THEN v::DOUBLE ELSE -v::DOUBLE END)) / 8, 9)"
+POINTS_SQL = f"SELECT vec_id AS id, {SIGNED_SQL.format('i - 1')} AS x, {SIGNED_SQL.format('(i - 1) // 2')} AS y FROM embeddings"
 
 
 def _points(t: Tables) -> DataFrame:
-    first = F.col("embedding")
-    return t.embeddings.select(
-        F.col("vec_id").alias("article_id"), F.array(first[0].cast("double"), first[1].cast("double")).alias("reduced")
-    )
+    def signed(step: int) -> Column:
+        signs = F.transform("embedding", lambda v, i: F.when(F.floor(i / step) % 2 == 0, v.cast("double")).otherwise(-v.cast("double")))
+        return F.round(F.aggregate(signs, F.lit(0.0), lambda a, x: a + x) / 8, 9)
+
+    return t.embeddings.select(F.col("vec_id").alias("article_id"), F.array(signed(1), signed(2)).alias("reduced"))
 
 
 @query("c1_reduce_dims")
@@ -330,13 +336,67 @@ def c5_text(t: Tables) -> DataFrame:
 
 @query("c6_legacy_events")
 def c6(t: Tables) -> DataFrame:
-    info = news_events.legacy_events(t.articles, news_events.EventConfig(eps=0.03))
+    """The older run for every call at once, from raw articles to its best clusters."""
+    info = news_events.legacy_events(t.articles, news_events.EventConfig(eps=0.1), run=("call_id",))
     return info.select(
-        "cluster", F.round("health", 6).alias("health"), F.array_join("top_articles", ",").alias("top_articles"),
+        "call_id", "cluster", F.round("health", 6).alias("health"), F.array_join("top_articles", ",").alias("top_articles"),
         F.size("top_themes").alias("n_themes"), F.date_format("median_date", "yyyy-MM-dd").alias("median_date"),
     )
 
 
+SILHOUETTE_SQL = """WITH e AS (SELECT call_id, article_id, cluster AS c, embedding AS v, list_sum(list_transform(embedding, lambda x: x * x)) AS vv FROM clustered),
+      u AS (SELECT call_id, c, i, sum(v[i]) AS s FROM e, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL),
+      st AS (SELECT call_id, c, list(s ORDER BY i) AS s FROM u GROUP BY ALL),
+      sz AS (SELECT call_id, c, count(*) AS n, sum(vv) AS q FROM e GROUP BY ALL),
+      ok AS (SELECT call_id, (count(*) > 1 AND max(CAST(c = -1 AS INT)) = 1) OR (count(*) = 2 AND max(CAST(c = -1 AS INT)) = 0) AS allowed FROM sz GROUP BY call_id),
+      d AS (SELECT e.call_id, e.article_id, e.c, sz.c AS o, sz.n, greatest(sz.n * e.vv - 2 * list_dot_product(e.v, st.s) + sz.q, 0) AS total
+            FROM e JOIN sz ON sz.call_id = e.call_id JOIN st ON st.call_id = sz.call_id AND st.c = sz.c),
+      ab AS (SELECT call_id, article_id, c, max(CASE WHEN c = o THEN total / nullif(n - 1, 0) END) AS a, max(CASE WHEN c = o THEN n END) AS n,
+                    min(CASE WHEN c <> o THEN total / n END) AS b FROM d GROUP BY ALL),
+      sil AS (SELECT call_id, article_id, c, CASE WHEN allowed THEN CASE WHEN n <= 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END END AS s
+              FROM ab JOIN ok USING (call_id)),
+      mean AS (SELECT call_id, c AS cluster, avg(s) AS m, count(*) AS size FROM sil GROUP BY ALL),
+      ranked AS (SELECT *, m / nullif(max(m) OVER (PARTITION BY call_id), 0) AS rank, size / max(size) OVER (PARTITION BY call_id) AS norm_size FROM mean)"""
+
+
+@query(
+    "c6_legacy_choice",
+    SILHOUETTE_SQL + """ SELECT call_id, cluster, round(rank, 6) AS health, round(norm_size, 6) AS norm_size FROM (
+        SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY rank DESC NULLS LAST, cluster) AS place FROM ranked)
+      WHERE place <= 3 AND rank > 0 AND cluster <> -1""",
+    ("clustered",),
+)
+def c6_choice(t: Tables) -> DataFrame:
+    """The older run's choice among given clusters: silhouettes, ranks and the best three of every call."""
+    info = news_events.legacy_choice(cut_lineage(t.clustered), news_events.EventConfig(top_n=3), ["call_id"])
+    return info.select("call_id", "cluster", F.round("health", 6).alias("health"), F.round("norm_size", 6).alias("norm_size"))
+
+
+@query(
+    "c5_company_run",
+    """WITH fetched AS (SELECT *, CASE WHEN article_id % 17 = 0 THEN concat('x', DATE) ELSE DATE END AS written FROM articles
+        WHERE date_trunc('month', partition_date) >= TIMESTAMP '2001-08-01' - INTERVAL 700 DAY AND contains(lower(V2Organizations), 'brand#2'))
+      SELECT 'quarantined' AS kind, article_id FROM fetched WHERE article_id % 17 = 0 UNION ALL SELECT 'call', 77""",
+    ("articles",),
+)
+def c5_run(t: Tables) -> DataFrame:
+    """One company's call from stored articles to stored events and quarantined articles; events may only hold good rows."""
+    folder = shared_folder(t.spark, "company-run")
+    bad = F.when(F.col("article_id") % 17 == 0, F.concat(F.lit("x"), "DATE")).otherwise(F.col("DATE"))
+    # One folder a month, so that small tables don't fall into thousands of files.
+    month = F.trunc("partition_date", "month")
+    write_articles(t.articles.withColumn("DATE", bad).withColumn("partition_date", month), f"{folder}/articles")
+    events, rejected = news_events.company_run(
+        t.spark, f"{folder}/articles", f"{folder}/store", "Brand#2", 77, 5, dt.datetime(2001, 8, 1), news_events.EventConfig(interval=700, eps=0.01)
+    )
+    links = events.select(F.explode(F.split("top_articles", ",")).alias("url"))
+    unread = rejected.select(F.col("DocumentIdentifier").alias("url"))
+    wrong = links.join(unread, "url").select(F.lit("taken").alias("kind"), F.lit(-1).cast("long").alias("article_id"))
+    quarantined = rejected.select(F.lit("quarantined").alias("kind"), "article_id")
+    calls = read_calls(t.spark, f"{folder}/store").select(F.lit("call").alias("kind"), F.col("call_id").alias("article_id"))
+    return quarantined.unionByName(calls).unionByName(wrong)
+
+
 ONE_RUN_SQL = "WITH one_run AS (SELECT * REPLACE (CAST(77 AS BIGINT) AS call_id) FROM clustered), " + INFO_SQL.strip()[5:].replace(
     "clustered", "one_run"
 ) + ", means AS (SELECT cluster, round(sum(i * a), 6) AS mean_sum, round(sum(a * a), 6) AS mean_square FROM (SELECT cluster, i, avg(embedding[i]) AS a FROM one_run, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY cluster)"
@@ -456,12 +516,12 @@ def _relations(t: Tables) -> DataFrame:
 
 @query(
     "g1_build_graph",
-    GRAPH_SQL + " SELECT 'edge' AS kind, src AS a, dst AS b FROM edges UNION ALL SELECT 'node', node, type FROM nodes",
+    GRAPH_SQL + " SELECT 'edge' AS kind, src AS a, dst AS b, description FROM edges UNION ALL SELECT 'node', node, type, NULL FROM nodes",
 )
 def g1(t: Tables) -> DataFrame:
     nodes, edges = graph.build_graph(_relations(t))
-    return edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(
-        nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.col("type").alias("b"))
+    return edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "description").unionByName(
+        nodes.select(F.lit("node").alias("kind"), F.col("node").alias("a"), F.col("type").alias("b"), F.lit(None).cast("string").alias("description"))
     )
 
 

@@ -16,7 +16,7 @@ from tidemark.operators.chunking import html_to_text
 from tidemark.operators.joins import question_pairs
 from tidemark.operators.prompts import COMPANY_QUESTIONS
 from tidemark.sources import articles as article_source
-from tidemark.sources.filings import parse_filings, parse_xbrl, read_pages, section_rows
+from tidemark.sources.filings import parse_xbrl, read_filings, read_pages, section_rows
 
 AS_OF = dt.datetime(2001, 8, 1)
 CALL_TIMES = "SELECT event_id AS call_id, user_id AS stock_id, ts AS call_time, 7 AS n FROM events"
@@ -61,13 +61,13 @@ def s1(t: Tables) -> DataFrame:
 @query(
     "s1_article_table",
     """SELECT article_id, DATE, V2Organizations, DocumentIdentifier FROM articles
-       WHERE partition_date >= TIMESTAMP '2001-08-01' - INTERVAL 700 DAY AND contains(lower(V2Organizations), 'brand#2 ')""",
+       WHERE date_trunc('month', partition_date) >= TIMESTAMP '2001-08-01' - INTERVAL 700 DAY AND contains(lower(V2Organizations), 'brand#2 ')""",
     ("articles",),
 )
 def s1_table(t: Tables) -> DataFrame:
-    """The articles are stored by day and read back through the days that are asked for."""
+    """The articles are stored by date (here one folder a month) and read back through the folders that are asked for."""
     path = shared_folder(t.spark, "articles")
-    article_source.write_articles(t.articles, path)
+    article_source.write_articles(t.articles.withColumn("partition_date", F.trunc("partition_date", "month")), path)
     found = article_source.read_articles(t.spark, path, "Brand#2 ", 700, AS_OF)
     return found.select("article_id", "DATE", "V2Organizations", "DocumentIdentifier")
 
@@ -87,28 +87,37 @@ def s2(t: Tables) -> DataFrame:
     return article_source.read_entries(t.spark, path, 77).drop("call_date")
 
 
+# Every field of a filing record; dates that can't be read become null.
+FILING_TEXTS = {
+    "cik": "concat('C', accessionNo)", "companyName": "concat(ticker, ' Inc')", "companyNameLong": "concat(ticker, ' Incorporated (', ticker, ')')",
+    "linkToFilingDetails": "concat('http://d/', accessionNo)", "linkToTxt": "concat('http://t/', accessionNo)", "linkToHtml": "concat('http://h/', accessionNo)",
+    "linkToXbrl": "CASE WHEN formType = '10-K' THEN concat('http://x/', accessionNo) END",
+    "registrationForm": "CASE WHEN formType = '8-K' THEN concat('R', accessionNo) END", "referenceAccessionNo": "CASE WHEN formType = '4' THEN concat('Z', accessionNo) END",
+}
+
+
 @query(
     "s4_read_filings",
-    """SELECT accessionNo, ticker, formType, strftime(filedAt, '%Y-%m-%d %H:%M:%S') AS filed,
-              CASE WHEN formType <> '4' THEN strftime(filedAt, '%Y-%m-%d') END AS period,
-              CAST(NULL AS VARCHAR) AS effective, linkToXbrl FROM (
-         SELECT *, CASE WHEN formType = '10-K' THEN concat('http://x/', accessionNo) END AS linkToXbrl FROM filings)""",
+    "SELECT accessionNo, ticker, formType, description, " + ", ".join(f"{text} AS {name}" for name, text in FILING_TEXTS.items())
+    + """, strftime(filedAt, '%Y-%m-%d %H:%M:%S') AS filed, CASE WHEN formType <> '4' THEN strftime(filedAt, '%Y-%m-%d') END AS period,
+         CASE WHEN formType = '8-K' THEN strftime(filedAt, '%Y-%m-%d') END AS effective FROM filings""",
     ("filings",),
 )
 def s4(t: Tables) -> DataFrame:
-    record = F.struct(
-        "accessionNo", "ticker", "formType",
+    """All sixteen fields, written as JSON lines and read back."""
+    day = F.date_format("filedAt", "yyyy-MM-dd")
+    record = t.filings.select(
+        "accessionNo", "ticker", "formType", "description", *[F.expr(text).alias(name) for name, text in FILING_TEXTS.items()],
         F.date_format("filedAt", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("filedAt"),
-        F.when(F.col("formType") != "4", F.date_format("filedAt", "yyyy-MM-dd")).alias("periodOfReport"),
-        F.when(F.col("formType") == "10-K", F.concat(F.lit("http://x/"), "accessionNo")).alias("linkToXbrl"),
+        F.when(F.col("formType") != "4", day).alias("periodOfReport"),
+        F.when(F.col("formType") == "8-K", day).when(F.col("formType") == "10-K", F.lit("soon")).alias("effectivenessDate"),
     )
-    typed = parse_filings(t.filings.select(F.to_json(record).alias("json")), "json")
-    return typed.select(
-        "accessionNo", "ticker", "formType",
+    path = shared_folder(t.spark, "filings")
+    record.write.json(path)
+    return read_filings(t.spark, path).select(
+        "accessionNo", "ticker", "formType", "description", *FILING_TEXTS,
         F.date_format("filedAt", "yyyy-MM-dd HH:mm:ss").alias("filed"),
-        F.col("periodOfReport").cast("string").alias("period"),
-        F.col("effectivenessDate").cast("string").alias("effective"),
-        "linkToXbrl",
+        F.col("periodOfReport").cast("string").alias("period"), F.col("effectivenessDate").cast("string").alias("effective"),
     )
 
 

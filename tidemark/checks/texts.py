@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.checks.fixtures import Tables
@@ -359,6 +363,78 @@ def r9_mails(t: Tables) -> DataFrame:
     return mails.withColumn("digest", F.md5("digest"))
 
 
+# One day of alerts: customers are events of their market segment, each nation follows one segment.
+DAY_EVENTS = """SELECT c_custkey AS event_id, c_mktsegment AS stock_id, CASE WHEN c_custkey % 3 = 0 THEN 'early' ELSE 'late' END AS call_id,
+    CAST(c_custkey * 37 % 1009 AS DOUBLE) / 1009 AS size_importance, CAST(c_custkey % 7 AS DOUBLE) / 7 AS cohesiveness,
+    CAST(c_custkey % 5 AS DOUBLE) / 5 AS time_variance, c_custkey % 13 = 0 AS irrelevant, c_custkey % 11 = 0 AS done FROM customer"""
+DAY_INTERESTS = """SELECT n_nationkey AS area_id, n_regionkey AS user_id, n_nationkey AS alert_stock_id, n_name AS area, n_nationkey % 5 AS k FROM nation"""
+
+
+def _lengths(texts: list[str]) -> list[list[float]]:
+    """A stand-in for an embedding model that SQL can compute as well."""
+    return [[float(len(t) % 97), float(len(t) % 89), 1.0] for t in texts]
+
+
+def daily_sql() -> str:
+    summaries = summaries_sql()
+    summaries = summaries[: summaries.rindex("SELECT event_id, company, md5(")]
+    event = template_sql(prompts.EVENT_PROMPT, company="company", docs="docs")
+    angle = "list_cosine_similarity({}, {})"
+    return summaries + f""", made AS (SELECT event_id, {event} AS summary FROM perevent),
+      ev AS ({DAY_EVENTS}),
+      best AS (SELECT * FROM ev WHERE call_id = 'late' AND stock_id <> 'MACHINERY' QUALIFY row_number() OVER (PARTITION BY stock_id
+        ORDER BY 0.5 * size_importance + 0.3 * cohesiveness + (1 - time_variance) * (-0.2) DESC, event_id) <= 30),
+      told AS (SELECT event_id, stock_id, irrelevant, done, summary, [CAST(length(summary) % 97 AS DOUBLE), CAST(length(summary) % 89 AS DOUBLE), 1.0::DOUBLE] AS v
+        FROM best JOIN made USING (event_id)),
+      fin AS (SELECT event_id, stock_id, CASE WHEN done THEN 'told before' ELSE summary END AS summary,
+          CASE WHEN done THEN [1.0::DOUBLE, 2.0::DOUBLE, 3.0::DOUBLE] ELSE v END AS v, done,
+          NOT done AND NOT irrelevant AND {angle.format('v', '[1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE]')} > 0.8 AS off, irrelevant FROM told),
+      ready AS (SELECT * FROM fin WHERE done OR (NOT irrelevant AND NOT off)),
+      stocks AS (SELECT DISTINCT stock_id, CAST(dense_rank() OVER (ORDER BY stock_id) - 1 AS BIGINT) AS k FROM (SELECT DISTINCT c_mktsegment AS stock_id FROM customer)),
+      it AS (SELECT i.*, stock_id FROM ({DAY_INTERESTS}) i JOIN stocks USING (k)),
+      sims AS (SELECT it.area_id, r.summary, row_number() OVER (PARTITION BY it.area_id ORDER BY
+          round(1 - {angle.format('r.v', '[CAST(it.area_id + 1 AS DOUBLE), 5.0::DOUBLE, 1.0::DOUBLE]')}, 9), r.event_id) AS n FROM it JOIN ready r USING (stock_id)),
+      dig AS (SELECT area_id, string_agg({DIGEST_BLOCK.format('summary')}, '' ORDER BY n) AS digest FROM sims WHERE n <= 30 GROUP BY area_id)
+      SELECT 'analysis' AS kind, CAST(area_id AS VARCHAR) AS key, md5({template_sql(prompts.RELEVANCE_PROMPT, context='area', events="coalesce(digest, '')")}) AS value
+        FROM it LEFT JOIN dig USING (area_id) WHERE stock_id <> 'MACHINERY'
+      UNION ALL SELECT 'missing', stock_id, NULL FROM (SELECT DISTINCT stock_id FROM it WHERE stock_id = 'MACHINERY')
+      UNION ALL SELECT 'processed', CAST(event_id AS VARCHAR), CASE WHEN done THEN 'told before' ELSE md5(summary) END FROM fin WHERE NOT done AND NOT irrelevant AND NOT off
+      UNION ALL SELECT 'processed', CAST(event_id AS VARCHAR), 'told before' FROM ev WHERE done
+      UNION ALL SELECT 'flag', CAST(event_id AS VARCHAR), CAST(irrelevant OR off AS VARCHAR) FROM fin"""
+
+
+@query("r9_daily_alerts", daily_sql())
+def r9_daily(t: Tables) -> DataFrame:
+    """From raw events and pages to the day's analyses; one stock has no call that day."""
+    events = t.sql(DAY_EVENTS).join(_linked_events(t), "event_id")
+    calls = events.select("stock_id", "call_id").distinct()
+    late = (F.col("call_id") == "late") & (F.col("stock_id") != "MACHINERY")
+    calls = calls.withColumn("call_time", F.when(late, F.lit(dt.datetime(2024, 1, 5, 9))).otherwise(F.lit(dt.datetime(2024, 1, 4, 9))))
+    processed = events.where("done").select(
+        F.col("event_id").cast("string").alias("processed_id"), "event_id", F.lit("told before").alias("summary"),
+        F.array(*[F.lit(x) for x in (1.0, 2.0, 3.0)]).alias("summary_embedding"),
+    )
+    # There are five market segments.
+    order = W.partitionBy(F.lit(0)).orderBy("stock_id")
+    stocks = events.select("stock_id").distinct().withColumn("k", F.row_number().over(order) - 1)
+    interests = t.sql(DAY_INTERESTS).join(stocks, "k").select(
+        F.col("area_id").alias("interest_id"), "user_id", "alert_stock_id", "stock_id", F.col("stock_id").alias("stock"), "area_id", "area",
+        F.array(F.col("area_id").cast("double") + 1, F.lit(5.0), F.lit(1.0)).alias("interest_embedding"),
+    )
+    pages = t.pages.withColumn("url", F.replace("url", F.lit(","), F.lit("%2C")))
+    made = processing.daily_alerts(
+        interests, calls, events.drop("done"), processed, pages, dt.date(2024, 1, 5), embedder=_lengths, anchor=[1.0, 0.0, 0.0], chunk_size=PAGE_TOKENS
+    )
+    told = F.when(F.col("summary") == "told before", F.col("summary")).otherwise(F.md5("summary"))
+    parts = [
+        made.analyses.select(F.lit("analysis").alias("kind"), F.col("area_id").cast("string").alias("key"), F.md5("analysis").alias("value")),
+        made.missing.select(F.lit("missing").alias("kind"), F.col("stock_id").alias("key"), F.lit(None).cast("string").alias("value")),
+        made.processed.select(F.lit("processed").alias("kind"), F.col("event_id").cast("string").alias("key"), told.alias("value")),
+        made.flagged.select(F.lit("flag").alias("kind"), F.col("event_id").cast("string").alias("key"), F.col("irrelevant").cast("string").alias("value")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def prompt_rows_sql() -> str:
     parts = []
     for kind, (role, message) in prompts.ANALYSIS_KINDS.items():

@@ -29,31 +29,36 @@ def map_with_model(
     fn: Callable[[list[str]], list],
     retries: int = RETRIES,
     waits: Sequence[float] = WAITS,
-    concurrency: int | None = None,
+    concurrency: int | None = CONCURRENCY,
     batch_size: int = 64,
     result_type: T.DataType | None = None,
 ) -> DataFrame:
     """Add ``out_col`` with the answers of ``fn(list of prompts)``.
 
-    A batch that keeps failing after ``retries`` attempts is sent prompt by prompt, and
-    only a prompt that fails alone gets NULL. A model that returns another number of
-    answers than it got prompts is an error. NULL prompts are not sent. ``concurrency`` bounds the calls at the same time by the number
-    of partitions (``CONCURRENCY`` is the usual limit of a remote service); None
-    keeps the partitioning as it is.
+    A batch that keeps failing after ``retries`` attempts is sent in halves, down to single
+    prompts, and only a prompt that fails alone gets NULL. A model that returns another number of
+    answers than it got prompts is an error. NULL prompts are not sent. ``concurrency`` bounds the
+    calls at the same time by the number of partitions (``CONCURRENCY``, the usual limit of a
+    remote service, by default); None keeps the partitioning, for models inside the tasks.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, result_type or T.StringType())])
 
-    def ask(texts: list[str]) -> list:
+    def ask(texts: list[str], attempts: int = retries) -> list:
         answers = None
-        for attempt in range(retries):
+        for attempt in range(attempts):
             try:
                 answers = list(fn(texts))
                 break
             except Exception:  # any failure of the remote side is retried
-                if attempt < retries - 1:
+                if attempt < attempts - 1:
                     time.sleep(waits[min(attempt, len(waits) - 1)])
         if answers is None:
-            return [None] if len(texts) == 1 else [a for text in texts for a in ask([text])]
+            if len(texts) == 1:
+                return [None]
+            # One attempt each for the halves: a bad prompt is found in a few calls, and a service that is down costs no
+            # more waits.
+            middle = len(texts) // 2
+            return ask(texts[:middle], 1) + ask(texts[middle:], 1)
         if len(answers) != len(texts):
             raise ValueError(f"the model gave {len(answers)} answers to {len(texts)} prompts")
         return answers
@@ -68,7 +73,8 @@ def map_with_model(
                     answers[i] = answer
             yield batch.assign(**{out_col: pd.Series(answers, index=batch.index, dtype="object")})
 
-    source = df if concurrency is None else df.repartition(concurrency)
+    # Coalescing moves no rows; what was computed before the call keeps its tasks, as it is cut off from them.
+    source = df if concurrency is None else cut_lineage(df).coalesce(concurrency)
     return source.mapInPandas(apply, schema)
 
 

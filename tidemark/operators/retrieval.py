@@ -14,6 +14,7 @@ from tidemark.operators.joins import parent_chunks, question_pairs
 from tidemark.operators.model_map import ask
 from tidemark.operators.ordering import concat_in_order, join_parts
 from tidemark.operators.vectors import embed, knn
+from tidemark.session import write_once
 
 TOP_K = 5
 # Wording of this library's own.
@@ -64,8 +65,11 @@ def retrieve(
     queries: DataFrame, chunks: DataFrame, k: int = TOP_K, where: Sequence[str] = (), metadata: Mapping[str, str] | None = None,
     metric: str = "l2",
 ) -> DataFrame:
-    """Nearest chunks of each query with the original text and its section."""
-    pool = where_metadata(chunks, metadata or {})
+    """Nearest chunks of each query with the original text and its section.
+
+    The chunks that fit the filter are written once: the search reads their vectors, the hits their texts.
+    """
+    pool = write_once(where_metadata(chunks, metadata or {}), "chunks")
     hits = knn(queries, pool, k, where, metric).withColumnRenamed("neighbour_id", "doc_id")
     return parent_chunks(hits, pool)
 
