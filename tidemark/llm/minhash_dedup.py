@@ -197,7 +197,7 @@ def near_links(rows: DataFrame, described: DataFrame, words: int = WORDS) -> Dat
     # One row of each class brings its text.
     ids = described.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("mark", "doc_id")).alias("one"))
     texts = shared_table(ids.join(wanted, "node").select("node", F.col("one.mark").alias("w_mark"), F.col("one.doc_id").alias("w_id")), "minhash-wanted")
-    bodies = rows.join(texts, (F.col("mark") == F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
+    bodies = rows.join(texts.hint("shuffle_hash"), (F.col("mark") == F.col("w_mark")) & F.col("doc_id").eqNullSafe(F.col("w_id"))).select("node", "text")
     sets = shared_table(bodies.mapInArrow(_packed_sets(words), "node binary, elements array<bigint>").dropDuplicates(["node"]), "minhash-sets")
     met = candidates.join(sets.select(F.col("node").alias("dst"), F.col("elements").alias("b")), "dst")
     met = met.join(sets.select(F.col("node").alias("src"), F.col("elements").alias("a")), "src")
