@@ -17,7 +17,7 @@ from tidemark.operators import clustering, graph, statements, vectors, windows
 from tidemark.operators.aggregates import cluster_info
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import event_processing, news_events
-from tidemark.session import cut_lineage
+from tidemark.session import cut_lineage, write_once
 from tidemark.sources.articles import write_articles
 from tidemark.sources.events import call_row, read_calls, read_events, write_events
 from tidemark.streaming import incremental, rate_limit
@@ -322,7 +322,7 @@ def c4_squared(t: Tables) -> DataFrame:
 )
 def c5(t: Tables) -> DataFrame:
     """Flagship: the best described events of every call by combined health."""
-    info = readable(news_events.describe_clusters(cut_lineage(t.clustered), keys=KEYS))
+    info = readable(news_events.describe_clusters(write_once(t.clustered, "clustered"), keys=KEYS))
     return windows.top_events(info, 30, tie="cluster").drop("score")
 
 
@@ -368,7 +368,7 @@ SILHOUETTE_SQL = """WITH e AS (SELECT call_id, article_id, cluster AS c, embeddi
 )
 def c6_choice(t: Tables) -> DataFrame:
     """The older run's choice among given clusters: silhouettes, ranks and the best three of every call."""
-    info = news_events.legacy_choice(cut_lineage(t.clustered), news_events.EventConfig(top_n=3), ["call_id"])
+    info = news_events.legacy_choice(write_once(t.clustered, "clustered"), news_events.EventConfig(top_n=3), ["call_id"])
     return info.select("call_id", "cluster", F.round("health", 6).alias("health"), F.round("norm_size", 6).alias("norm_size"))
 
 
@@ -411,7 +411,7 @@ ONE_RUN_SQL = "WITH one_run AS (SELECT * REPLACE (CAST(77 AS BIGINT) AS call_id)
 )
 def s3(t: Tables) -> DataFrame:
     """The call and its events are written twice and read back."""
-    path, info = shared_folder(t.spark, "events"), cut_lineage(cluster_info(cut_lineage(t.clustered)))
+    path, info = shared_folder(t.spark, "events"), cut_lineage(cluster_info(write_once(t.clustered, "clustered")))
     call = call_row(t.spark, 77, 5, dt.datetime(2001, 8, 1), 7, 10, {})
     for _ in range(2):
         write_events(info, call, path)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checks.fixtures import Tables
@@ -13,7 +13,7 @@ from tidemark.checks.scalars import question_rows_sql
 from tidemark.functions.mentions import MENTION_COLUMNS
 from tidemark.operators import aggregates, audits, digests, joins, maintenance, ordering, windows
 from tidemark.operators.prompts import COMPANY_QUESTIONS, GREETING
-from tidemark.session import cut_lineage
+from tidemark.session import write_once
 
 KEYS = ("call_id", "cluster")
 
@@ -292,7 +292,7 @@ INFO_SQL = f"""WITH {STATS_SQL},
     FROM ranked JOIN firsts USING (call_id, cluster) LEFT JOIN lists USING (call_id, cluster) JOIN medians USING (call_id, cluster))"""
 
 
-def readable(info: DataFrame, *extra: str) -> DataFrame:
+def readable(info: DataFrame, *extra: str | Column) -> DataFrame:
     """Cluster rows with lists as text, for comparison."""
     names = {"top_themes": "top_themes", "top_persons": "top_persons", "top_organizations": "top_orgs", "top_locations": "top_locs"}
     return info.select(
@@ -303,10 +303,20 @@ def readable(info: DataFrame, *extra: str) -> DataFrame:
     )
 
 
-@query("a10_cluster_info", INFO_SQL + " SELECT * FROM info", ("clustered",))
+MEANS_SQL = """, means AS (SELECT call_id, cluster, round(sum(i * a), 6) AS mean_sum, round(sum(a * a), 6) AS mean_square FROM (
+      SELECT call_id, cluster, i, avg(embedding[i]) AS a FROM clustered, (SELECT unnest(range(1, 65)) AS i) GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("a10_cluster_info", INFO_SQL + MEANS_SQL + " SELECT info.*, mean_sum, mean_square FROM info JOIN means USING (call_id, cluster)", ("clustered",))
 def a10(t: Tables) -> DataFrame:
+    """All coordinates of the mean vector are compared through their weighted sum and their squares."""
     # The derived input is read several times, so it is written once.
-    return readable(aggregates.cluster_info(cut_lineage(t.clustered), keys=KEYS))
+    info = aggregates.cluster_info(write_once(t.clustered, "clustered"), keys=KEYS)
+    weighted = F.transform("mean_embedding", lambda v, i: v * (i + 1))
+    return readable(
+        info, F.round(F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x), 6).alias("mean_sum"),
+        F.round(F.aggregate("mean_embedding", F.lit(0.0), lambda a, x: a + x * x), 6).alias("mean_square"),
+    )
 
 
 @query(
