@@ -222,7 +222,28 @@ def _points(t: Tables) -> DataFrame:
     return t.embeddings.select(F.col("vec_id").alias("article_id"), F.array(signed(1), signed(2)).alias("reduced"))
 
 
-@query("c1_reduce_dims")
+# The largest component of a symmetric matrix by squaring it thirty times; it is taken away for the second one.
+def _powers(name: str, start: str) -> str:
+    return f"""{name} AS (SELECT 0 AS k, c AS p FROM {start} UNION ALL
+    SELECT k + 1, list_transform(q, lambda a: list_transform(a, lambda x: x / t)) FROM (
+      SELECT k, q, list_sum(list_transform(range(1, 65), lambda i: q[i][i])) AS t FROM (
+        SELECT k, list_transform(p, lambda a: list_transform(p, lambda b: list_dot_product(a, b))) AS q FROM {name} WHERE k < 30))),
+  {name}_axis AS (SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))) AS w FROM (
+    SELECT p[list_position(d, list_max(d))] AS r FROM (SELECT p, list_transform(range(1, 65), lambda i: p[i][i]) AS d FROM {name} WHERE k = 30)))"""
+
+
+COMPONENTS_SQL = f"""WITH RECURSIVE e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+  axis AS (SELECT unnest(range(1, 65)) AS i),
+  cov AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(x ORDER BY j) AS r FROM (
+    SELECT a.i, b.i AS j, covar_samp(v[a.i], v[b.i]) AS x FROM e, axis a, axis b GROUP BY ALL) GROUP BY i)),
+  {_powers('one', 'cov')},
+  less AS (SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - l * w[i] * w[j])) AS c FROM (
+    SELECT c, w, list_dot_product(list_transform(c, lambda r: list_dot_product(r, w)), w) AS l FROM cov, one_axis)),
+  {_powers('two', 'less')}
+  SELECT vec_id, round(abs(list_dot_product(v, one_axis.w)), 6) AS x0, round(abs(list_dot_product(v, two_axis.w)), 6) AS x1 FROM e, one_axis, two_axis"""
+
+
+@query("c1_reduce_dims", COMPONENTS_SQL)
 def c1(t: Tables) -> DataFrame:
     reduced = clustering.reduce_dims(t.embeddings, k=2)
     return reduced.select("vec_id", *[F.round(F.abs(F.col("reduced")[i]), 6).alias(f"x{i}") for i in range(2)])
@@ -310,7 +331,7 @@ def c4_euclidean(t: Tables) -> DataFrame:
 
 @query("c4_silhouette_sqeuclidean", silhouette_sql(SQUARED))
 def c4_squared(t: Tables) -> DataFrame:
-    scored = clustering.silhouette(_labelled(t), id_col="vec_id", metric="sqeuclidean", clusters_per_block=4)
+    scored = clustering.silhouette(_labelled(t), id_col="vec_id", metric="sqeuclidean")
     return scored.select("vec_id", F.round("silhouette", 6).alias("silhouette"))
 
 

@@ -30,6 +30,8 @@ NOISE = -1
 SALT_ROWS = 20_000
 # Rows that meet one block of clusters in one task.
 ROWS_PER_SALT = 1_000_000
+# Sums of clusters that are sent to every task, and clusters of a block beyond that.
+SUMS_BYTES, CLUSTERS_PER_BLOCK = 64 * 1024 * 1024, 256
 # Rows whose products are summed in one group, and sums added in one group.
 MOMENT_ROWS, MOMENT_FAN = 10_000, 64
 # Two boxes with at most this many point pairs are compared point by point.
@@ -412,51 +414,58 @@ def silhouette(
     id_col: str = "article_id",
     metric: str = "euclidean",
     out: str = "silhouette",
-    clusters_per_block: int = 256,
+    clusters_per_block: int | None = None,
     rows_per_block: int = 1024,
     run: Sequence[str] = (),
 ) -> DataFrame:
     """Add the silhouette of each row; noise counts as a label. With ``run`` columns each run is judged alone.
 
     ``sqeuclidean`` needs one pass for the sums per cluster and one pass over the
-    rows against those sums. ``euclidean`` has no such closed form: distances are
+    rows against those sums: sums below ``SUMS_BYTES`` are sent to the rows, others meet
+    them in blocks of ``clusters_per_block``. ``euclidean`` has no such closed form: distances are
     summed block by block inside the tasks, which is quadratic in the rows.
     NULL for every row when the labels do not allow a silhouette.
     """
     if run:
         if metric != "sqeuclidean":
             raise ValueError("runs are judged by squared distances")
-        return _silhouette_runs(df, vec, cluster, id_col, out, clusters_per_block, list(run))
+        return _silhouette_runs(df, vec, cluster, id_col, out, clusters_per_block or CLUSTERS_PER_BLOCK, list(run))
     if metric == "sqeuclidean":
         return _silhouette_squared(df, vec, cluster, id_col, out, clusters_per_block)
     return _silhouette_euclidean(df, vec, cluster, id_col, out, rows_per_block)
 
 
-def _silhouette_squared(df: DataFrame, vec: str, cluster: str, id_col: str, out: str, per_block: int) -> DataFrame:
+def _silhouette_squared(df: DataFrame, vec: str, cluster: str, id_col: str, out: str, per_block: int | None) -> DataFrame:
     v = F.col(vec).cast("array<double>")
-    stats = df.groupBy(cluster).agg(
+    # One row a cluster, read several times.
+    stats = cut_lineage(df.groupBy(cluster).agg(
         F.count("*").cast("double").alias("n"),
         summed_vector("sum", v, F.lit(1.0)).alias("s"),
         F.sum(dot(v, v)).alias("q"),
-    )
-    # Clusters are packed into blocks of bounded width and every row meets each
-    # block; salts keep the rows that meet one block in several tasks.
-    blocks = F.ceil(stats.agg(F.count("*")).scalar() / F.lit(per_block))
-    salts = F.ceil(df.agg(F.count("*")).scalar() / F.lit(ROWS_PER_SALT))
-    packed = stats.withColumn("_block", F.pmod(F.xxhash64(cluster), blocks)).groupBy("_block").agg(
-        F.collect_list(F.struct(F.col(cluster).alias("c"), "n", "s", "q")).alias("_stats")
-    )
-    packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+    ))
+    member = F.struct(F.col(cluster).alias("c"), "n", "s", "q")
     rows = df.select(F.col(id_col), F.col(cluster), v.alias("_v")).withColumn("_vv", dot(F.col("_v"), F.col("_v")))
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), salts)).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
-    )
+    width = stats.agg(F.sum(8 * F.size("s") + 64).alias("b")).first()["b"] or 0
+    if per_block is None and width <= SUMS_BYTES:
+        packed = F.broadcast(stats.groupBy(F.lit(0).alias("_block")).agg(F.collect_list(member).alias("_stats")))
+        met = rows.withColumn("_block", F.lit(0)).join(packed, "_block")
+    else:
+        # Clusters are packed into blocks of bounded width and every row meets each
+        # block; salts keep the rows that meet one block in several tasks.
+        blocks = F.ceil(stats.agg(F.count("*")).scalar() / F.lit(per_block or CLUSTERS_PER_BLOCK))
+        salts = F.ceil(df.agg(F.count("*")).scalar() / F.lit(ROWS_PER_SALT))
+        packed = stats.withColumn("_block", F.pmod(F.xxhash64(cluster), blocks)).groupBy("_block").agg(F.collect_list(member).alias("_stats"))
+        packed = packed.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        spread = rows.withColumn("_salt", F.pmod(F.xxhash64(id_col), salts)).withColumn(
+            "_block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+        )
+        met = spread.join(packed, ["_block", "_salt"])
 
     def total(s: Column) -> Column:
         """Sum of squared distances from the row to the cluster."""
         return s["n"] * F.col("_vv") - F.lit(2.0) * dot(F.col("_v"), s["s"]) + s["q"]
 
-    meets = spread.join(packed, ["_block", "_salt"]).select(
+    meets = met.select(
         id_col,
         cluster,
         F.array_min(
