@@ -233,6 +233,63 @@ def test_decontamination(spark, edge_docs, no_docs):
     assert decontamination.report(table, bench.where("item_id < 0")).where("contaminated").count() == 0
 
 
+def plain_overlaps(docs, items):
+    """{id: {item: overlap}} by laying every item at every place of every document."""
+    import re
+
+    def tokens(text):
+        return [t for t in re.split(r"[^a-z0-9]+", (text or "").lower()) if t]
+
+    found = {}
+    for i, text in docs:
+        words, mine = tokens(text), {}
+        for k, item in items:
+            wanted = tokens(item)
+            if len(wanted) < 4:
+                if wanted and wanted == words:
+                    mine[k] = len(wanted)
+                continue
+            width = min(16, len(wanted))
+            for shift in range(-len(wanted), len(words)):
+                equal = [0 <= j + shift < len(words) and words[j + shift] == w for j, w in enumerate(wanted)]
+                best = max(sum(equal[j : j + width]) for j in range(len(wanted) - width + 1))
+                if best >= -(-width * 7 // 8):
+                    mine[k] = max(mine.get(k, 0), best)
+        found[i] = mine
+    return found
+
+
+def test_decontamination_equals_brute_force(spark):
+    """Items of all lengths, copied with replaced tokens at random places, among texts of the same words."""
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(400)]
+    items = [(k, " ".join(rng.choice(words, n))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 20, 30, 45])]
+    docs = []
+    for i in range(300):
+        text = list(rng.choice(words, int(rng.integers(0, 40))))
+        copy = items[int(rng.integers(0, len(items)))][1].split()
+        for p in rng.choice(len(copy), min(len(copy), int(rng.integers(0, 4))), replace=False):
+            copy[p] = "other"
+        docs.append((i, " ".join(text + copy + list(rng.choice(words, int(rng.integers(0, 9)))))))
+    docs += [(1000 + k, ("- " if k % 2 else "") + item.upper()) for k, item in items] + [(2000, None), (2001, "")]
+    got = decontamination.report(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([*items, (90, None), (91, "!")], "item_id bigint, text string"))
+    want = plain_overlaps(docs, items)
+    for r in got.collect():
+        mine = want[r["doc_id"]]
+        assert (r["contaminated"], r["item_ids"], r["overlap"]) == (bool(mine), sorted(mine) if mine else None, max(mine.values(), default=0)), r
+    assert sum(map(bool, want.values())) > 150
+
+
+def test_columns_of_any_name(spark, edge_docs):
+    """Columns called like those the operators use inside stay as they are."""
+    names = ("row", "mark_", "hit_mark", "hit_mark_", "hit_id", "gone", "gone_id", "gone_mark", "total", "firsts", "lasts", "id", "n", "low", "tag", "place")
+    table = edge_docs.drop("row", "n").withColumns({c: common.F.lit(c) for c in names})
+    bench = spark.createDataFrame([(1, passage(3, 90))], "item_id bigint, text string")
+    for made in (simhash.keep_one(table), decontamination.drop_contaminated(table, bench), sentence_spans.remove_repeats(table)):
+        assert [c for c in made.columns if c not in ("n_sentences", "n_removed")] == table.columns
+        assert made.count() and not made.where(" OR ".join(f"`{c}` <> '{c}'" for c in names)).count()
+
+
 def test_shuffled_benchmark_gives_the_same(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     small = sorted(map(str, queries.QUERIES["op9_decontamination"](spark, sf).collect()))

@@ -87,6 +87,14 @@ def test_token_counts_and_cache(spark, edge_docs, no_docs, tmp_path):
     assert token_counts.count_tokens(no_docs, WORDS_FILE).count() == 0
 
 
+def test_equal_rows_are_encoded_once(spark, tmp_path):
+    """A third of all rows are one text without an id; the cache gets a row for each distinct content."""
+    rows = [(None, "one and the same  text")] * 500 + [(i, f"text {i % 40}") for i in range(1000)]
+    cache = str(tmp_path / "cache")
+    counted = token_counts.count_tokens(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7), WORDS_FILE, cache)
+    assert counted.count() == 1500 and spark.read.parquet(cache).count() == 41
+
+
 def test_word_counts_add_up():
     library, words = Tokenizer.from_file(WORDS_FILE), token_counts.WordCounts(WORDS_FILE)
     for text in random_texts(300):
@@ -150,6 +158,42 @@ def test_quality(spark, edge_docs, no_docs):
     assert quality.keep_good(no_docs, some).count() == 0
 
 
+def test_quality_equals_its_definition(spark):
+    """Weights are the optimum over all pairs, the threshold the best of all cuts, and the query's scores follow from them."""
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = quality.fit_quality(docs, labels)
+    known = docs.join(labels.where("quality IS NOT NULL").select("doc_id", "quality"), "doc_id").selectExpr("*", "xxhash64(doc_id) AS key").collect()
+    rows = sorted((r["key"], quality.features(r["text"]).tolist(), r["quality"]) for r in known if zlib.crc32(str(r["doc_id"]).encode()) % 5 != 0)
+    x = (np.array([r[1] for r in rows]) - model.mean) / model.scale
+    y = [r[2] for r in rows]
+    good, bad = [i for i, v in enumerate(y) if v == 1], [i for i, v in enumerate(y) if v == 0]
+    rare, other = (bad, good) if len(bad) <= len(good) else (good, bad)
+    n = max(quality.PAIRS_PER_ROW, -(-len(other) // len(rare)))
+    partners = np.resize(np.random.default_rng(11).permutation(other), n * len(rare))
+    gradient, pairs = quality.RIDGE * model.weights, n * len(rare)
+    for k, b in enumerate(partners):
+        winner, loser = (b, rare[k // n]) if rare is bad else (rare[k // n], b)
+        d = x[winner] - x[loser]
+        gradient = gradient - d / (1 + math.exp(float(d @ model.weights))) / pairs
+    assert np.abs(gradient).max() < 1e-6
+    raw = x @ model.weights
+
+    def gain(cut):
+        return sum(raw[i] < cut for i in bad) / len(bad) - sum(raw[i] < cut for i in good) / len(good)
+
+    cuts = sorted(set(raw))
+    assert gain(model.threshold) == pytest.approx(max(gain(c) for c in [*cuts, cuts[-1] + 1]))
+    shift = math.log(quality.CUT / (1 - quality.CUT)) - model.threshold
+    texts = dict(texts_of(docs))
+    for r in queries.QUERIES["op10_quality"](spark, sf).collect():
+        z = float(((quality.features(texts[r["doc_id"]]) - model.mean) / model.scale) @ model.weights) + shift
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_attention_gradients_and_mask():
     rng = np.random.default_rng(1)
     params = attention.initial(rng.integers(0, 50, attention.RANKS + 1).astype(float))

@@ -15,6 +15,9 @@ from tidemark.llm.common import fields, shared_table
 #: Kept positions of each mask. The first alone finds every window of WINDOW tokens with up to two replaced.
 MASKS = ((0, 1, 3, 6, 7, 8), (0, 1, 2, 3, 6, 7))
 SPAN = 9
+#: Items of so many tokens are also looked for by an unbroken mask: one of up to ten tokens may have one replaced at
+#: most, which leaves a half of four tokens whole. Shorter items count where they are a whole document.
+SHORT_MASK, SHORT_TOKENS = ((0, 1, 2, 3),), (4, 10)
 #: Tokens of the window in which an overlap is judged, and the share of them that must be equal.
 WINDOW, LEAST_SHARE = 16, 0.875
 #: Hashes of the benchmark up to which they are sent to the documents; beyond, both sides are shuffled.
@@ -27,24 +30,40 @@ def token_hashes(text: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-def _mask_hashes(hashes: Column) -> Column:
+def _mask_hashes(hashes: Column, masks: tuple[tuple[int, ...], ...]) -> Column:
     """For every mask, the hash at each start; all in one array, mask after mask."""
-    starts = F.when(F.size(hashes) >= SPAN, F.sequence(F.lit(0), F.size(hashes) - SPAN)).otherwise(F.array().cast("array<int>"))
+    span = _span(masks)
+    starts = F.when(F.size(hashes) >= span, F.sequence(F.lit(0), F.size(hashes) - span)).otherwise(F.array().cast("array<int>"))
 
     def under(k: int, mask: tuple[int, ...]) -> Column:
         return F.transform(starts, lambda i: F.xxhash64(F.lit(k), *[F.get(hashes, i + o) for o in mask]))
 
-    return F.concat(*[under(k, mask) for k, mask in enumerate(MASKS)])
+    return F.concat(*[under(k, mask) for k, mask in enumerate(masks)])
 
 
-def seeds(rows: DataFrame, *carry: str) -> DataFrame:
+def _span(masks: tuple[tuple[int, ...], ...]) -> int:
+    return SPAN if masks == MASKS else 1 + max(map(max, masks))
+
+
+def seeds(rows: DataFrame, *carry: str, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
     """(carried columns, seed, at): every mask hash of rows with ``hashes`` and where its window starts."""
-    n = F.greatest(F.size("hashes") - SPAN + 1, F.lit(1))
-    return rows.select(*carry, n.alias("n"), F.posexplode(_mask_hashes(F.col("hashes"))).alias("k", "seed")).select(
+    n = F.greatest(F.size("hashes") - _span(masks) + 1, F.lit(1))
+    return rows.select(*carry, n.alias("n"), F.posexplode(_mask_hashes(F.col("hashes"), masks)).alias("k", "seed")).select(
         *carry, "seed", (F.col("k") % F.col("n")).alias("at")
     )
 
 
+def _hits(own: DataFrame, items: DataFrame, masks: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """(doc_id, mark, item_id, shift) of the documents and items that share a mask hash."""
+    wanted = shared_table(seeds(items, "item_id", masks=masks).groupBy("seed", "item_id", "at").agg(F.lit(1).alias("one")), "item-seeds")
+    wanted = wanted.select("seed", "item_id", F.col("at").alias("item_at"))
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return seeds(own, "doc_id", "mark", masks=masks).join(wanted, "seed").select(
+        "doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("shift")
+    )
+
+
 def overlap(doc: Column, item: Column, shift: Column) -> Column:
     """Most equal tokens in a window of the item (WINDOW tokens, or all of a shorter one) laid at ``shift``."""
     n = F.size(item)
@@ -63,24 +82,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     ``mark`` is the hash of the text. An item's passage is in a document if in a window of ``WINDOW`` item tokens
     (all, if it has fewer) ``LEAST_SHARE`` or more stand in the document in the same places; ``overlap`` is the
-    most equal tokens. Items with fewer tokens than a mask is long are too short to judge and are passed over, as
-    are null texts. Repeated rows give one row; an empty table on either side gives none.
+    most equal tokens. An item of fewer than four tokens, which many clean texts hold by chance, is in a document
+    that consists of it. Items and documents without tokens, null texts among them, match nothing. Repeated rows
+    give one row; an empty table on either side gives none.
     """
     strip = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{N}]+"), lambda t: t != "")
     items = shared_table(
         fields(benchmark, item_id=item_id, text=item_text)
-        .select("item_id", F.transform(strip, lambda t: F.xxhash64(t)).alias("hashes")).where(F.size("hashes") >= SPAN),
+        .select("item_id", F.transform(strip, lambda t: F.xxhash64(t)).alias("hashes")).where(F.size("hashes") > 0),
         "items",
     )
-    wanted = shared_table(seeds(items, "item_id").groupBy("seed", "item_id", "at").agg(F.lit(1).alias("one")), "item-seeds")
-    wanted = wanted.select("seed", "item_id", F.col("at").alias("item_at"))
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
     rows = fields(docs, doc_id=doc_id, text=text).select("doc_id", F.xxhash64("text").alias("mark"), "text")
     own = rows.select("doc_id", "mark", token_hashes(F.col("text")).alias("hashes"))
-    hits = seeds(own, "doc_id", "mark").join(wanted, "seed").select(
-        "doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("shift")
-    )
+    least, most = SHORT_TOKENS
+    hits = _hits(own, items.where(F.size("hashes") >= SPAN), MASKS)
+    short = items.where(F.size("hashes").between(least, most))
+    if not short.isEmpty():
+        hits = hits.unionByName(_hits(own, short, SHORT_MASK))
+    tiny = items.where(F.size("hashes") < least).select("item_id", F.xxhash64("hashes").alias("whole"))
+    if not tiny.isEmpty():
+        # The document's first token stands behind an empty one where the text starts with a separator.
+        led = F.when(F.col("text").rlike("^[^\\p{L}\\p{N}]"), F.lit(1)).otherwise(F.lit(0))
+        words = rows.select("doc_id", "mark", led.alias("shift"), F.transform(strip, lambda t: F.xxhash64(t)).alias("hashes"))
+        whole = words.where(F.size("hashes").between(1, least - 1)).select("doc_id", "mark", "shift", F.xxhash64("hashes").alias("whole"))
+        hits = hits.unionByName(whole.join(tiny, "whole").select("doc_id", "mark", "item_id", "shift"))
     hits = shared_table(hits.distinct(), "hits")
     # Only documents with a hit are looked at again.
     again = rows.join(

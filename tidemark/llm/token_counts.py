@@ -64,7 +64,11 @@ def _encoder(path: str):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counts = WordCounts(path)
+        # Equal rows come to one task, which encodes the first of them.
+        seen: set[bytes] = set()
         for batch in slices(batches, 4096):
+            fresh = [i for i, d in enumerate(batch.column("digest").to_pylist()) if not (d in seen or seen.add(d))]
+            batch = batch.take(pa.array(fresh, pa.int64()))
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n = pa.array(counts.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), n], names=["digest", "n_tokens"])
@@ -105,7 +109,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
         firsts.hint("shuffle_hash"), (F.col("mark") == F.col("first_mark")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     )
     new = texts.select("digest", "text").mapInArrow(_encoder(tokenizer_path), "digest binary, n_tokens bigint")
-    new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
+    once = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    once.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     stored = spark.read.schema(CACHE_SCHEMA).parquet(cache).where(F.col("tokenizer") == version)
     # Written first, so that the join's sides are plain exchanges and Spark can split a hot digest.
     counts = shared_table(stored.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "digest-counts")
