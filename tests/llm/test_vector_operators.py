@@ -171,7 +171,7 @@ def test_windows_eliminate_siblings(spark):
     high = np.sort(table, axis=1)[:, -2:-1].astype(float)
     inner, outer = hard_negatives._annuli(index.tree, x[:40], 0.98 * high, high)
     visited = {i: set() for i in range(40)}
-    for number, at in hard_negatives.reached(index.tree, hard_negatives.lifted(x[:40], index.tree.square), inner, outer):
+    for number, at in hard_negatives.reached(index.tree, hard_negatives.asking(x[:40]), inner, outer):
         for i in at:
             visited[i].add(number)
     for i in range(40):

@@ -65,6 +65,11 @@ def lifted(x: np.ndarray, square: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(square - (x * x).sum(1), 0.0))])
 
 
+def asking(x: np.ndarray) -> np.ndarray:
+    """Anchors as they ask: nothing in the added component, so that it takes no part in inner products."""
+    return np.column_stack([x.astype(np.float64), np.zeros(len(x))])
+
+
 def distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     squares = (x * x).sum(1)[:, None] + (points * points).sum(1)[None, :] - 2 * (x @ points.T)
     return np.sqrt(np.maximum(squares, 0.0))
@@ -116,7 +121,7 @@ def descend(tree: Tree, x: np.ndarray) -> tuple[np.ndarray, list[tuple[Node, np.
 
 
 def reached(tree: Tree, x: np.ndarray, inner: np.ndarray, outer: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(leaf, rows) of the vectors whose annuli (inner, outer: row x window) no sibling range eliminates."""
+    """(leaf, rows) of the anchors (``asking``) whose annuli (inner, outer: row x window) no sibling range eliminates."""
     slack = SLACK * math.sqrt(tree.square) + 1e-9
     todo: list[tuple[Node | int, np.ndarray]] = [(tree.root, np.arange(len(x)))]
     while todo:
@@ -235,8 +240,7 @@ def _visits(tree: Tree, width: int, home: bool | None):
             for i, ws in enumerate(windows):
                 for k, (a, b) in enumerate(ws):
                     low[i, k], high[i, k] = -np.inf if a is None else a, np.inf if b is None else b
-            up = lifted(x, tree.square)
-            own, _ = descend(tree, up)
+            own, _ = descend(tree, lifted(x, tree.square))
             if home:
                 found = [(int(leaf), np.flatnonzero(own == leaf)) for leaf in np.unique(own)]
             else:
@@ -244,7 +248,7 @@ def _visits(tree: Tree, width: int, home: bool | None):
                     inner, outer = _annuli(tree, x, low, high)
                 empty = low > high
                 inner[empty], outer[empty] = np.inf, -np.inf
-                found = [(leaf, rows if home is None else rows[own[rows] != leaf]) for leaf, rows in reached(tree, up, inner, outer)]
+                found = [(leaf, rows if home is None else rows[own[rows] != leaf]) for leaf, rows in reached(tree, asking(x), inner, outer)]
             for leaf, rows in found:
                 part = batch.take(pa.array(rows))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rows), leaf)), *part.columns], names=["leaf", *part.schema.names])
