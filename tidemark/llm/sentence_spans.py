@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import fields, shared_table, slices
+from tidemark.llm.common import drop_tables, fields, shared_table, slices
 
 #: A run has at least so many sentences and so many words, so chance repeats of short sentences don't count.
 RUN_SENTENCES, RUN_WORDS = 2, 20
@@ -105,25 +105,34 @@ def runs(sizes: list[int]) -> list[tuple[int, int]]:
 
 def span_hashes(text: str) -> list[tuple[int, int, bytes]]:
     """(first, last, 128-bit hash) of each run; case and white space don't count."""
-    parts = sentences(text)
+    return _run_hashes(sentences(text))
+
+
+def _run_hashes(parts: list[Sentence]) -> list[tuple[int, int, bytes]]:
     digests = [xxhash.xxh3_128_digest(" ".join(w).lower().encode()) for _, _, w in parts]
     return [(a, b, xxhash.xxh3_128_digest(b"".join(digests[a : b + 1]))) for a, b in runs([len(w) for _, _, w in parts])]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tag, place, low) of each run, and one row without low for each document, whose place is its number of
+    sentences. ``tag`` holds 32 bits of the run's hash and 32 of the text's, ``place`` the first and last sentence."""
     for batch in slices(batches):
-        source, first, last, low, high = [], [], [], [], []
+        source, tag, place, low = [], [], [], []
+        marks = batch.column("mark").to_pylist()
         for k, text in enumerate(batch.column("text").to_pylist()):
-            for a, b, digest in span_hashes(text or ""):
+            parts = sentences(text or "")
+            mark = marks[k] & 0xFFFFFFFF
+            source.append(k)
+            tag.append(mark)
+            place.append(len(parts))
+            low.append(None)
+            for a, b, digest in _run_hashes(parts):
                 source.append(k)
-                first.append(a)
-                last.append(b)
+                tag.append(int.from_bytes(digest[8:12], "little", signed=True) << 32 | mark)
+                place.append(a << 32 | b)
                 low.append(int.from_bytes(digest[:8], "little", signed=True))
-                high.append(int.from_bytes(digest[8:12], "little", signed=True))
-        rows = pa.array(source, pa.int64())
-        columns = [batch.column("doc_id").take(rows), batch.column("mark").take(rows)]
-        columns += [pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(low, pa.int64()), pa.array(high, pa.int32())]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "first", "last", "low", "high"])
+        columns = [batch.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(x, pa.int64()) for x in (tag, place, low))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "place", "low"])
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -136,26 +145,33 @@ def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, int]:
     return kept, len(parts), sum(drop)
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, mark, first, last) of every non-first occurrence of a run, of docs(doc_id, mark, text).
+def repeated_spans(spans: DataFrame) -> DataFrame:
+    """(doc_id, mark, first, last) of every non-first occurrence of a run, of the rows of ``_spans``.
 
-    The first occurrence is the one in the smallest doc_id (null last), then mark, then place.
+    The first occurrence is the one in the smallest doc_id (null last), then mark, then place. ``mark`` has 32 bits.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    spans = shared_table(
-        docs.mapInArrow(_spans, f"doc_id {kind}, mark bigint, first int, last int, low bigint, high int"), "spans"
-    )
     # Ids and counts combine before the shuffle; places are looked at only for runs that repeat.
     # Written first, so that the join's sides are plain exchanges and Spark can split a hot run.
-    counts = shared_table(spans.groupBy("low").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "span-counts")
-    repeats = shared_table(spans.join(counts.drop("n"), "low"), "repeats")
+    runs_only = spans.where(F.col("low").isNotNull())
+    counts = shared_table(runs_only.groupBy("low").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n > 1"), "span-counts")
+    high, mark = F.shiftright("tag", 32), F.col("tag").bitwiseAND(F.lit(0xFFFFFFFF))
+    repeats = shared_table(
+        runs_only.join(counts.drop("n"), "low").select("doc_id", mark.alias("mark"), "place", "low", high.alias("high"), "least"), "repeats"
+    )
+    drop_tables(counts)
     starts = repeats.where(F.col("doc_id").eqNullSafe(F.col("least")) | F.col("least").isNull())
-    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("mark").alias("c"), F.col("first").alias("d"))
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("mark").alias("c"), F.col("place").alias("d"))
     firsts = starts.groupBy("low", "high").agg(F.min(order).alias("own"))
     other = repeats.groupBy("low", "high").agg(F.min(order).alias("any"))
     firsts = other.join(firsts, ["low", "high"], "left").select("low", "high", F.coalesce("own", "any").alias("own"))
     firsts = shared_table(firsts, "first-spans")
-    return repeats.join(firsts, ["low", "high"]).where(order != F.col("own")).select("doc_id", "mark", "first", "last")
+    again = repeats.join(firsts, ["low", "high"]).where(order != F.col("own"))
+    found = shared_table(
+        again.select("doc_id", "mark", F.shiftright("place", 32).cast("int").alias("first"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("last")),
+        "repeated-spans",
+    )
+    drop_tables(repeats, firsts)
+    return found
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_sentences: str = "n_sentences", n_removed: str = "n_removed") -> DataFrame:
@@ -166,28 +182,36 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     added ones are replaced, all others stay. An empty table stays empty.
     """
     keyed = fields(docs, doc_id=doc_id, text=text).withColumn("mark", F.xxhash64("text"))
-    gone = (
-        repeated_spans(keyed)
-        .groupBy("doc_id", "mark")
-        .agg(F.collect_set(F.struct("first", "last")).alias("gone"))  # at most two for each sentence of the document
-        .select(F.col("doc_id").alias("gone_id_"), F.col("mark").alias("gone_mark_"), "gone")
+    kind = keyed.schema["doc_id"].dataType.simpleString()
+    spans = shared_table(keyed.mapInArrow(_spans, f"doc_id {kind}, tag bigint, place bigint, low bigint"), "spans")
+    totals = spans.where(F.col("low").isNull()).groupBy("doc_id", F.col("tag").alias("mark")).agg(F.first("place").alias("total"))
+    totals = shared_table(totals, "span-totals")
+    found = repeated_spans(spans)
+    drop_tables(spans)
+    # At most two runs for each sentence of the document.
+    runs_of = found.groupBy(F.col("doc_id").alias("id"), F.col("mark").alias("m")).agg(F.collect_set(F.struct("first", "last")).alias("gone"))
+    gone = totals.join(runs_of, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("mark") == F.col("m")), "left").select(
+        F.col("doc_id").alias("gone_id"), F.col("mark").alias("gone_mark"), "total", "gone"
     )
     kept = [c for c in docs.columns if c not in (n_sentences, n_removed)]
-    rows = docs.select(*[docs[c] for c in kept], docs[doc_id].alias("doc_id_"), F.xxhash64(docs[text]).alias("mark_"))
+    # The row is nested, so that its columns can have any names.
+    own = F.xxhash64(docs[text]).bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = docs.select(F.struct(*[docs[c] for c in kept]).alias("row"), docs[doc_id].alias("id"), own.alias("mark"))
     joined = rows.join(
-        gone.hint("shuffle_hash"), F.col("doc_id_").eqNullSafe(F.col("gone_id_")) & (F.col("mark_") == F.col("gone_mark_")), "left"
-    ).select(*kept, F.col("gone.first").alias("firsts_"), F.col("gone.last").alias("lasts_"))
+        gone.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("mark") == F.col("gone_mark")), "left"
+    ).select("row", "total", F.col("gone.first").alias("firsts"), F.col("gone.last").alias("lasts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
+            row = batch.column("row")
             texts, totals, removed = [], [], []
-            for value, a, b in zip(*[batch.column(c).to_pylist() for c in (text, "firsts_", "lasts_")]):
-                cleaned, n, k = without(value or "", list(zip(a, b)) if a else [])
-                texts.append(cleaned if value is not None else None)
+            for value, n, a, b in zip(row.field(text).to_pylist(), *[batch.column(c).to_pylist() for c in ("total", "firsts", "lasts")]):
+                # Only texts with a repeat are cut into sentences again.
+                cleaned, n, k = without(value, list(zip(a, b))) if a else (value if n else value and "", n, 0)
+                texts.append(cleaned)
                 totals.append(n)
                 removed.append(k)
-            kind = batch.column(text).type
-            columns = [pa.array(texts, kind) if c == text else batch.column(c) for c in kept]
+            columns = [pa.array(texts, row.field(c).type) if c == text else row.field(c) for c in kept]
             columns += [pa.array(totals, pa.int64()), pa.array(removed, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, n_sentences, n_removed])
 
