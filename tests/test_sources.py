@@ -215,6 +215,15 @@ def test_company_run_from_articles_to_events(spark, tmp_path):
     assert taken <= good.count()
 
 
+def test_a_company_without_articles_has_an_empty_call(spark, tmp_path):
+    table, store = str(tmp_path / "articles"), str(tmp_path / "store")
+    articles.write_articles(company_articles(spark).where("DATE <> 'not a date'"), table)
+    for call, name, least in ((1, "nobody", 3), (2, "acme", 1000)):
+        config = news_events.EventConfig(interval=9, eps=0.1, min_cluster_size=least)
+        found, bad = news_events.company_run(spark, table, store, name, call, 3, dt.datetime(2024, 1, 31), config)
+        assert found.count() == 0 and bad.count() == 0 and events.read_calls(spark, store).count() == call
+
+
 def test_legacy_run_among_others_is_as_alone(spark):
     rows = company_articles(spark).withColumn("call_id", (F.col("article_id") % 2).cast("long"))
     config = news_events.EventConfig(eps=0.3, top_n=2)

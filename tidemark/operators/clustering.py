@@ -46,6 +46,8 @@ def reduce_dims(df: DataFrame, vec: str = "embedding", k: int = 2, out: str = "r
     if run:
         return _reduce_runs(df, vec, k, out, list(run))
     usable = df.where(F.col(vec).isNotNull()).withColumn("_v", array_to_vector(F.col(vec).cast("array<double>")))
+    if usable.isEmpty():
+        return usable.withColumn(out, F.lit(None).cast("array<double>")).drop("_v")
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(usable)
     return model.transform(usable).withColumn(out, vector_to_array("_p")).drop("_v", "_p")
 

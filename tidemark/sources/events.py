@@ -8,6 +8,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.functions.mentions import join_links
 
@@ -56,9 +57,10 @@ def read_calls(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/calls").withColumn("call_id", F.col("call_id").cast("long"))
 
 
-def read_events(spark: SparkSession, path: str, call_id: int | None = None) -> DataFrame:
-    """Event records; of one call, only its folder is listed."""
-    rows = spark.read.parquet(f"{path}/events")
+def read_events(spark: SparkSession, path: str, call_id: int | None = None, schema: StructType | None = None) -> DataFrame:
+    """Event records; of one call, only its folder is listed. ``schema`` is for stores that may hold no event yet."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    rows = reader.parquet(f"{path}/events")
     if call_id is not None:
         rows = rows.where(F.col("call_id") == call_id)
     return rows.withColumn("call_id", F.col("call_id").cast("long"))
