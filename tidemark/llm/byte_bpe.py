@@ -9,6 +9,7 @@ pair's bytes, so a seam whose pairs all pass can't change any token outside.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -16,7 +17,6 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from tidemark.llm.common import fields, slices
@@ -25,8 +25,11 @@ from tidemark.llm.common import fields, slices
 LEAF_BYTES = 24
 #: Tokens on each side of a seam in the first window.
 SEAM_TOKENS = 2
-#: Distinct words a task remembers before it starts its memory anew.
+#: Distinct words a task remembers: those of late, and of the ones before them those that were met again. As many
+#: pieces of words are remembered beside them.
 MEMORY_WORDS = 400_000
+#: Above all ranks: a pair that is no token.
+NEVER = 1 << 60
 #: Unicode white space, as the splitting pattern's \\s has it.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -43,26 +46,31 @@ class ByteBpe:
         # A word with the space before it, or white space: no match of the pattern crosses these.
         self.coarse = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
         self.words: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.settled = lru_cache(maxsize=50_000)(self._settled)
 
     def merge(self, piece: bytes) -> list[int]:
         """Tokens of a byte string: the lowest rank merges first, the leftmost of equals."""
         if len(piece) > 8 * LEAF_BYTES:
             return self._merge_long(piece)
-        parts = [piece[i : i + 1] for i in range(len(piece))]
+        if len(piece) < 2:
+            return [self.ranks[piece]] if piece else []
+        ends = list(range(1, len(piece) + 1))
         rank = self.ranks.get
-        pairs = [rank(a + b) for a, b in zip(parts, parts[1:])]
-        while True:
-            best = min((r for r in pairs if r is not None), default=None)
-            if best is None:
-                return [self.ranks[p] for p in parts]
+        pairs = [rank(piece[i : i + 2], NEVER) for i in range(len(piece) - 1)]
+        while pairs:
+            best = min(pairs)
+            if best == NEVER:
+                break
             i = pairs.index(best)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            del pairs[i]
+            del pairs[i], ends[i]
+            start = ends[i - 1] if i else 0
             if i:
-                pairs[i - 1] = rank(parts[i - 1] + parts[i])
+                pairs[i - 1] = rank(piece[ends[i - 2] if i > 1 else 0 : ends[i]], NEVER)
             if i < len(pairs):
-                pairs[i] = rank(parts[i] + parts[i + 1])
+                pairs[i] = rank(piece[start : ends[i + 1]], NEVER)
+        return [self.ranks[piece[a:b]] for a, b in zip([0, *ends], ends)]
 
     def _merge_long(self, piece: bytes) -> list[int]:
         """The same with a heap of pairs over linked parts, for windows that had to grow."""
@@ -123,16 +131,24 @@ class ByteBpe:
         return self.tree(piece) if own is None else [own]
 
     def _word(self, word: str) -> bytes:
-        ids = [i for p in self.fine.findall(word) for i in self.piece(p.encode())]
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        out, known = [], self.pieces
+        if len(known) > MEMORY_WORDS:
+            known.clear()
+        for match in self.fine.findall(word):
+            ids = known.get(match)
+            if ids is None:
+                ids = known[match] = b"".join([i.to_bytes(4, "little") for i in self.piece(match.encode())])
+            out.append(ids)
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """The text's tokens as little-endian unsigned 32-bit integers."""
-        words, known = self.coarse.findall(text), self.words
-        if len(known) > MEMORY_WORDS:
-            known.clear()
+        if len(self.words) > MEMORY_WORDS // 2:
+            self.words, self.before = {}, self.words
+        words, known, before = self.coarse.findall(text), self.words, self.before
         for word in set(words).difference(known):
-            known[word] = self._word(word)
+            ids = before.get(word)
+            known[word] = self._word(word) if ids is None else ids
         return b"".join(map(known.__getitem__, words))
 
     def decode(self, packed: bytes) -> bytes:
@@ -184,8 +200,20 @@ def decode_ids(table: DataFrame, rank_path: str, pattern: str, ids: str = "ids",
 
 
 def token_digests(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_tokens and the digests of the packed tokens and of the bytes they decode to."""
-    coded = encode_texts(fields(docs, doc_id=doc_id, text=text), rank_path, pattern).drop("text")
-    return decode_ids(coded, rank_path, pattern).select(
-        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
-    )
+    """doc_id, n_tokens and the digests of the packed tokens and of the bytes they decode to, of every row.
+
+    A null or empty text has no tokens and decodes to nothing; repeated rows stay; an empty table gives none; other
+    columns are not read.
+    """
+    rows = fields(docs, doc_id=doc_id, text=text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(rank_path, pattern)
+        for batch in slices(batches):
+            packed = [bpe.encode(t) if t else b"" for t in batch.column("text").to_pylist()]
+            columns = [pa.array([len(p) // 4 for p in packed], pa.int64())]
+            columns += [pa.array([hashlib.sha256(x).hexdigest() for x in values]) for values in (packed, map(bpe.decode, packed))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
