@@ -53,6 +53,17 @@ def test_sharding_splits_overfull_ranges(spark):
     assert all(r["max(slot)"] + 1 == r["count(doc_id)"] for r in got)
 
 
+def test_sharding_of_rows_that_are_all_equal(spark):
+    """Equal rows are cut into ranges like others, so that no task gets them all."""
+    docs = spark.range(0, 30_000, 1, 6).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'one text' AS text")
+    rows = common.shared_table(sharding.measured(docs), "sizes-test")
+    cuts = common.splitters(rows, sharding._key(), rows["size"], 30_000 * 9.0, 64)
+    loads = sharding._loads(rows, cuts)[1]
+    assert len(loads) > 50 and max(n for n, _ in loads.values()) < 3 * 30_000 / 64
+    got = sharding.assign_shards(docs).groupBy("shard").agg({"slot": "max", "size": "count"}).collect()
+    assert sorted((r["shard"], r["count(size)"], r["max(slot)"]) for r in got) == [(k, 3750, 3749) for k in range(8)]
+
+
 def plain_components(items, linked):
     parent = list(range(len(items)))
 
