@@ -316,3 +316,23 @@ def test_silhouettes_of_a_run_are_those_of_the_run_alone(spark):
         for r in alone:
             assert got[r["article_id"]] == pytest.approx(r["silhouette"], abs=1e-9)
     assert all(got[i] is None for i in range(0, 240, 3))
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_euclidean_silhouette_shuffles_no_pair_of_packs(spark):
+    """Packs meet in place: what is shuffled doesn't grow with the number of pairs of packs."""
+    rng = np.random.default_rng(11)
+    x, labels = rng.normal(size=(300, 4)), rng.integers(-1, 3, 300)
+    df = spark.createDataFrame([(i, int(c), [float(v) for v in row]) for i, (c, row) in enumerate(zip(labels, x))], "article_id long, cluster long, embedding array<double>")
+    scored = clustering.silhouette(df, rows_per_block=8)
+    plan = _plan(scored)
+    assert "CartesianProduct" in plan and "hashpartitioning(_block" not in plan
+    dist = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    for row in scored.collect():
+        i, own = row["article_id"], labels[row["article_id"]]
+        a = dist[i, labels == own].sum() / ((labels == own).sum() - 1)
+        b = min(dist[i, labels == other].mean() for other in set(labels.tolist()) - {own})
+        assert abs(row["silhouette"] - (b - a) / max(a, b)) < 1e-9

@@ -34,6 +34,8 @@ ROWS_PER_SALT = 1_000_000
 SUMS_BYTES, CLUSTERS_PER_BLOCK = 64 * 1024 * 1024, 256
 # Rows whose products are summed in one group, and sums added in one group.
 MOMENT_ROWS, MOMENT_FAN = 10_000, 64
+# Rows that are packed together for the euclidean silhouette, and the size of a part that meets another part in one task.
+PACK_ROWS, PART_BYTES = 1024, 64 * 1024 * 1024
 # Two boxes with at most this many point pairs are compared point by point.
 LEAF_PAIRS = 256
 
@@ -425,7 +427,8 @@ def silhouette(
     ``sqeuclidean`` needs one pass for the sums per cluster and one pass over the
     rows against those sums: sums below ``SUMS_BYTES`` are sent to the rows, others meet
     them in blocks of ``clusters_per_block``. ``euclidean`` has no such closed form: distances are
-    summed block by block inside the tasks, which is quadratic in the rows.
+    summed inside the tasks, ``rows_per_block`` rows at a time, which takes time quadratic in the rows; what is written
+    and shuffled is not.
     NULL for every row when the labels do not allow a silhouette.
     """
     if run:
@@ -519,17 +522,19 @@ def _silhouette_runs(df: DataFrame, vec: str, cluster: str, id_col: str, out: st
 def _silhouette_euclidean(df: DataFrame, vec: str, cluster: str, id_col: str, out: str, rows_per_block: int) -> DataFrame:
     id_type, cluster_type = df.schema[id_col].dataType, df.schema[cluster].dataType
     stats = df.groupBy(cluster).agg(F.count("*").cast("double").alias("_n"))
-    blocks = F.ceil(df.agg(F.count("*")).scalar() / F.lit(rows_per_block))
-    packed = df.withColumn("_block", F.pmod(F.xxhash64(id_col), blocks)).groupBy("_block").agg(
-        F.collect_list(id_col).alias("ids"),
-        F.collect_list(cluster).alias("labels"),
-        F.flatten(F.collect_list(F.col(vec).cast("array<double>"))).alias("xs"),
+    # Packs are written once and met part by part in place; no pair of packs is shuffled. A part's packs stay in memory.
+    size = df.agg(F.count("*").alias("n"), F.sum(F.size(vec) * 8 + 64).alias("bytes")).first()
+    parts = max(math.ceil(2 * math.sqrt(df.sparkSession.sparkContext.defaultParallelism)), math.ceil((size["bytes"] or 0) / PART_BYTES))
+    blocks = F.lit(max(parts, math.ceil(size["n"] / max(rows_per_block, PACK_ROWS))))
+    packed = write_once(
+        df.withColumn("_block", F.pmod(F.xxhash64(id_col), blocks)).repartition(parts, "_block").groupBy("_block").agg(
+            F.collect_list(id_col).alias("ids"),
+            F.collect_list(cluster).alias("labels"),
+            F.flatten(F.collect_list(F.col(vec).cast("array<double>"))).alias("xs"),
+        ),
+        "silhouette-blocks",
     )
-    left = packed.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    right = packed.select(
-        F.col("_block").alias("_other"), F.col("ids").alias("o_ids"), F.col("labels").alias("o_labels"), F.col("xs").alias("o_xs")
-    )
-    pairs = left.join(right, "_other").repartition(F.col("_block"), F.col("_other"))
+    right = packed.select(F.col("ids").alias("o_ids"), F.col("labels").alias("o_labels"), F.col("xs").alias("o_xs"))
     schema = T.StructType(
         [
             T.StructField(id_col, id_type),
@@ -540,20 +545,40 @@ def _silhouette_euclidean(df: DataFrame, vec: str, cluster: str, id_col: str, ou
     )
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # A pack meets all packs of a part one after the other, so its sums are kept until the next pack comes.
+        mark, ids, labels, totals = None, None, None, {}
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for label, total in totals.items():
+                yield pd.DataFrame({id_col: ids, cluster: labels, "_other": label, "_sum": total})
+
         for batch in batches:
             for row in batch.itertuples(index=False):
-                ids, labels, o_labels = np.asarray(row.ids), np.asarray(row.labels), np.asarray(row.o_labels)
-                x = np.asarray(row.xs, dtype="float64").reshape(len(ids), -1)
-                y = np.asarray(row.o_xs, dtype="float64").reshape(len(o_labels), -1)
-                squares = (x**2).sum(1)[:, None] + (y**2).sum(1)[None, :] - 2.0 * (x @ y.T)
-                dist = np.sqrt(np.maximum(squares, 0.0))
-                dist[ids[:, None] == np.asarray(row.o_ids)[None, :]] = 0.0
-                for label in np.unique(o_labels):
-                    yield pd.DataFrame(
-                        {id_col: ids, cluster: labels, "_other": label, "_sum": dist[:, o_labels == label].sum(axis=1)}
-                    )
-
-    partial = pairs.select("ids", "labels", "xs", "o_ids", "o_labels", "o_xs").mapInPandas(sums, schema)
+                if row.block_no != mark:
+                    yield from rows()
+                    mark, ids, labels, totals = row.block_no, np.asarray(row.ids), np.asarray(row.labels), {}
+                    x = np.array(row.xs, dtype="float64").reshape(len(ids), -1)
+                    lengths = (x**2).sum(1)
+                order = np.argsort(np.asarray(row.o_labels), kind="stable")
+                o_labels, o_ids = np.asarray(row.o_labels)[order], np.asarray(row.o_ids)[order]
+                y = np.asarray(row.o_xs, dtype="float64").reshape(len(o_labels), -1)[order]
+                same = bool(np.isin(ids, o_ids).any())
+                found, starts = np.unique(o_labels, return_index=True)
+                for at in range(0, len(ids), rows_per_block):
+                    some = slice(at, at + rows_per_block)
+                    dist = x[some] @ y.T
+                    dist *= -2.0
+                    dist += lengths[some, None]
+                    dist += (y**2).sum(1)
+                    np.sqrt(np.maximum(dist, 0.0, out=dist), out=dist)
+                    if same:
+                        dist[ids[some, None] == o_ids[None, :]] = 0.0
+                    for label, part in zip(found.tolist(), np.add.reduceat(dist, starts, axis=1).T):
+                        totals.setdefault(label, np.zeros(len(ids)))[some] += part
+        yield from rows()
+
+    pairs = packed.withColumnRenamed("_block", "block_no").join(right.hint("shuffle_replicate_nl"), F.lit(True))
+    partial = pairs.mapInPandas(sums, schema)
     per_label = partial.groupBy(id_col, cluster, "_other").agg(F.sum("_sum").alias("_sum"))
     sized = per_label.join(stats.withColumnRenamed(cluster, "_other"), "_other")
     own = F.col("_other") == F.col(cluster)
