@@ -336,3 +336,27 @@ def test_euclidean_silhouette_shuffles_no_pair_of_packs(spark):
         a = dist[i, labels == own].sum() / ((labels == own).sum() - 1)
         b = min(dist[i, labels == other].mean() for other in set(labels.tolist()) - {own})
         assert abs(row["silhouette"] - (b - a) / max(a, b)) < 1e-9
+
+
+def test_packs_meet_ring_blocks_without_a_shuffle(spark, monkeypatch):
+    """Many small packs over many blocks of several keys, one without corpus: exact, and no pair is shuffled."""
+    from tidemark.operators import metric_index
+    from tidemark.operators.vectors import _best_of_block, merged_best
+
+    monkeypatch.setattr(metric_index, "PACK_ROWS", 8)
+    monkeypatch.setattr(metric_index, "HELD_ROWS", 20)
+    rng = np.random.default_rng(12)
+    c, q = rng.normal(size=(600, 5)).round(1), rng.normal(size=(90, 5)).round(1)
+    corpus = spark.createDataFrame([(i, f"k{i % 2}", [float(v) for v in x]) for i, x in enumerate(c)], "cid long, key string, cvec array<double>")
+    queries = spark.createDataFrame([(i, f"k{i % 3}", [float(v) for v in x]) for i, x in enumerate(q)], "qid long, key string, qvec array<double>")
+    found = metric_index.nearest_by_rings(queries, corpus, 4, "l2", False, 16, _best_of_block)
+    plan = _plan(found)
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    got = {(r["query_id"], r["rank"]): (r["neighbour_id"], r["distance"]) for r in merged_best(found, 4).collect()}
+    want = {}
+    for i in range(90):
+        mine = [j for j in range(600) if j % 2 == i % 3]
+        best = sorted((round(float(((q[i] - c[j]) ** 2).sum()), 9), j) for j in mine)[:4]
+        want |= {(i, n + 1): (j, d) for n, (d, j) in enumerate(best)}
+    assert got.keys() == want.keys()
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
