@@ -360,3 +360,14 @@ def test_packs_meet_ring_blocks_without_a_shuffle(spark, monkeypatch):
         want |= {(i, n + 1): (j, d) for n, (d, j) in enumerate(best)}
     assert got.keys() == want.keys()
     assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-8 for k in want)
+
+
+def test_vectors_of_runs_stay_in_place(spark):
+    """Components and sums of runs are small: they go to the rows, and only ids and silhouettes are shuffled."""
+    rng = np.random.default_rng(13)
+    rows = [(i, i % 2, i // 2 % 3 - 1, [float(v) for v in rng.normal(size=4)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "article_id long, call_id long, cluster long, embedding array<double>")
+    reduced = _plan(clustering.reduce_dims(df, k=2, run=["call_id"]))
+    assert "BroadcastHashJoin" in reduced and "Exchange hashpartitioning" not in reduced
+    scored = _plan(clustering.silhouette(df, metric="sqeuclidean", run=["call_id"]))
+    assert scored.count("BroadcastHashJoin") == 2 and scored.count("SortMergeJoin") == 1
