@@ -359,3 +359,57 @@ def test_tfidf_of_a_run_and_of_hot_terms(spark, monkeypatch):
         alone = weights(df.where(F.col("call_id") == call))
         assert {k: v for k, v in together.items() if k[0] % 2 == call} == pytest.approx(alone)
     assert together != pytest.approx(plain)
+
+
+def _alert_rows(spark):
+    """Interests with a shared id, without id, vector or stock; events with ties, without summary or vector."""
+    vec = "array<double>"
+    interests = spark.createDataFrame(
+        [(i, 1, 10, "A" if i < 7 else "B", "x", i, f"area {i}", [float(i), 1.0]) for i in range(1, 10)]
+        + [(3, 1, 10, "A", "x", 3, "again", [0.0, 1.0]), (None, 1, 10, "A", "x", 12, "none", [1.0, 1.0])]
+        + [(13, 1, 10, "A", "x", 13, "bare", None), (14, 1, 10, None, "x", 14, "lost", [1.0, 1.0]), (15, 1, 10, "C", "x", 15, "new", [1.0, 1.0])],
+        f"interest_id long, user_id long, alert_stock_id long, stock_id string, stock string, area_id long, area string, interest_embedding {vec}",
+    )
+    ready = spark.createDataFrame(
+        [(5, "A", "five", [1.0, 0.0]), (4, "A", "four", [2.0, 0.0]), (6, "A", None, [0.5, 1.0]), (7, "A", "seven", None), (8, "B", "eight", [0.0, 1.0]), (9, "A", "nine", [0.0, 3.0])],
+        f"event_id long, stock_id string, summary string, summary_embedding {vec}",
+    )
+    return interests, ready
+
+
+def test_alert_digests_in_place_are_those_of_the_join(spark):
+    interests, ready = _alert_rows(spark)
+    columns = ["area_id", "analysis"]
+    got = processing._analyses(interests, ready, None, 3).select(*columns).collect()
+    told = processing._told_by_join(interests, ready, 3)
+    wanted = prompts.analysis_prompts(told, "relevance", company="stock", context="area", events="events")[0].select("area_id", "prompt").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted)) and len(got) == 14
+    # Event ids that repeat are left to the join.
+    twice = ready.unionByName(ready)
+    got = processing._analyses(interests, twice, None, 3).select("area_id", "analysis").collect()
+    told = processing._told_by_join(interests, twice, 3)
+    wanted = prompts.analysis_prompts(told, "relevance", company="stock", context="area", events="events")[0].select("area_id", "prompt").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+
+
+def test_neighbours_of_alerts_are_not_shuffled(spark):
+    interests, ready = _alert_rows(spark)
+    single = interests.where("interest_id <> 3")
+    plan = processing._analyses(single, ready, None, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "hashpartitioning(interest_id" not in plan and "hashpartitioning(query_id" not in plan
+
+
+def test_alert_mails_at_once_are_those_in_slices(spark):
+    rows = [(u, s, f"S{s}", a, f"text {u} {s} {a}") for u in (1, 2, 3) for s in (4, 2) for a in (9, 5, 5)]
+    # A null area and analysis, an analysis twice, a stock that is not listed, two names of one entry, null keys.
+    rows += [(1, 2, "S2", None, "first"), (1, 2, "S2", 7, None), (1, 2, "S2", 5, "text 1 2 5"), (1, 8, "S8", 1, "unlisted"), (2, 4, "T4", 5, "other"), (None, 4, "S4", 1, "x"), (4, None, "S1", 1, "y")]
+    rows += [(5, 1, "S1", i, f"long {i}") for i in range(ordering.PART_SIZE + 5)]
+    analyses = spark.createDataFrame(rows, "user_id long, alert_stock_id long, stock string, area_id long, analysis string")
+    listed = analyses.where("alert_stock_id <> 8 OR alert_stock_id IS NULL").select("user_id", "alert_stock_id", "stock").distinct()
+    listed = listed.unionByName(spark.createDataFrame([(1, 9, "S9"), (6, 1, "S1"), (3, 4, "S4")], listed.schema))
+    keys = ["user_id", "alert_stock_id", "stock"]
+    wanted = digests._digest_by_slices(listed.join(analyses, keys, "left"), "user_id").collect()
+    got = processing.alert_mails(analyses, listed).collect()
+    assert sorted(map(str, got)) == sorted(map(str, wanted))
+    plain = digests._digest_at_once(analyses.where("user_id = 1 AND alert_stock_id <> 8"), listed.where("user_id = 1"), "user_id").collect()
+    assert [r for r in wanted if r["user_id"] == 1] == plain
