@@ -81,3 +81,7 @@ def test_hot_cluster_is_counted_in_many_tasks(spark):
     text = plan(aggregates.entity_counts(rows))
     shuffle = text[text.index("hashpartitioning("):].split(")")[0]
     assert "cluster" in shuffle and "kind" in shuffle and "name" in shuffle
+
+
+def test_chunks_are_derived_once(spark):
+    assert "posexplode" not in plan(catalog.QUERIES["t2_chunk_by_separator"](spark, SF_DIR))

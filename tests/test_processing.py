@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.operators import digests, ordering, prompts, retrieval, vectors
+from tidemark.operators import chunking, digests, ordering, prompts, retrieval, vectors
 from tidemark.operators.model_map import map_with_model
 from tidemark.plans import event_processing as processing
 from tidemark.plans import filings_qa
@@ -413,3 +413,14 @@ def test_alert_mails_at_once_are_those_in_slices(spark):
     assert sorted(map(str, got)) == sorted(map(str, wanted))
     plain = digests._digest_at_once(analyses.where("user_id = 1 AND alert_stock_id <> 8"), listed.where("user_id = 1"), "user_id").collect()
     assert [r for r in wanted if r["user_id"] == 1] == plain
+
+
+def test_pieces_are_packed_greedily(spark):
+    texts = ["", "a b c d e f", "aaaa " * 7, "x" * 25, "ab\n\ncd ef\ngh " + "y" * 11 + " z", "\n\n\n\n", "é" * 9 + " b", " lead", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got: dict = {}
+    for r in chunking.chunk_text(df, "text", 10).orderBy("id", "chunk_index").collect():
+        got.setdefault(r["id"], []).append(r["content"])
+    assert {i: "".join(c) for i, c in got.items()} == {i: t for i, t in enumerate(texts) if t}
+    assert all(0 < len(c) <= 10 for cs in got.values() for c in cs)
+    assert got[1] == ["a b c d e ", "f"] and got[2] == ["aaaa aaaa "] * 3 + ["aaaa "] and got[3] == ["x" * 10, "x" * 10, "x" * 5]

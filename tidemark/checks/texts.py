@@ -58,7 +58,7 @@ def t2(t: Tables) -> DataFrame:
 
 @query("t2_chunk_by_separator", "SELECT doc_id, md5(text) AS digest, TRUE AS in_bounds FROM documents WHERE text <> ''")
 def t2_separator(t: Tables) -> DataFrame:
-    chunks = chunking.chunk_text(t.documents.select("doc_id", "text"), "text", SIZE)
+    chunks = write_once(chunking.chunk_text(t.documents.select("doc_id", "text"), "text", SIZE), "chunks")
     bounds = chunks.groupBy("doc_id").agg((F.max(F.length("content")) <= SIZE).alias("in_bounds"))
     # Chunks put together again are the text.
     whole = concat_in_order(chunks, ["doc_id"], "chunk_index", F.col("content"), "whole", part_size=1_000_000)

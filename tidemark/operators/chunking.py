@@ -74,17 +74,22 @@ def _split_after(text: Column, separator: str) -> Column:
     return F.split(text, f"(?<={separator})", -1)
 
 
-def _packed(pieces: Column, size: int) -> Column:
-    """Neighbouring pieces joined greedily up to ``size`` characters."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+def _packed(pieces: str, size: int) -> Column:
+    """Neighbouring pieces of a column joined greedily up to ``size`` characters; every piece is copied once."""
+    start = F.struct(F.array(F.lit(0)).alias("starts"), F.lit(0).alias("open"), F.lit(0).alias("i"))
+
+    def add(acc: Column, length: Column) -> Column:
+        fits = acc["open"] + length <= F.lit(size)
+        return F.struct(
+            F.when(fits, acc["starts"]).otherwise(F.concat(acc["starts"], F.array(acc["i"]))).alias("starts"),
+            F.when(fits, acc["open"] + length).otherwise(length).alias("open"), (acc["i"] + 1).alias("i"),
+        )
 
-    def add(acc: Column, piece: Column) -> Column:
-        fits = F.length(acc["open"]) + F.length(piece) <= F.lit(size)
-        grown = F.struct(acc["done"].alias("done"), F.concat(acc["open"], piece).alias("open"))
-        closed = F.struct(F.concat(acc["done"], F.array(acc["open"])).alias("done"), piece.alias("open"))
-        return F.when(fits, grown).otherwise(closed)
+    def joined(acc: Column) -> Column:
+        starts, end = acc["starts"], acc["i"]
+        return F.transform(starts, lambda s, j: F.array_join(F.slice(F.col(pieces), s + 1, F.coalesce(F.get(starts, j + 1), end) - s), ""))
 
-    packed = F.aggregate(pieces, start, add, lambda acc: F.concat(acc["done"], F.array(acc["open"])))
+    packed = F.aggregate(F.transform(pieces, lambda p: F.length(p)), start, add, joined)
     return F.filter(packed, lambda p: p != "")
 
 
@@ -104,11 +109,12 @@ def chunk_text(df: DataFrame, text_col: str, size: int = CHUNK_CHARS, out: str =
     pieces = F.array(F.col(text_col))
     for separator in SEPARATORS:
         pieces = refine(pieces, separator)
-    cut = F.flatten(F.transform(pieces, lambda p: F.coalesce(_fixed_pieces(p, size, 0), F.array().cast("array<string>"))))
+    cut = F.flatten(F.transform(pieces, lambda p: F.when((F.length(p) > 0) & (F.length(p) <= size), F.array(p)).otherwise(
+        F.coalesce(_fixed_pieces(p, size, 0), F.array().cast("array<string>"))
+    )))
     rest = [c for c in df.columns if c != text_col]
-    return df.where(F.col(text_col).isNotNull()).select(
-        *rest, F.posexplode(_packed(cut, size)).alias("chunk_index", out)
-    )
+    listed = df.where(F.col(text_col).isNotNull()).select(*rest, cut.alias("_pieces"))
+    return listed.select(*rest, F.posexplode(_packed("_pieces", size)).alias("chunk_index", out))
 
 
 def chunk_tokens(df: DataFrame, text_col: str, size: int = CHUNK_TOKENS, out: str = "content") -> DataFrame:
