@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.checks import catalog
+from tidemark.checks import catalog, fixtures
 from tidemark.checks.fixtures import Tables
 from tidemark.operators import aggregates, filters, ordering, windows
 from tidemark.operators.vectors import knn
@@ -85,3 +86,34 @@ def test_hot_cluster_is_counted_in_many_tasks(spark):
 
 def test_chunks_are_derived_once(spark):
     assert "posexplode" not in plan(catalog.QUERIES["t2_chunk_by_separator"](spark, SF_DIR))
+
+
+def test_lines_of_an_order_are_gathered_in_one_list(spark):
+    text = plan(Tables(spark, SF_DIR).articles)
+    # One list, partial and merged.
+    assert "listagg(" not in text and text.count("collect_list(") == 2
+
+
+def test_gathered_articles_are_those_of_the_aggregates(spark, tmp_path):
+    def listagg(x: str) -> str:
+        return f"listagg({x}, ';') WITHIN GROUP (ORDER BY l_linenumber, {x})"
+
+    rows = {
+        "region": "SELECT 1 AS r_regionkey, 'R' AS r_name",
+        "nation": "SELECT 1 AS n_nationkey, 'N' AS n_name, 1 AS n_regionkey UNION ALL SELECT 2, NULL, 1",
+        "supplier": "SELECT * FROM VALUES (1, 's b', 1), (2, '', 1), (3, NULL, 2), (4, 's a', 1) AS t(s_suppkey, s_name, s_nationkey)",
+        "part": "SELECT * FROM VALUES (1, 'p', 'B1', 'T'), (2, NULL, 'B2', NULL), (3, 'é x', 'B3', 'U'), (3, 'twice', 'B3', 'U') AS t(p_partkey, p_name, p_brand, p_type)",
+        # Lines with one number, without number, of one order only nulls, repeated rows, an order without lines.
+        "lineitem": """SELECT * FROM VALUES (1, 2, 1, 1), (1, 2, 4, 3), (1, 1, 2, 2), (1, NULL, 1, 3), (1, 10, 1, 1), (1, 10, 1, 1), (2, 1, 3, 2), (3, 1, 2, 1),
+          (NULL, 1, 1, 1) AS t(l_orderkey, l_linenumber, l_suppkey, l_partkey)""",
+        "orders": """SELECT *, TIMESTAMP '2024-01-02 03:04:05' AS o_orderdate, 'O' AS o_orderstatus FROM
+          VALUES (1, '1-HIGH'), (2, '5-LOW'), (2, NULL), (3, '2-X'), (4, '2-X'), (NULL, '2-X') AS t(o_orderkey, o_orderpriority)""",
+    }
+    for name, sql in rows.items():
+        spark.sql(sql).write.parquet(f"{tmp_path}/{name}.parquet")
+    tables = Tables(spark, str(tmp_path))
+    got = tables.articles
+    text = re.sub(r"\{joined:(\w+)\}", lambda m: listagg(m[1]), fixtures.ARTICLES.replace("{string}", "STRING").replace("{date}", fixtures.Spark.stamp("o_orderdate")))
+    wanted = spark.sql(text)
+    assert got.schema.simpleString() == wanted.schema.simpleString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and got.count() == 4
