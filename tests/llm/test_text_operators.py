@@ -313,3 +313,26 @@ def test_training_reads_every_training_document(spark, monkeypatch):
     want = sorted(r["mark"] for r in rows.where("NOT held_out").collect())
     assert sorted(r["mark"] for r in tables["lm-texts"].collect()) == want
     assert sum(seen) == len(want)
+
+
+def test_rare_beginnings_count(spark, monkeypatch):
+    """Beginnings seen once give the same scores as frequent ones, whether they are sent to the tasks or joined."""
+    texts = ["the nation nationally zyxwvut Quokkaville thewordislong x", "the the on nation zyxwvuts unseenword thewordislonger y zyxwvut", None, "zyxwvut the"]
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(24)]
+    words = [lm_scoring.words_of(texts[i % 4]) for i in range(24)]
+    words[3] = lm_scoring.words_of(f"{texts[3]} seenonce Quokkavillage")
+    docs = spark.createDataFrame([(i, b" ".join(w).decode()) for i, w in enumerate(words)], "doc_id long, text string")
+    assert any(held) and not held[3]
+    counts = collections.Counter({w: 0 for own in words for w in own})
+    counts.update(w for own, h in zip(words, held) if not h for w in own)
+    ids, begun = collections.Counter(), collections.Counter()
+    for batch in lm_scoring._count_ids(RANKS, PATTERN)(iter([_batch(counts)])):
+        for kind, key, n in zip(*[batch.column(c).to_pylist() for c in ("kind", "key", "n")]):
+            (begun if kind else ids)[key % 2**64] += n
+    model = lm_scoring.Model(sum(counts.values()), sum(n > 0 for n in counts.values()), {i: n for i, n in ids.items() if n}, begun)
+    want = lm_scoring.Scorer(model, dict(counts), lm_scoring.Subwords(RANKS, PATTERN)).score(words)[0]
+    monkeypatch.setattr(lm_scoring, "RATES", (0.0,))
+    for frequent in (0, 5, 150_000):
+        monkeypatch.setattr(lm_scoring, "FREQUENT_WORDS", frequent)
+        got = {r["doc_id"]: r["score"] for r in lm_scoring.score_texts(docs, RANKS, PATTERN).collect()}
+        assert [got[i] for i in range(24)] == pytest.approx(list(want), abs=1e-4), frequent

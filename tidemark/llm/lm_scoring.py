@@ -2,8 +2,9 @@
 
 The model is a causal self-attention network over subword ids, trained in numpy: replicas train on their
 share of the training windows and their parameters are averaged after every round. Its probability of an id
-is mixed with that of a memory of word beginnings, counted over all training texts, so that a frequent word
-has the share it has in the corpus. Texts are scored in overlapping windows, each id once.
+is mixed with that of a memory of word beginnings, counted over all training texts, so that a word
+has the share it has in the corpus. The beginnings of frequent words are sent to the tasks; those of all others are
+joined to the words of the texts, however rare they are. Texts are scored in overlapping windows, each id once.
 
 A text is its words, lower-cased, and one end. The ids are those of each word with a space before it.
 """
@@ -19,7 +20,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import attention
@@ -33,9 +34,9 @@ RATES, REPLICA_DOCS, MAX_REPLICAS = (0.02, 0.012, 0.006), 800, 1024
 #: Steps a replica makes in a round at least, by going through its windows again, and the most passes.
 LEAST_STEPS, MOST_PASSES = 400, 8
 OVERLAP = 3
-#: Share of the memory in a probability, ids (or stop) of a remembered word beginning, and the most entries per length.
-MEMORY_SHARE, KEY_IDS, MEMORY_ENTRIES = 0.35, 4, 1 << 17
-#: Words whose counts are sent to the tasks (the most frequent); all others are joined.
+#: Share of the memory in a probability, and ids (or stop) of a remembered word beginning.
+MEMORY_SHARE, KEY_IDS = 0.35, 4
+#: Words whose counts and beginnings are sent to the tasks (the most frequent); all others are joined.
 FREQUENT_WORDS = 150_000
 #: Distinct words a task remembers before it starts its memory anew, or hands on its counts.
 KNOWN_WORDS = 300_000
@@ -64,19 +65,22 @@ class Subwords:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(counts: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"]
-        )
+    """Rows (word, n): how often a word stands in training texts; zero for the words of held-out texts."""
+
+    def rows(counts: Counter, others: set[bytes]) -> pa.RecordBatch:
+        others = others.difference(counts)
+        n = np.zeros(len(counts) + len(others), np.int64)
+        n[: len(counts)] = list(counts.values())
+        return pa.RecordBatch.from_arrays([pa.array([*counts, *others], pa.binary()), pa.array(n)], names=["word", "n"])
 
-    counts: Counter = Counter()
+    counts, others = Counter(), set()
     for batch in slices(batches):
-        for text in batch.column("text").to_pylist():
-            counts.update(words_of(text))
-            if len(counts) > KNOWN_WORDS:
-                yield rows(counts)
-                counts = Counter()
-    yield rows(counts)
+        for text, held_out in zip(batch.column("text").to_pylist(), batch.column("held_out").to_pylist()):
+            (others if held_out else counts).update(words_of(text))
+            if len(counts) + len(others) > KNOWN_WORDS:
+                yield rows(counts, others)
+                counts, others = Counter(), set()
+    yield rows(counts, others)
 
 
 def _flat(words: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
@@ -130,8 +134,43 @@ def _count_ids(rank_path: str, pattern: str):
     return count
 
 
+#: The steps of a word's path behind its first id.
+PATH = [f"key{j}" for j in range(1, KEY_IDS)]
+
+
+def _paths(firsts: np.ndarray, rank_path: str, pattern: str):
+    """Rows (word, n, n_ids, n1, key1, key2, key3): how often the word's first id begins a word, and the keys that follow.
+
+    Those of its first two, three and four ids; the one behind its last id has the stop. Zero behind the stop.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        subwords = Subwords(rank_path, pattern)
+        for batch in batches:
+            ids, lengths = _flat(batch.column("word").to_pylist(), subwords)
+            keys, stop = beginnings(ids, lengths)
+            path = [np.where(lengths == j, stop, keys[j]).view(np.int64) for j in range(1, KEY_IDS)]
+            first = ids[np.cumsum(lengths) - lengths]
+            columns = [batch.column("word"), batch.column("n"), pa.array(lengths), pa.array(firsts[first]), *map(pa.array, path)]
+            yield pa.RecordBatch.from_arrays(columns, names=["word", "n", "n_ids", "n1", *PATH])
+
+    return run
+
+
+def remembered(counts: DataFrame, firsts: np.ndarray, rank_path: str, pattern: str) -> DataFrame:
+    """The words of counts(word, n) with n_ids, n1, the keys of their path and n2 to n4: how many words begin so.
+
+    Words are first added up by path; paths with a common beginning are at most as many as the ids allow.
+    """
+    words = counts.mapInArrow(_paths(firsts, rank_path, pattern), f"word binary, n bigint, n_ids bigint, n1 bigint, {', '.join(f'{k} bigint' for k in PATH)}")
+    paths = words.groupBy(*PATH).agg(F.sum("n").alias(f"n{KEY_IDS}"))
+    for j in range(KEY_IDS - 1, 1, -1):
+        paths = paths.withColumn(f"n{j}", F.sum(f"n{KEY_IDS}").over(Window.partitionBy(*PATH[: j - 1])))
+    return shared_table(words.join(paths, PATH), "lm-words")
+
+
 class Model:
-    """All that scoring needs; bounded in size whatever the corpus."""
+    """All that scoring needs but the rarer words' beginnings; bounded in size whatever the corpus."""
 
     def __init__(self, total: int, distinct: int, id_counts: dict[int, int], begun: dict[int, int]):
         self.total, self.distinct = total, distinct
@@ -147,16 +186,9 @@ class Model:
         self.in_rest = np.zeros(END_ID + 1, np.float32)
         rest = other > 0
         self.in_rest[rest] = np.log(other[rest] / other.sum())
-        # Word beginnings by key, and what their remembered ways to go on add up to.
+        # Word beginnings by key.
         self.keys = np.array(sorted(begun), np.uint64)
         self.counts = np.array([begun[k] for k in self.keys.tolist()], np.float64)
-        self.kept = np.zeros(len(self.keys))
-        shorter = np.zeros(len(self.keys), np.uint64)
-        for j in range(KEY_IDS):
-            long = self.keys >> np.uint64(16 * j) > 0
-            shorter[long] = self.keys[long] & np.uint64((1 << 16 * j) - 1)
-        at, there = self._find(shorter)
-        np.add.at(self.kept, at[there], self.counts[there])
 
     def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.keys):
@@ -168,7 +200,8 @@ class Model:
         """Of words end to end: share and rest weight of each id; of each word those of its stop, and its first id's share.
 
         A share is MEMORY_SHARE times the part of the words with this beginning that go on so; the rest
-        weight is what all remembered ways to go on leave to the network. A word's first id has its own below.
+        weight is what all ways to go on leave to the network. A word's first id has its own below. True of
+        words whose beginnings are all in the model.
         """
         share, rest = np.zeros(len(ids), np.float32), np.ones(len(ids), np.float32)
         stop, stop_rest = np.zeros(len(lengths), np.float32), np.ones(len(lengths), np.float32)
@@ -179,14 +212,12 @@ class Model:
         stop_at, stop_there = self._find(stops)
         for j in range(KEY_IDS):
             known = n[j] > 0
-            left = np.zeros(len(lengths))
-            left[known] = MEMORY_SHARE * self.kept[found[j][0][known]] / n[j][known]
             if j + 1 < KEY_IDS:
                 on = known & (lengths > j + 1)
                 share[first[on] + j + 1] = MEMORY_SHARE * n[j + 1][on] / n[j][on]
-                rest[first[on] + j + 1] = 1.0 - left[on]
+                rest[first[on] + j + 1] = 1.0 - MEMORY_SHARE
                 end = known & (lengths == j + 1)
-                stop_rest[end] = 1.0 - left[end]
+                stop_rest[end] = 1.0 - MEMORY_SHARE
                 end &= stop_there
                 stop[end] = MEMORY_SHARE * self.counts[stop_at[end]] / n[j][end]
         return share, rest, stop, stop_rest, (n[0] / max(1, self.total)).astype(np.float32)
@@ -218,8 +249,13 @@ class Scorer:
             to.frombytes(values.tobytes())
         self.count.extend([self.counts.get(w, -1) for w in words])
 
-    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each text: log10 probability; sum of log10(c + 1) and tokens with c > 0 over frequent words."""
+    def score(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Of each text: log10 probability; sum of log10(c + 1) and tokens with c > 0 over frequent words; its rarer words.
+
+        The probability is without the ids that need a rarer word's beginnings. A rarer word has the network's
+        probabilities of the ids at its first id's place plus 1, 2 and 3, as far as its path goes, and the part of the
+        words that begin like the next one.
+        """
         missing = set(chain.from_iterable(texts)).difference(self.index)
         if missing:
             self.learn(sorted(missing))
@@ -245,13 +281,29 @@ class Scorer:
         network = np.exp(network + flat(self.inner)[tokens])
         logs = np.log10(share.astype(np.float64) + rest.astype(np.float64) * network + 1e-30)
         base = np.where(count > 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)
-        return np.add.reduceat(logs, bounds[:-1]), np.add.reduceat(base, text_first), np.add.reduceat((count > 0).astype(np.int64), text_first)
+        rare = np.flatnonzero(count < 0)
+        last = np.zeros(len(at), bool)
+        last[text_first + n_words - 1] = True
+        after = np.append(flat(self.begin)[at][1:], np.float32(0.0))[rare]
+        columns, names = [pa.array([w for words in texts for w in words if w not in self.counts], pa.binary()), pa.array(after)], ["word", "next"]
+        for j in range(1, KEY_IDS):
+            has = (length[rare] > j) | ((length[rare] == j) & ~last[rare])
+            own = first[rare][has] + j
+            value = np.zeros(len(rare), np.float32)
+            value[has] = network[own]
+            logs[own] = 0.0
+            columns.append(pa.array(value, mask=~has))
+            names.append(f"p{j}")
+        offsets = np.searchsorted(rare, np.append(text_first, len(at)))
+        rarer = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, names))
+        return np.add.reduceat(logs, bounds[:-1]), np.add.reduceat(base, text_first), np.add.reduceat((count > 0).astype(np.int64), text_first), rarer
 
 
 #: Words of the texts scored together.
 BLOCK_WORDS = 40_000
 
-SCORED = "row bigint, held_out boolean, n_tokens bigint, score double, base double, known bigint, rare array<binary>, times array<bigint>"
+RARE = f"array<struct<word: binary, next: float, {', '.join(f'p{j}: float' for j in range(1, KEY_IDS))}>>"
+SCORED = f"row bigint, held_out boolean, n_tokens bigint, score double, base double, known bigint, rare {RARE}"
 
 
 def _score(model: Model, counts: dict[bytes, int], rank_path: str, pattern: str):
@@ -270,16 +322,14 @@ def _score(model: Model, counts: dict[bytes, int], rank_path: str, pattern: str)
             for first, texts in blocks(batch.column("text").to_pylist()):
                 if len(scorer.index) > KNOWN_WORDS:
                     scorer.forget()
-                scores, base, known = scorer.score(texts)
-                rare = [Counter(w for w in words if w not in counts) for words in texts]
+                scores, base, known, rare = scorer.score(texts)
                 own = batch.slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[own.column(c) for c in ("doc_id", "row", "held_out")],
-                        pa.array([len(w) for w in texts], pa.int64()), pa.array(scores), pa.array(base), pa.array(known, pa.int64()),
-                        pa.array([list(c) for c in rare], pa.list_(pa.binary())), pa.array([list(c.values()) for c in rare], pa.list_(pa.int64())),
+                        pa.array([len(w) for w in texts], pa.int64()), pa.array(scores), pa.array(base), pa.array(known, pa.int64()), rare,
                     ],
-                    names=["doc_id", "row", "held_out", "n_tokens", "score", "base", "known", "rare", "times"],
+                    names=["doc_id", "row", "held_out", "n_tokens", "score", "base", "known", "rare"],
                 )
 
     return score
@@ -329,18 +379,25 @@ def _train_replica(params: attention.Params, start: int, rate: float):
     return run
 
 
-def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame]:
-    """The model learned from rows(text, mark, held_out) that are not held out, and the word counts (word, n)."""
+def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame, dict[bytes, int]]:
+    """The model learned from rows(text, mark, held_out) that are not held out, the words of all texts (``remembered``)
+    and the counts of the most frequent ones, whose beginnings the model has."""
     training = rows.where(~F.col("held_out"))
-    counted = training.select("text").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = rows.select("text", "held_out").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = shared_table(counted, "word-counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    keys = counts.mapInArrow(_count_ids(rank_path, pattern), "kind int, key bigint, n bigint").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-    # At most MEMORY_ENTRIES beginnings of one length have such a count, and there are END_ID + 1 ids.
-    least = max(2, total // MEMORY_ENTRIES)
-    kept = keys.where((F.col("kind") == 0) | (F.col("n") >= least)).collect()
-    ids = {r["key"]: r["n"] for r in kept if r["kind"] == 0}
-    model = Model(total, distinct, ids, {r["key"] % 2**64: r["n"] for r in kept if r["kind"] == 1})
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    keys = counts.where("n > 0").mapInArrow(_count_ids(rank_path, pattern), "kind int, key bigint, n bigint")
+    # Ids and first ids: there are END_ID + 1 of either.
+    kept = keys.where((F.col("kind") == 0) | F.col("key").between(1, 0xFFFF)).groupBy("kind", "key").agg(F.sum("n").alias("n")).collect()
+    ids, begun = ({r["key"]: r["n"] for r in kept if r["kind"] == kind} for kind in (0, 1))
+    firsts = np.zeros(END_ID + 1, np.int64)
+    firsts[[k - 1 for k in begun]] = list(begun.values())
+    words = remembered(counts, firsts, rank_path, pattern)
+    known = {}
+    for r in frequent(words):
+        known[bytes(r["word"])] = r["n"]
+        begun.update({r[k] % 2**64: r[f"n{j}"] for j, k in enumerate(PATH, 2) if r[k]})
+    model = Model(total, distinct, ids, begun)
     texts = shared_table(training.select("mark", "text").mapInArrow(_rank_rows(model.rank, rank_path, pattern), "mark bigint, ranks binary"), "lm-texts")
     replicas = min(MAX_REPLICAS, max(1, texts.count() // len(RATES) // REPLICA_DOCS))
     start = int(model.rank[END_ID])
@@ -351,13 +408,14 @@ def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame
         summed = trained.groupBy("place").agg((F.sum("total") / F.sum("windows")).alias("value")).orderBy("place").collect()
         if summed:
             model.params = attention.unpack(np.array([r["value"] for r in summed]), model.params)
-    return model, counts
+    return model, words, known
 
 
-def frequent(counts: DataFrame) -> dict[bytes, int]:
-    """The counts of the most frequent words, at most FREQUENT_WORDS."""
+def frequent(words: DataFrame) -> list[Row]:
+    """The rows of the most frequent words of training texts, at most FREQUENT_WORDS."""
     level = F.floor(F.log2("n") * 8)
-    levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
+    words = words.where("n > 0")
+    levels = words.groupBy(level.alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect()
     seen, least = 0, None
     for row in levels:
         seen += row["n"]
@@ -365,8 +423,20 @@ def frequent(counts: DataFrame) -> dict[bytes, int]:
             break
         least = row["level"]
     if least is None:
-        return {}
-    return {bytes(r["word"]): r["n"] for r in counts.where(level >= least).collect()}
+        return []
+    return words.where(level >= least).collect()
+
+
+def _path_score() -> Column:
+    """Log10 probability of the ids that depend on a rarer word's beginnings (columns of ``remembered`` and RARE)."""
+    terms = []
+    for j in range(1, KEY_IDS):
+        network, here = F.col(f"p{j}").cast("double"), F.col(f"n{j}")
+        # At the stop, the share goes to the first ids of words.
+        part = F.when(F.col("n_ids") == j, F.col("next").cast("double")).otherwise(1.0) * F.col(f"n{j + 1}") / here
+        mixed = F.when(here > 0, MEMORY_SHARE * part + (1.0 - MEMORY_SHARE) * network).otherwise(network)
+        terms.append(F.coalesce(F.log10(mixed + 1e-30), F.lit(0.0)))
+    return sum(terms[1:], terms[0])
 
 
 def score_texts(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -379,21 +449,21 @@ def score_texts(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "do
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = fields(docs, doc_id=doc_id, text=text).withColumns({"held_out": held, "mark": F.xxhash64("doc_id", "text")})
-    model, counts = fit(rows, rank_path, pattern)
+    model, words, known = fit(rows, rank_path, pattern)
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    score = _score(model, frequent(counts), rank_path, pattern)
+    score = _score(model, known, rank_path, pattern)
     scored = shared_table(keyed.mapInArrow(score, f"doc_id {kind}, {SCORED}"), "lm-scores")
-    rare = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
-        "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times")
-    )
-    met = rare.join(counts, "word").groupBy("row").agg(
-        F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare_base"), F.sum("times").alias("rare_known")
+    rare = scored.select("row", F.inline("rare"))
+    # Every rarer word is met: its count and the counts of its beginnings, however low.
+    met = rare.join(words.drop(*PATH), "word").groupBy("row").agg(
+        F.sum(F.log10(F.col("n") + 1)).alias("rare_base"), F.sum((F.col("n") > 0).cast("bigint")).alias("rare_known"),
+        F.sum(_path_score()).alias("rare_score"),
     )
     zero = F.lit(0)
-    return scored.drop("rare", "times").join(met, "row", "left").select(
+    return scored.drop("rare").join(met, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", zero)).alias("n_known"),
         F.lit(model.total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_base", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(model.total + model.distinct + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rare_score", F.lit(0.0))).alias("score"),
     )
