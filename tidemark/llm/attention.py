@@ -71,10 +71,20 @@ def attend(p: Params, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
     return x + mixed @ p["out"], (inputs, x, q, k, v, weights, mixed)
 
 
-def _grouped(classes: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-    return [(c, order[bounds[c] : bounds[c + 1]]) for c in range(CLASSES) if bounds[c] < bounds[c + 1]]
+def _grouped(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Rows by class, without those of the last class; (class, first, end) of each class there."""
+    order = np.argsort(classes.astype(np.int8), kind="stable")
+    bounds = np.append(0, np.cumsum(np.bincount(classes, minlength=CLASSES + 1)))[: CLASSES + 1].tolist()
+    return order[: bounds[-1]], [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+
+
+def _member_logits(p: Params, states: np.ndarray, groups: list[tuple[int, int, int]], classes: np.ndarray) -> np.ndarray:
+    """Of states in order of their classes: logits of the ids of their class."""
+    logits = np.empty((len(states), MEMBERS), states.dtype)
+    for c, a, b in groups:
+        np.matmul(states[a:b], p["members"][c], out=logits[a:b])
+    logits += p["member_bias"][classes]
+    return logits
 
 
 def _own_log_prob(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -89,8 +99,8 @@ def log_probs(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target rank; a rank beyond the table gets that of the last class."""
     classes = np.minimum(targets // MEMBERS, CLASSES)
     out = _own_log_prob(states @ p["classes"] + p["class_bias"], classes)
-    for c, rows in _grouped(classes):
-        out[rows] += _own_log_prob(states[rows] @ p["members"][c] + p["member_bias"][c], targets[rows] % MEMBERS)
+    rows, groups = _grouped(classes)
+    out[rows] += _own_log_prob(_member_logits(p, states[rows], groups, classes[rows]), targets[rows] % MEMBERS)
     return out
 
 
@@ -108,56 +118,74 @@ def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, used: np.ndarr
     g["classes"], g["class_bias"] = flat.T @ d, d.sum(0)
     d_flat = d @ p["classes"].T
     g["members"], g["member_bias"] = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
-    for c, at in _grouped(classes):
-        d = _softmax(flat[at] @ p["members"][c] + p["member_bias"][c])
+    at, groups = _grouped(classes)
+    if groups:
+        own = flat[at]
+        d = _softmax(_member_logits(p, own, groups, classes[at]))
         d[np.arange(len(at)), aim[at] % MEMBERS] -= 1.0
         d /= n
-        g["members"][c], g["member_bias"][c] = flat[at].T @ d, d.sum(0)
-        d_flat[at] += d @ p["members"][c].T
+        g["member_bias"][[c for c, _, _ in groups]] = np.add.reduceat(d, [a for _, a, _ in groups])
+        d_own = np.empty_like(own)
+        for c, a, b in groups:
+            np.matmul(own[a:b].T, d[a:b], out=g["members"][c])
+            np.matmul(d[a:b], p["members"][c].T, out=d_own[a:b])
+        d_flat[at] += d_own
     d_states = np.zeros((states.size // WIDTH, WIDTH), np.float32)
     d_states[rows] = d_flat
+    g["out"] = mixed.reshape(-1, WIDTH).T @ d_states
     d_states = d_states.reshape(states.shape)
-    g["out"] = np.tensordot(mixed, d_states, ((0, 1), (0, 1)))
     d_mixed = d_states @ p["out"].T
     d_weights = d_mixed @ v.transpose(0, 2, 1)
     d_v = weights.transpose(0, 2, 1) @ d_mixed
     d_scores = weights * (d_weights - (d_weights * weights).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
     d_qkv = np.concatenate([d_scores @ k, d_scores.transpose(0, 2, 1) @ q, d_v], axis=-1)
-    g["qkv"] = np.tensordot(x, d_qkv, ((0, 1), (0, 1)))
+    g["qkv"] = x.reshape(-1, WIDTH).T @ d_qkv.reshape(-1, 3 * WIDTH)
     d_x = d_states + d_qkv @ p["qkv"].T
     g["place"] = d_x.sum(0)
     g["embed"] = np.zeros_like(p["embed"])
-    np.add.at(g["embed"], inputs.ravel(), d_x.reshape(-1, WIDTH))
+    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
+    ranks = inputs.ravel()[order]
+    first = np.flatnonzero(np.diff(ranks, prepend=-1))
+    g["embed"][ranks[first]] = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], first)
     return g
 
 
 class Adam:
-    """Adam with a rate that warms up and then falls to a tenth."""
+    """Adam with a rate that warms up and then falls to a tenth; all parameters in one row."""
 
-    def __init__(self, params: Params, rate: float, steps: int):
+    def __init__(self, row: np.ndarray, rate: float, steps: int):
         self.rate, self.steps, self.done = rate, max(1, steps), 0
-        self.first = {k: np.zeros_like(v) for k, v in params.items()}
-        self.second = {k: np.zeros_like(v) for k, v in params.items()}
+        self.first, self.second, self.change = np.zeros_like(row), np.zeros_like(row), np.empty_like(row)
 
-    def step(self, params: Params, grads: Params) -> None:
+    def step(self, row: np.ndarray, g: np.ndarray) -> None:
         self.done += 1
         t = self.done
         rate = self.rate * min(1.0, t / 10) * (1.0 - 0.9 * min(1.0, t / self.steps))
-        for name, g in grads.items():
-            m, s = self.first[name], self.second[name]
-            m += (g - m) * np.float32(0.1)
-            s += (g * g - s) * np.float32(0.01)
-            params[name] -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)).astype(np.float32)
+        m, s, change = self.first, self.second, self.change
+        np.subtract(g, m, out=change)
+        change *= 0.1
+        m += change
+        g *= g
+        g -= s
+        g *= 0.01
+        s += g
+        np.divide(s, 1 - 0.99**t, out=change)
+        np.sqrt(change, out=change)
+        change += 1e-8
+        np.divide(m, change, out=change)
+        change *= rate / (1 - 0.9**t)
+        row -= change
 
 
 def train(params: Params, windows: Windows, rate: float, passes: int = 1, seed: int = 3) -> Params:
     """Parameters after going through the windows in mixed order."""
-    params = {k: v.copy() for k, v in params.items()}
+    row = pack(params)
+    params = views(row, params)
     rng, blocks = np.random.default_rng(seed), -(-len(windows) // TRAIN_BATCH)
-    adam = Adam(params, rate, passes * blocks)
+    adam = Adam(row, rate, passes * blocks)
     for k in np.concatenate([rng.permutation(blocks) for _ in range(passes)]):
         before, after, used, _ = windows.part(k * TRAIN_BATCH, (k + 1) * TRAIN_BATCH)
-        adam.step(params, gradients(params, before, after, used))
+        adam.step(row, pack(gradients(params, before, after, used)))
     return params
 
 
@@ -166,15 +194,20 @@ def pack(params: Params) -> np.ndarray:
     return np.concatenate([params[k].ravel() for k in sorted(params)])
 
 
-def unpack(row: np.ndarray, like: Params) -> Params:
-    """The inverse of ``pack``."""
+def views(row: np.ndarray, like: Params) -> Params:
+    """The parts of a row of ``pack``, in place."""
     out, at = {}, 0
     for k in sorted(like):
-        out[k] = row[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
+        out[k] = row[at : at + like[k].size].reshape(like[k].shape)
         at += like[k].size
     return out
 
 
+def unpack(row: np.ndarray, like: Params) -> Params:
+    """The inverse of ``pack``."""
+    return {k: v.astype(np.float32) for k, v in views(row, like).items()}
+
+
 class Windows:
     """Overlapping windows over texts laid end to end, cut out in slices.
 
