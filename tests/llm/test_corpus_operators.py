@@ -347,3 +347,14 @@ def test_url_sweep_in_many_ranges(spark, monkeypatch, ranges):
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{sf}/pages.parquet'")
     want = sorted(map(str, con.execute(queries.OP7_SQL).fetchall()))
     assert sorted(str(tuple(r)) for r in queries.QUERIES["op7_url_rules"](spark, sf).collect()) == want
+
+
+def test_span_tasks_get_few_texts_at_once(spark, monkeypatch):
+    """Spans are made of small batches of texts; the session's own setting is as before afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, share = spark.conf.get(key), {}, sentence_spans.shared_table
+    monkeypatch.setattr(sentence_spans, "shared_table", lambda df, name: (seen.update({name: int(spark.conf.get(key))}), share(df, name))[1])
+    docs = spark.createDataFrame([(1, "One short sentence here. And one more."), (2, None)], "doc_id long, text string")
+    assert sentence_spans.remove_repeats(docs).count() == 2
+    assert seen["spans"] <= 1024 and spark.conf.get(key) == before
+    assert seen["repeats"] == int(before)

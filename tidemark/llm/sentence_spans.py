@@ -8,14 +8,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import drop_tables, fields, shared_table, slices
+from tidemark.llm.common import drop_tables, fields, shared_table, slices, small_batches
 
 #: A run has at least so many sentences and so many words, so chance repeats of short sentences don't count.
 RUN_SENTENCES, RUN_WORDS = 2, 20
@@ -35,12 +37,13 @@ def cuts(words: list[str]) -> list[int]:
     The last of the smallest hashes in each window of ``CUT_WORDS`` words: whether a word is one depends only on the
     words around it, not on where the sentence starts.
     """
-    hashes = [xxhash.xxh3_64_intdigest(w.lower().encode()) for w in words]
+    hashes = list(map(xxhash.xxh3_64_intdigest, " ".join(words).lower().encode().split(b" ")))
     found, least = [], -1
     for end in range(CUT_WORDS - 1, len(hashes)):
         start = end - CUT_WORDS + 1
         if least < start:
-            least = min(range(start, end + 1), key=lambda k: (hashes[k], -k))
+            window = hashes[end:start - 1:-1] if start else hashes[end::-1]
+            least = end - window.index(min(window))
         elif hashes[end] <= hashes[least]:
             least = end
         if not found or found[-1] != least:
@@ -80,10 +83,13 @@ def runs(sizes: list[int]) -> list[tuple[int, int]]:
 
     Both directions, so that the first and the last sentence of a repeated passage are covered as well.
     """
+    return [(p >> 32, p & 0xFFFFFFFF) for p in _places(sizes)]
+
+
+def _places(sizes: list[int]) -> list[int]:
+    """The runs in order, the first sentence in the upper 32 bits and the last in the lower."""
     n, found = len(sizes), set()
-    total = [0]
-    for s in sizes:
-        total.append(total[-1] + s)
+    total = [0, *accumulate(sizes)]
     last = 0
     for first in range(n):
         last = max(last, first + RUN_SENTENCES - 1)
@@ -91,7 +97,7 @@ def runs(sizes: list[int]) -> list[tuple[int, int]]:
             last += 1
         if last >= n:
             break
-        found.add((first, last))
+        found.add(first << 32 | last)
     first = n - 1
     for last in range(n - 1, -1, -1):
         first = min(first, last - RUN_SENTENCES + 1)
@@ -99,40 +105,44 @@ def runs(sizes: list[int]) -> list[tuple[int, int]]:
             first -= 1
         if first < 0:
             break
-        found.add((first, last))
+        found.add(first << 32 | last)
     return sorted(found)
 
 
 def span_hashes(text: str) -> list[tuple[int, int, bytes]]:
     """(first, last, 128-bit hash) of each run; case and white space don't count."""
-    return _run_hashes(sentences(text))
+    return [(p >> 32, p & 0xFFFFFFFF, digest) for p, digest in zip(*_run_hashes(sentences(text)))]
 
 
-def _run_hashes(parts: list[Sentence]) -> list[tuple[int, int, bytes]]:
-    digests = [xxhash.xxh3_128_digest(" ".join(w).lower().encode()) for _, _, w in parts]
-    return [(a, b, xxhash.xxh3_128_digest(b"".join(digests[a : b + 1]))) for a, b in runs([len(w) for _, _, w in parts])]
+def _run_hashes(parts: list[Sentence]) -> tuple[list[int], list[bytes]]:
+    """The places of the runs (``_places``) and their hashes."""
+    digest = xxhash.xxh3_128_digest
+    digests = b"".join([digest(" ".join(w).lower().encode()) for _, _, w in parts])
+    places = _places([len(w) for _, _, w in parts])
+    return places, [digest(digests[(p >> 32) * 16 : (p & 0xFFFFFFFF) * 16 + 16]) for p in places]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, place, low) of each run, and one row without low for each document, whose place is its number of
     sentences. ``tag`` holds 32 bits of the run's hash and 32 of the text's, ``place`` the first and last sentence."""
+
+    def rows(ids: pa.Array, tag: np.ndarray, place: list[int], low: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([ids, pa.array(tag), pa.array(place, pa.int64()), low], names=["doc_id", "tag", "place", "low"])
+
     for batch in slices(batches):
-        source, tag, place, low = [], [], [], []
-        marks = batch.column("mark").to_pylist()
-        for k, text in enumerate(batch.column("text").to_pylist()):
+        marks = batch.column("mark").to_numpy() & 0xFFFFFFFF
+        sizes, counts, places, digests = [], [], [], []
+        for text in batch.column("text").to_pylist():
             parts = sentences(text or "")
-            mark = marks[k] & 0xFFFFFFFF
-            source.append(k)
-            tag.append(mark)
-            place.append(len(parts))
-            low.append(None)
-            for a, b, digest in _run_hashes(parts):
-                source.append(k)
-                tag.append(int.from_bytes(digest[8:12], "little", signed=True) << 32 | mark)
-                place.append(a << 32 | b)
-                low.append(int.from_bytes(digest[:8], "little", signed=True))
-        columns = [batch.column("doc_id").take(pa.array(source, pa.int64())), *(pa.array(x, pa.int64()) for x in (tag, place, low))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tag", "place", "low"])
+            own, hashes = _run_hashes(parts)
+            sizes.append(len(parts))
+            counts.append(len(own))
+            places += own
+            digests += hashes
+        yield rows(batch.column("doc_id"), marks, sizes, pa.nulls(len(sizes), pa.int64()))
+        source = np.repeat(np.arange(len(sizes)), counts)
+        hashes = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+        yield rows(batch.column("doc_id").take(pa.array(source)), hashes[:, 1] << 32 | marks[source], places, pa.array(hashes[:, 0].copy()))
 
 
 def without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -183,7 +193,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     keyed = fields(docs, doc_id=doc_id, text=text).withColumn("mark", F.xxhash64("text"))
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    spans = shared_table(keyed.mapInArrow(_spans, f"doc_id {kind}, tag bigint, place bigint, low bigint"), "spans")
+    with small_batches(docs.sparkSession):
+        spans = shared_table(keyed.mapInArrow(_spans, f"doc_id {kind}, tag bigint, place bigint, low bigint"), "spans")
     totals = spans.where(F.col("low").isNull()).groupBy("doc_id", F.col("tag").alias("mark")).agg(F.first("place").alias("total"))
     totals = shared_table(totals, "span-totals")
     found = repeated_spans(spans)
