@@ -117,3 +117,17 @@ def test_gathered_articles_are_those_of_the_aggregates(spark, tmp_path):
     wanted = spark.sql(text)
     assert got.schema.simpleString() == wanted.schema.simpleString()
     assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and got.count() == 4
+
+
+def test_stock_removal_adds_up_no_pairs_in_its_joins(spark, tmp_path):
+    """The inputs are added up and written before; the tasks of the joins only sort them."""
+    from pyspark.sql import Row
+
+    lines = [(1, 1, 5), (1, 2, 1), (2, 2, 6), (3, 1, 2), (3, 1, 7), (None, 4, 1)]
+    spark.createDataFrame([Row(l_orderkey=o, l_partkey=p, l_linenumber=n, l_quantity=1.0, l_extendedprice=2.0) for o, p, n in lines]).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([Row(o_orderkey=o, o_custkey=o * 10) for o in (1, 2, 3)]).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([Row(p_partkey=1)]).write.parquet(f"{tmp_path}/part.parquet")
+    got = catalog.QUERIES["o4_remove_stock"](spark, str(tmp_path))
+    assert "HashAggregate" not in plan(got)
+    want = [(tab, user, stock) for tab in ("alert_stocks", "bridge", "positions") for user, stock in ((10, 2), (30, 1))]
+    assert sorted(map(tuple, got.collect())) == want

@@ -535,9 +535,10 @@ def o3(t: Tables) -> DataFrame:
     ("alert_stocks", "positions"),
 )
 def o4(t: Tables) -> DataFrame:
-    gone = t.alert_stocks.where("first_line > 4")
-    pairs = t.positions.select("user_id", "stock_id")
-    left = maintenance.remove_stock(gone, pairs, t.alert_stocks.select("user_id", "stock_id"), pairs)
+    # Written, so that no task adds up the pairs of two inputs and sorts them for the join as well.
+    alert_stocks = write_once(t.alert_stocks.select("user_id", "stock_id", "first_line"), "alert-stocks")
+    pairs = write_once(t.positions.select("user_id", "stock_id"), "pairs")
+    left = maintenance.remove_stock(alert_stocks.where("first_line > 4"), pairs, alert_stocks.select("user_id", "stock_id"), pairs)
     rows = [df.select(F.lit(name).alias("tab"), "user_id", "stock_id") for name, df in left.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 
