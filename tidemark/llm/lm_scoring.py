@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import attention
-from tidemark.llm.common import fields, shared_table, slices
+from tidemark.llm.common import drop_tables, fields, shared_table, slices
 
 #: The held-out rest of crc32(doc_id as text) modulo FOLDS.
 FOLDS, HELD_OUT = 7, 2
@@ -379,9 +379,9 @@ def _train_replica(params: attention.Params, start: int, rate: float):
     return run
 
 
-def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame, dict[bytes, int]]:
-    """The model learned from rows(text, mark, held_out) that are not held out, the words of all texts (``remembered``)
-    and the counts of the most frequent ones, whose beginnings the model has."""
+def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame, dict[bytes, int], DataFrame]:
+    """The model learned from rows(text, mark, held_out) that are not held out, the words of all texts (``remembered``),
+    the counts of the most frequent ones, whose beginnings the model has, and the table it was trained on."""
     training = rows.where(~F.col("held_out"))
     counted = rows.select("text", "held_out").mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     counts = shared_table(counted, "word-counts")
@@ -393,6 +393,7 @@ def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame
     firsts = np.zeros(END_ID + 1, np.int64)
     firsts[[k - 1 for k in begun]] = list(begun.values())
     words = remembered(counts, firsts, rank_path, pattern)
+    drop_tables(counts)
     known = {}
     for r in frequent(words):
         known[bytes(r["word"])] = r["n"]
@@ -408,7 +409,7 @@ def fit(rows: DataFrame, rank_path: str, pattern: str) -> tuple[Model, DataFrame
         summed = trained.groupBy("place").agg((F.sum("total") / F.sum("windows")).alias("value")).orderBy("place").collect()
         if summed:
             model.params = attention.unpack(np.array([r["value"] for r in summed]), model.params)
-    return model, words, known
+    return model, words, known, texts
 
 
 def frequent(words: DataFrame) -> list[Row]:
@@ -449,7 +450,8 @@ def score_texts(docs: DataFrame, rank_path: str, pattern: str, doc_id: str = "do
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == HELD_OUT, F.lit(False))
     rows = fields(docs, doc_id=doc_id, text=text).withColumns({"held_out": held, "mark": F.xxhash64("doc_id", "text")})
-    model, words, known = fit(rows, rank_path, pattern)
+    model, words, known, trained = fit(rows, rank_path, pattern)
+    drop_tables(trained)
     keyed = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
     score = _score(model, known, rank_path, pattern)
