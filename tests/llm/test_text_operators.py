@@ -6,6 +6,7 @@ import base64
 import collections
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -224,6 +225,46 @@ def test_attention_gradients_and_mask():
     assert np.abs(same).max() < 1e-9
 
 
+def test_scoring_holds_little():
+    """Windows are scored in pieces that fit a cache, whatever their number, with the same results as all at once."""
+    rng = np.random.default_rng(2)
+    params = attention.initial(rng.integers(0, 50, attention.RANKS + 1).astype(float))
+    ids = rng.integers(0, attention.RANKS + 1, 60_000)
+    windows = attention.Windows(ids, np.array([25_000, 0, 1, 34_999]), 3, 3)
+    tracemalloc.start()
+    got = attention.score_windows(params, windows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6e6
+    before, after, used, place = windows.part(0, len(windows))
+    want = np.zeros(len(ids), np.float32)
+    want[place[used]] = attention.log_probs(params, attention.attend(params, before)[0][used], after[used])
+    assert got == pytest.approx(want, abs=1e-4)
+
+
+def test_words_are_encoded_together():
+    """One call for many words gives each word's own ids, also with spaces that only Unicode knows and with the end."""
+    subwords = lm_scoring.Subwords(RANKS, PATTERN)
+    words = [f"word{i}'s" for i in range(3000)] + ["don't", "\u65e5\u672c", "x\u0301!!", "'ll", "\x00"]
+    odd = ["\u00a0", "a\u3000b", "c\u00a0", "\u0085\u0085d", "", "\x1c", "e\u2028"]
+    rng = np.random.default_rng(3)
+    for own in (words, words + odd, [*odd, *words[:5], *odd[::-1]], [""], ["", "a"], [], [words[i] for i in rng.integers(0, len(words), 50)]):
+        own = [w.encode() for w in own]
+        ids, lengths = subwords.flat(own)
+        assert [n for n in lengths] == [len(subwords.ids(w)) for w in own]
+        assert list(ids) == [i for w in own for i in subwords.ids(w)]
+    calls = []
+
+    class Counted:
+        def encode_ordinary(self, text, encode=subwords.encoding.encode_ordinary):
+            calls.append(text)
+            return encode(text)
+
+    subwords.encoding = Counted()
+    subwords.flat([w.encode() for w in words])
+    assert len(calls) == 1
+
+
 def test_lm_probabilities_add_up():
     """Over all ids that can follow, the mixed probabilities sum to one."""
     words = {b"the": 50, b"then": 30, b"on": 40, b"nation": 9, b"thewordislong": 3, lm_scoring.END_WORD: 10}

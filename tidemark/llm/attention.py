@@ -12,7 +12,7 @@ import numpy as np
 WIDTH, WINDOW, CLASSES, MEMBERS = 16, 16, 32, 32
 RANKS = CLASSES * MEMBERS
 #: Windows in a batch, batches whose outputs are computed together, and windows of a training step.
-BATCH, OUTPUT_BATCHES, TRAIN_BATCH = 384, 12, 96
+BATCH, OUTPUT_BATCHES, TRAIN_BATCH = 192, 2, 96
 
 Params = dict[str, np.ndarray]
 
@@ -39,114 +39,161 @@ _HIDDEN = np.triu(np.full((WINDOW, WINDOW), -1e9, np.float32), 1)
 
 
 def _exp_sum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | float]:
-    """exp(x - shift), its sums over the last axis, and the shift: zero, unless a sum leaves the range of floats."""
+    """exp(x - shift) of rows, their sums, and the shift: zero, unless a sum leaves the range of floats."""
+    ones = np.ones(x.shape[1], x.dtype)
     exps = np.exp(x)
-    sums = exps @ np.ones(x.shape[-1], x.dtype)
+    sums = exps @ ones
     if sums.size and 1e-30 < sums.min() and sums.max() < 1e30:
         return exps, sums, 0.0
     shift = x.max(-1)
-    exps = np.exp(x - shift[..., None])
-    return exps, exps.sum(-1), shift
+    exps = np.exp(x - shift[:, None])
+    return exps, exps @ ones, shift
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         exps, sums, _ = _exp_sum(x)
-    exps /= sums[..., None]
+    exps /= sums[:, None]
     return exps
 
 
+def _thirds(qkv: np.ndarray) -> list[np.ndarray]:
+    """Weights of queries, keys and values."""
+    return [qkv[:, i * WIDTH : (i + 1) * WIDTH] for i in range(3)]
+
+
 def attend(p: Params, inputs: np.ndarray) -> tuple[np.ndarray, tuple]:
     """State of each position of the windows (batch x WINDOW ranks), and what the gradient needs.
 
     The mask hides later positions, so a state depends on the position itself and those before it.
     """
-    x = p["embed"][inputs]
-    x += p["place"]
-    q, k, v = np.split(x @ p["qkv"], 3, axis=-1)
-    scores = (q * np.float32(WIDTH**-0.5)) @ k.transpose(0, 2, 1)
+    shape = (len(inputs), WINDOW, WIDTH)
+    x = p["embed"].take(inputs.ravel(), axis=0)
+    x.reshape(shape)[...] += p["place"]
+    q, k, v = ((x @ part).reshape(shape) for part in _thirds(p["qkv"]))
+    scores = q @ k.transpose(0, 2, 1)
+    scores *= np.float32(WIDTH**-0.5)
     scores += _HIDDEN
-    weights = _softmax(scores)
+    weights = _softmax(scores.reshape(-1, WINDOW)).reshape(scores.shape)
     mixed = weights @ v
-    return x + mixed @ p["out"], (inputs, x, q, k, v, weights, mixed)
+    states = mixed.reshape(-1, WIDTH) @ p["out"]
+    states += x
+    return states.reshape(shape), (x, q, k, v, weights, mixed)
 
 
 def _grouped(classes: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Rows by class, without those of the last class; (class, first, end) of each class there."""
+    """Order of the rows by class, the last class at the end; (class, first, end) of each other class there."""
     order = np.argsort(classes.astype(np.int8), kind="stable")
-    bounds = np.append(0, np.cumsum(np.bincount(classes, minlength=CLASSES + 1)))[: CLASSES + 1].tolist()
-    return order[: bounds[-1]], [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if a < b]
+    bounds = np.append(0, np.cumsum(np.bincount(classes, minlength=CLASSES + 1))).tolist()
+    return order, [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1 : CLASSES + 1])) if a < b]
+
+
+def _with_ones(states: np.ndarray) -> np.ndarray:
+    """The states and a column of ones, which takes the bias."""
+    out = np.ones((len(states), WIDTH + 1), states.dtype)
+    out[:, :WIDTH] = states
+    return out
 
 
-def _member_logits(p: Params, states: np.ndarray, groups: list[tuple[int, int, int]], classes: np.ndarray) -> np.ndarray:
+def _outputs(p: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes and of the ids of each class, with their biases in the last row."""
+    return np.concatenate([p["classes"], p["class_bias"][None]]), np.concatenate([p["members"], p["member_bias"][:, None]], axis=1)
+
+
+def _member_logits(members: np.ndarray, states: np.ndarray, groups: list[tuple[int, int, int]]) -> np.ndarray:
     """Of states in order of their classes: logits of the ids of their class."""
-    logits = np.empty((len(states), MEMBERS), states.dtype)
+    logits = np.empty((groups[-1][2] if groups else 0, MEMBERS), states.dtype)
     for c, a, b in groups:
-        np.matmul(states[a:b], p["members"][c], out=logits[a:b])
-    logits += p["member_bias"][classes]
+        np.dot(states[a:b], members[c], out=logits[a:b])
     return logits
 
 
+def _own(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Place of one entry of each row in the flat logits."""
+    place = np.arange(0, logits.size, logits.shape[1])
+    place += own
+    return place
+
+
 def _own_log_prob(logits: np.ndarray, own: np.ndarray) -> np.ndarray:
     """Log softmax of one entry of each row."""
-    value = logits[np.arange(len(own)), own]
+    value = logits.ravel().take(_own(logits, own))
     with np.errstate(over="ignore"):
         _, sums, shift = _exp_sum(logits)
-    return value - np.log(sums) - shift
+    value -= np.log(sums)
+    return value - shift
 
 
 def log_probs(p: Params, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Natural log probability of each target rank; a rank beyond the table gets that of the last class."""
+    by_class, members = _outputs(p)
     classes = np.minimum(targets // MEMBERS, CLASSES)
-    out = _own_log_prob(states @ p["classes"] + p["class_bias"], classes)
-    rows, groups = _grouped(classes)
-    out[rows] += _own_log_prob(_member_logits(p, states[rows], groups, classes[rows]), targets[rows] % MEMBERS)
+    order, groups = _grouped(classes)
+    rows = _with_ones(states.take(order, axis=0))
+    found = _own_log_prob(rows @ by_class, classes.take(order))
+    if groups:
+        n = groups[-1][2]
+        found[:n] += _own_log_prob(_member_logits(members, rows, groups), targets.take(order[:n]) % MEMBERS)
+    out = np.empty_like(found)
+    out[order] = found
     return out
 
 
 def gradients(p: Params, inputs: np.ndarray, targets: np.ndarray, used: np.ndarray) -> Params:
     """Gradients of the mean negative log probability of the used targets."""
-    states, (inputs, x, q, k, v, weights, mixed) = attend(p, inputs)
-    rows = np.flatnonzero(used.ravel())
-    flat, aim = states.reshape(-1, WIDTH)[rows], targets.ravel()[rows]
-    n = np.float32(max(1, len(rows)))
+    states, (x, q, k, v, weights, mixed) = attend(p, inputs)
+    by_class, members = _outputs(p)
+    rows = np.flatnonzero(used)
+    aim = targets.ravel().take(rows)
     classes = np.minimum(aim // MEMBERS, CLASSES)
+    order, groups = _grouped(classes)
+    rows, aim, classes = rows.take(order), aim.take(order), classes.take(order)
+    flat = _with_ones(states.reshape(-1, WIDTH).take(rows, axis=0))
     g: Params = {}
-    d = _softmax(flat @ p["classes"] + p["class_bias"])
-    d[np.arange(len(aim)), classes] -= 1.0
-    d /= n
-    g["classes"], g["class_bias"] = flat.T @ d, d.sum(0)
+    d = _softmax(flat @ by_class)
+    d.ravel()[_own(d, classes)] -= 1.0
+    g_classes = flat.T @ d
+    g["classes"], g["class_bias"] = g_classes[:-1], g_classes[-1]
     d_flat = d @ p["classes"].T
-    g["members"], g["member_bias"] = np.zeros_like(p["members"]), np.zeros_like(p["member_bias"])
-    at, groups = _grouped(classes)
+    g_members = np.zeros_like(members)
     if groups:
-        own = flat[at]
-        d = _softmax(_member_logits(p, own, groups, classes[at]))
-        d[np.arange(len(at)), aim[at] % MEMBERS] -= 1.0
-        d /= n
-        g["member_bias"][[c for c, _, _ in groups]] = np.add.reduceat(d, [a for _, a, _ in groups])
-        d_own = np.empty_like(own)
+        d = _softmax(_member_logits(members, flat, groups))
+        d.ravel()[_own(d, aim[: len(d)] % MEMBERS)] -= 1.0
+        d_own = np.empty((len(d), WIDTH), d.dtype)
         for c, a, b in groups:
-            np.matmul(own[a:b].T, d[a:b], out=g["members"][c])
-            np.matmul(d[a:b], p["members"][c].T, out=d_own[a:b])
-        d_flat[at] += d_own
-    d_states = np.zeros((states.size // WIDTH, WIDTH), np.float32)
+            part = d[a:b]
+            np.dot(flat[a:b].T, part, out=g_members[c])
+            np.dot(part, p["members"][c].T, out=d_own[a:b])
+        d_flat[: len(d)] += d_own
+    g["members"], g["member_bias"] = g_members[:, :-1], g_members[:, -1]
+    d_states = np.zeros_like(x)
     d_states[rows] = d_flat
     g["out"] = mixed.reshape(-1, WIDTH).T @ d_states
-    d_states = d_states.reshape(states.shape)
     d_mixed = d_states @ p["out"].T
-    d_weights = d_mixed @ v.transpose(0, 2, 1)
-    d_v = weights.transpose(0, 2, 1) @ d_mixed
-    d_scores = weights * (d_weights - (d_weights * weights).sum(-1, keepdims=True)) * np.float32(WIDTH**-0.5)
-    d_qkv = np.concatenate([d_scores @ k, d_scores.transpose(0, 2, 1) @ q, d_v], axis=-1)
-    g["qkv"] = x.reshape(-1, WIDTH).T @ d_qkv.reshape(-1, 3 * WIDTH)
-    d_x = d_states + d_qkv @ p["qkv"].T
-    g["place"] = d_x.sum(0)
+    # Of each position, the sum of its weights times their gradients.
+    both = (d_mixed * mixed.reshape(-1, WIDTH)) @ np.ones(WIDTH, x.dtype)
+    d_mixed = d_mixed.reshape(mixed.shape)
+    d_scores = d_mixed @ v.transpose(0, 2, 1)
+    d_scores -= both.reshape(-1, WINDOW, 1)
+    d_scores *= weights
+    d_scores *= np.float32(WIDTH**-0.5)
+    d_x = d_states
+    g["qkv"] = np.empty_like(p["qkv"])
+    changes = d_scores @ k, d_scores.transpose(0, 2, 1) @ q, weights.transpose(0, 2, 1) @ d_mixed
+    for d, part, g_part in zip(changes, _thirds(p["qkv"]), _thirds(g["qkv"])):
+        d = d.reshape(-1, WIDTH)
+        g_part[...] = x.T @ d
+        d_x += d @ part.T
+    g["place"] = d_x.reshape(mixed.shape).sum(0)
     g["embed"] = np.zeros_like(p["embed"])
-    order = np.argsort(inputs.ravel().astype(np.int16), kind="stable")
-    ranks = inputs.ravel()[order]
-    first = np.flatnonzero(np.diff(ranks, prepend=-1))
-    g["embed"][ranks[first]] = np.add.reduceat(d_x.reshape(-1, WIDTH)[order], first)
+    ranks = inputs.ravel().astype(np.int16)
+    order = np.argsort(ranks, kind="stable")
+    ranks = ranks.take(order)
+    first = np.flatnonzero(np.append(True, ranks[1:] != ranks[:-1]))
+    g["embed"][ranks.take(first)] = np.add.reduceat(d_x.take(order, axis=0), first)
+    n = x.dtype.type(max(1, len(rows)))
+    for part in g.values():
+        part /= n
     return g
 
 

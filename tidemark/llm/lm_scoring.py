@@ -59,10 +59,31 @@ class Subwords:
         with open(rank_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.encoding = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        #: Ids that begin with a space; no id has one behind its first byte.
+        self.spaced = np.zeros(END_ID, bool)
+        self.spaced[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
 
     def ids(self, word: bytes) -> list[int]:
         return [END_ID] if word == END_WORD else self.encoding.encode_ordinary(" " + word.decode())
 
+    def flat(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words end to end, and how many each has.
+
+        Words without any space are encoded in one text: each space begins a match of the pattern, and an id there.
+        """
+        text = b" ".join(words).decode()
+        if len(words) > 1 and text.split() == text.split(" "):
+            ids = np.array(self.encoding.encode_ordinary(" " + text), np.int64)
+            first = np.flatnonzero(self.spaced[ids])
+            if len(first) == len(words):
+                return ids, np.diff(first, append=len(ids))
+        if len(words) < 2:
+            ids = np.array([i for w in words for i in self.ids(w)], np.int64)
+            return ids, np.full(len(words), len(ids))
+        half = len(words) // 2
+        parts = self.flat(words[:half]), self.flat(words[half:])
+        return np.concatenate([ids for ids, _ in parts]), np.concatenate([lengths for _, lengths in parts])
+
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (word, n): how often a word stands in training texts; zero for the words of held-out texts."""
@@ -83,13 +104,6 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield rows(counts, others)
 
 
-def _flat(words: list[bytes], subwords: Subwords) -> tuple[np.ndarray, np.ndarray]:
-    """The ids of the words end to end, and how many each has."""
-    ids = [subwords.ids(w) for w in words]
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-    return np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum())), lengths
-
-
 def beginnings(ids: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Keys of the first ids of each word, the first one, two and so on up to KEY_IDS, and of the whole with its stop.
 
@@ -122,7 +136,7 @@ def _count_ids(rank_path: str, pattern: str):
 
         for batch in batches:
             times = batch.column("n").to_numpy()
-            ids, lengths = _flat(batch.column("word").to_pylist(), subwords)
+            ids, lengths = subwords.flat(batch.column("word").to_pylist())
             id_counts += np.bincount(ids, np.repeat(times, lengths), END_ID + 1)
             keys, stop = beginnings(ids, lengths)
             every, place = np.unique(np.concatenate([*keys, stop]), return_inverse=True)
@@ -147,7 +161,7 @@ def _paths(firsts: np.ndarray, rank_path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(rank_path, pattern)
         for batch in batches:
-            ids, lengths = _flat(batch.column("word").to_pylist(), subwords)
+            ids, lengths = subwords.flat(batch.column("word").to_pylist())
             keys, stop = beginnings(ids, lengths)
             path = [np.where(lengths == j, stop, keys[j]).view(np.int64) for j in range(1, KEY_IDS)]
             first = ids[np.cumsum(lengths) - lengths]
@@ -238,7 +252,7 @@ class Scorer:
         self.rank, self.share, self.rest, self.inner = array("h"), array("f"), array("f"), array("f")
 
     def learn(self, words: list[bytes]) -> None:
-        ids, lengths = _flat(words, self.subwords)
+        ids, lengths = self.subwords.flat(words)
         share, rest, stop, stop_rest, begin = self.model.memory(ids, lengths)
         self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
         offsets = len(self.rank) + np.cumsum(lengths) - lengths
@@ -341,16 +355,15 @@ def _rank_rows(rank: np.ndarray, rank_path: str, pattern: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         subwords = Subwords(rank_path, pattern)
         known: dict[bytes, bytes] = {}
-
-        def ranks(word: bytes) -> bytes:
-            if word not in known:
-                if len(known) >= KNOWN_WORDS:
-                    known.clear()
-                known[word] = rank[subwords.ids(word)].astype(np.int16).tobytes()
-            return known[word]
-
         for batch in slices(batches):
-            packed = [b"".join(map(ranks, words_of(t))) for t in batch.column("text").to_pylist()]
+            texts = [words_of(t) for t in batch.column("text").to_pylist()]
+            if len(known) > KNOWN_WORDS:
+                known.clear()
+            new = list(set(chain.from_iterable(texts)).difference(known))
+            ids, lengths = subwords.flat(new)
+            codes, ends = rank[ids].astype(np.int16).tobytes(), 2 * np.cumsum(lengths)
+            known.update(zip(new, map(codes.__getitem__, map(slice, (ends - 2 * lengths).tolist(), ends.tolist()))))
+            packed = [b"".join(map(known.__getitem__, words)) for words in texts]
             yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(packed, pa.binary())], names=["mark", "ranks"])
 
     return encode
