@@ -5,7 +5,11 @@ from __future__ import annotations
 import base64
 import collections
 import hashlib
+import os
+import pathlib
 import random
+import subprocess
+import sys
 import tracemalloc
 import zlib
 
@@ -242,6 +246,25 @@ def test_scoring_holds_little():
     assert got == pytest.approx(want, abs=1e-4)
 
 
+def test_tasks_keep_freed_memory():
+    """In a new process, scoring a block of texts does not ask the system for the same memory again and again."""
+    code = """
+import resource
+import numpy as np
+from tidemark.llm import attention, common
+common.keep_freed_memory()
+params = attention.initial(np.ones(attention.RANKS + 1))
+windows = attention.Windows(np.arange(60_000) % attention.RANKS, np.full(60, 1000), 3, 3)
+attention.score_windows(params, windows)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+attention.score_windows(params, windows)
+print(resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before)
+"""
+    root = pathlib.Path(lm_scoring.__file__).parents[2]
+    ran = subprocess.run([sys.executable, "-c", code], cwd=root, env=os.environ | {"OMP_NUM_THREADS": "1"}, capture_output=True, text=True, check=True)
+    assert int(ran.stdout) < 1000
+
+
 def test_words_are_encoded_together():
     """One call for many words gives each word's own ids, also with spaces that only Unicode knows and with the end."""
     subwords = lm_scoring.Subwords(RANKS, PATTERN)

@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,15 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def keep_freed_memory(size: int = 16 << 20) -> None:
+    """From now on the process keeps freed arrays of up to this size for the next ones.
+
+    The C library hands freed blocks back to the system, which clears each page anew, until a block as large as
+    this was freed. Loops over arrays of a few hundred KB spend half of their time in that.
+    """
+    np.empty(size, np.uint8)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1_024) -> Iterator[None]:
     """What runs in this block hands at most so many rows at once to Python: texts are wide."""

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import attention
-from tidemark.llm.common import drop_tables, fields, shared_table, slices
+from tidemark.llm.common import drop_tables, fields, keep_freed_memory, shared_table, slices
 
 #: The held-out rest of crc32(doc_id as text) modulo FOLDS.
 FOLDS, HELD_OUT = 7, 2
@@ -127,6 +127,7 @@ def _count_ids(rank_path: str, pattern: str):
     """Rows (kind, key, n): the count of every id (kind 0) and of every word beginning (kind 1)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         subwords = Subwords(rank_path, pattern)
         id_counts = np.zeros(END_ID + 1)
 
@@ -159,6 +160,7 @@ def _paths(firsts: np.ndarray, rank_path: str, pattern: str):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         subwords = Subwords(rank_path, pattern)
         for batch in batches:
             ids, lengths = subwords.flat(batch.column("word").to_pylist())
@@ -270,7 +272,8 @@ class Scorer:
         probabilities of the ids at its first id's place plus 1, 2 and 3, as far as its path goes, and the part of the
         words that begin like the next one.
         """
-        missing = set(chain.from_iterable(texts)).difference(self.index)
+        words = list(chain.from_iterable(texts))
+        missing = set(words).difference(self.index)
         if missing:
             self.learn(sorted(missing))
 
@@ -278,7 +281,7 @@ class Scorer:
             return np.frombuffer(values, values.typecode)
 
         n_words = np.array([len(w) for w in texts])
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(texts)), np.int64, int(n_words.sum()))
+        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         length, count = flat(self.length)[at], flat(self.count)[at]
         ends = np.cumsum(length)
         first = ends - length
@@ -299,7 +302,7 @@ class Scorer:
         last = np.zeros(len(at), bool)
         last[text_first + n_words - 1] = True
         after = np.append(flat(self.begin)[at][1:], np.float32(0.0))[rare]
-        columns, names = [pa.array([w for words in texts for w in words if w not in self.counts], pa.binary()), pa.array(after)], ["word", "next"]
+        columns, names = [pa.array([words[i] for i in rare.tolist()], pa.binary()), pa.array(after)], ["word", "next"]
         for j in range(1, KEY_IDS):
             has = (length[rare] > j) | ((length[rare] == j) & ~last[rare])
             own = first[rare][has] + j
@@ -331,6 +334,7 @@ def _score(model: Model, counts: dict[bytes, int], rank_path: str, pattern: str)
                 first, block, size = k + 1, [], 0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         scorer = Scorer(model, counts, Subwords(rank_path, pattern))
         for batch in slices(batches):
             for first, texts in blocks(batch.column("text").to_pylist()):
@@ -353,6 +357,7 @@ def _rank_rows(rank: np.ndarray, rank_path: str, pattern: str):
     """The ranks of each training text, packed."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         subwords = Subwords(rank_path, pattern)
         known: dict[bytes, bytes] = {}
         for batch in slices(batches):
@@ -373,6 +378,7 @@ def _train_replica(params: attention.Params, start: int, rate: float):
     """Rows (place, total, windows): the replica's parameters times the windows it was trained on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_freed_memory()
         own, seen = params, 0
         for batch in batches:
             texts = [np.frombuffer(b, np.int16) for b in batch.column("ranks").to_pylist()]
