@@ -361,6 +361,19 @@ def test_tfidf_of_a_run_and_of_hot_terms(spark, monkeypatch):
     assert together != pytest.approx(plain)
 
 
+def test_wide_rows_reach_python_in_small_batches(spark):
+    """Executor memory: packs and blocks of vectors go to the workers a few megabytes at a time; a distance matrix is small."""
+    from tidemark.session import tune
+
+    def sizes(batches):
+        for batch in batches:
+            yield batch.from_pydict({"mb": [batch.nbytes / 1e6]})
+
+    wide = tune(spark).range(0, 300, 1, 1).select(F.array_repeat(F.col("id").cast("double"), 20_000).alias("v"))
+    assert max(r["mb"] for r in wide.mapInArrow(sizes, "mb double").collect()) < 10
+    assert all((s.stop - s.start) * 12_000 <= 500_000 for s in vectors._slices(5_000, 12_000))
+
+
 def _alert_rows(spark):
     """Interests with a shared id, without id, vector or stock; events with ties, without summary or vector."""
     vec = "array<double>"
