@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import vectors as vec
 from tidemark.operators import aggregates, clustering
 from tidemark.operators.vectors import knn
 
@@ -371,3 +372,36 @@ def test_vectors_of_runs_stay_in_place(spark):
     assert "BroadcastHashJoin" in reduced and "Exchange hashpartitioning" not in reduced
     scored = _plan(clustering.silhouette(df, metric="sqeuclidean", run=["call_id"]))
     assert scored.count("BroadcastHashJoin") == 2 and scored.count("SortMergeJoin") == 1
+
+
+def test_sums_of_runs_meet_rows_alike_in_batches_and_in_blocks(spark, monkeypatch):
+    """Repeated and NULL ids, clusters, runs and vectors included; components likewise."""
+    rng = np.random.default_rng(5)
+    rows = [(i // 2 if i < 20 else i, i % 3, i % 4 - 1, [float(v) for v in rng.normal(size=4)]) for i in range(60)]
+    rows += [(None, 0, 1, [1.0, 2.0, 3.0, 4.0]), (91, None, 1, [1.0, 2.0, 3.0, 4.0]), (92, 1, None, [1.0, 2.0, 3.0, 4.0]), (93, 7, None, [1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "article_id long, call_id int, cluster long, embedding array<double>")
+
+    def results():
+        scored = clustering.silhouette(df, metric="sqeuclidean", run=["call_id"]).collect()
+        reduced = clustering.reduce_dims(df, k=2, run=["call_id"]).collect()
+        flat = [(r["article_id"], r["call_id"], r["cluster"], r["embedding"], [r["silhouette"]]) for r in scored]
+        return sorted(flat + [(r["article_id"], r["call_id"], r["cluster"], r["embedding"], r["reduced"]) for r in reduced], key=str)
+
+    batches = results()
+    monkeypatch.setattr(clustering, "SUMS_BYTES", -1)
+    blocks = results()
+    assert [r[:4] for r in batches] == [r[:4] for r in blocks]
+    assert [v for r in batches for v in r[4]] == pytest.approx([v for r in blocks for v in r[4]])
+
+
+def test_vectors_in_batches_are_those_of_the_engine(spark):
+    """NULL, short, empty and zero vectors and NULL elements included."""
+    v = [[1.0, 2.0], [0.0, 0.0], None, [3.0], [], [None, 1.0], [1.0, -2.0, 0.5]]
+    df = spark.createDataFrame([(a, b) for a in v for b in v], "a array<double>, b array<double>").repartition(1)
+    a, b = F.col("a"), F.col("b")
+    got = df.select(
+        vec.dot(a, b), vec.dot_rows(a, b), vec.cosine(a, b), vec.cosine_rows(a, b), vec.unit(a), vec.unit_rows(a), F.lit(0), F.lit(0)
+    ).collect()
+    for r in got:
+        for one, other in ((r[0], r[1]), (r[2], r[3]), (r[4], r[5])):
+            assert (one is None and other is None) or one == pytest.approx(other)

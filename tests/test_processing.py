@@ -361,6 +361,23 @@ def test_tfidf_of_a_run_and_of_hot_terms(spark, monkeypatch):
     assert together != pytest.approx(plain)
 
 
+def test_tfidf_in_slots_is_its_long_form_added_up(spark, monkeypatch):
+    """Hot terms inside the row or all terms joined; repeated and NULL ids and runs, rows without terms."""
+    rows = [(i // 2 if i < 10 else i, i % 2, ";".join(f"name{j},{j}" for j in range(i % 4 + 1)) + (";every,1" if i % 3 else ""), "1#some place#" if i % 5 else None) for i in range(40)]
+    rows += [(None, 1, "name1,1", None), (50, None, "name1,1", None), (51, 1, None, None)]
+    df = spark.createDataFrame(rows, "article_id long, call_id int, V2Persons string, V2Locations string")
+    columns = {"persons": "V2Persons", "locations": "V2Locations"}
+    for run in ([], ["call_id"]):
+        expected: dict = {}
+        for r in vectors.tfidf(df, columns, run=run).withColumn("slot", F.pmod(F.xxhash64("kind", "term"), F.lit(8))).collect():
+            expected.setdefault(tuple(r[c] for c in [*run, "article_id"]), [0.0] * 8)[r["slot"]] += r["weight"]
+        for hot in (100_000, 2, 0):
+            monkeypatch.setattr(vectors, "HOT_TERMS", hot)
+            found = vectors.tfidf(df, columns, run=run, slots=8).select(*run, "article_id", vectors.slot_vectors("parts", 8).alias("v")).collect()
+            assert {tuple(r[c] for c in [*run, "article_id"]): r["v"] for r in found} == {k: pytest.approx(v) for k, v in expected.items()}
+            assert len(found) == len(expected)
+
+
 def test_wide_rows_reach_python_in_small_batches(spark):
     """Executor memory: packs and blocks of vectors go to the workers a few megabytes at a time; a distance matrix is small."""
     from tidemark.session import tune
