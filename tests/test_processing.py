@@ -454,3 +454,20 @@ def test_pieces_are_packed_greedily(spark):
     assert {i: "".join(c) for i, c in got.items()} == {i: t for i, t in enumerate(texts) if t}
     assert all(0 < len(c) <= 10 for cs in got.values() for c in cs)
     assert got[1] == ["a b c d e ", "f"] and got[2] == ["aaaa aaaa "] * 3 + ["aaaa "] and got[3] == ["x" * 10, "x" * 10, "x" * 5]
+
+
+def test_listed_stocks_of_mails_are_derived_once(spark):
+    """What the stocks are derived by is neither run nor shuffled a second time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    schema = "user_id long, alert_stock_id long, stock string"
+    listed = spark.createDataFrame([(1, 10, "A"), (1, 11, "B"), (2, 12, "A")], schema).mapInArrow(counted, schema)
+    analyses = spark.createDataFrame([(1, 11, "B", 5, "text")], schema + ", area_id long, analysis string")
+    mails = {r["user_id"]: r["digest"] for r in digests.alert_digest(analyses, listed=listed).collect()}
+    assert mails == {1: "A\n\nB\ntext\n", 2: "A\n"}
+    assert seen.value == 3
